@@ -199,18 +199,25 @@ def ecdf(
     return rows.select(*cell, group, *carry, F.col("_v").alias(value), (F.col("_cum_tie") / F.col("_n")).alias(name))
 
 
-def row_id(df: DataFrame, key: str, name: str = "id", slicing: Slicing | None = None) -> DataFrame:
-    """Dense ids 1..n in the order of a unique numeric key, numbered slice by slice."""
-    tagged = df.select("*", F.lit(0).alias("_one"), F.col(key).cast("double").alias("_v"))
-    slicing = slicing or plan_slices(tagged, "_v")
+def running_total(
+    df: DataFrame, by: list[str], order: str, ties: list[Column | str], amount: Column, name: str, slicing: Slicing | None = None
+) -> DataFrame:
+    """Running sum of ``amount`` along ``order`` (ties in the order of ``ties``) inside ``by``, slice by slice."""
+    slicing = slicing or plan_slices(df, order)
+    valued = df.withColumn("_amount", amount)
     if not slicing.sliced:
-        return tagged.withColumn(name, F.row_number().over(W.orderBy(key)).cast("long")).drop("_one", "_v")
-    cutter = Bucketizer(splits=[-math.inf, *slicing.splits, math.inf], inputCol="_v", outputCol="_cut")
-    cut = cutter.transform(tagged).withColumn("_cut", F.col("_cut").cast("int"))
-    sizes = cut.groupBy("_cut").count()
-    before = F.sum("count").over(W.orderBy("_cut").rowsBetween(W.unboundedPreceding, -1))
-    offsets = sizes.select("_cut", F.coalesce(before, F.lit(0)).alias("_before"))
-    numbered = cut.join(offsets, "_cut").withColumn(
-        name, F.col("_before") + F.row_number().over(W.partitionBy("_cut").orderBy(key))
-    )
-    return numbered.drop("_one", "_v", "_cut", "_before")
+        walk = W.partitionBy(*by).orderBy(order, *ties).rowsBetween(W.unboundedPreceding, 0)
+        return valued.withColumn(name, F.sum("_amount").over(walk)).drop("_amount")
+    cutter = Bucketizer(splits=[-math.inf, *slicing.splits, math.inf], inputCol="_at", outputCol="_cut")
+    cut = cutter.transform(valued.withColumn("_at", F.col(order).cast("double"))).withColumn("_cut", F.col("_cut").cast("int"))
+    sizes = cut.groupBy(*by, "_cut").agg(F.sum("_amount").alias("_sum"))
+    earlier = W.partitionBy(*by).orderBy("_cut").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select(*by, "_cut", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
+    walk = W.partitionBy(*by, "_cut").orderBy(order, *ties).rowsBetween(W.unboundedPreceding, 0)
+    joined = join_null_safe(cut, offsets, [*by, "_cut"], "inner")
+    return joined.withColumn(name, F.col("_before") + F.sum("_amount").over(walk)).drop("_amount", "_at", "_cut", "_before")
+
+
+def row_id(df: DataFrame, key: str, name: str = "id", slicing: Slicing | None = None) -> DataFrame:
+    """Dense ids 1..n in the order of a unique numeric key."""
+    return running_total(df, [], key, [], F.lit(1).cast("long"), name, slicing)
