@@ -29,7 +29,7 @@ def counterfactual(
 
     A row at rank ``u`` of its own group takes the type-7 quantile of the reference group at ``u`` limited to
     ``[.001, .999]``.  Reference rows, and cells without reference rows, keep their value.  With ``weight`` ranks are
-    weighted and quantiles interpolate on the cumulative share (see :func:`weighted_position`).
+    weighted and quantiles interpolate on the cumulative share (see :func:`weighted_rank`).
 
     Output: ``cell…, group, carry…, value, counterfactual, freq`` with one row per distinct combination and ``freq`` rows
     behind it; carry a row id to keep individuals apart, or the keys of a coarser cell to measure there directly.
@@ -60,13 +60,13 @@ def map_to_reference(rows, cell, group, value, ref, carry, weighted, slicing, na
         )
     before = (F.col("_cum") - F.col("_w")).cast("double")
     if weighted:
-        position = weighted_position()
+        own_rank = weighted_rank()
         low, high = before / F.col("_n"), F.col("_cum") / F.col("_n")
         floor_at, ceil_at = F.lit(LOWEST), F.lit(HIGHEST)
         hit = F.struct("_v", "_prev", low.alias("_low"), high.alias("_high"))
     else:
         # In rank units the reference row holds positions [before, cum); the limits fall in exactly one row each.
-        position = clamp(F.col("_cum_tie") / F.col("_n"), LOWEST, HIGHEST)
+        own_rank = F.col("_cum_tie") / F.col("_n")
         span = F.col("_ref_n") - 1
         low, high = before, F.col("_cum").cast("double")
         floor_at, ceil_at = F.floor(span * LOWEST), F.floor(span * HIGHEST)
@@ -84,7 +84,6 @@ def map_to_reference(rows, cell, group, value, ref, carry, weighted, slicing, na
         ends = F.when(high > ceil_at, F.lit(1.0)).otherwise(high / span)
     held = kept.select(*cell, starts.alias("_at"), ends.alias("_end"), "_slices", F.lit(0).alias("_asks"), hit.alias("_hit"))
     # A source row is placed by its own unlimited rank, so the rows beyond the limits do not pile up in one slice.
-    own_rank = F.col("_cum_tie") / F.col("_n")
     asked = sources.select(
         *cell,
         own_rank.alias("_at"),
@@ -94,7 +93,7 @@ def map_to_reference(rows, cell, group, value, ref, carry, weighted, slicing, na
         *carry,
         F.col("_v").alias("_own"),
         F.col("_c").alias("_freq"),
-        position.alias("_p"),
+        clamp(own_rank, LOWEST, HIGHEST).alias("_p"),
     )
     if slicing.sliced:
         top = F.col("_slices") - 1
@@ -123,12 +122,11 @@ def map_to_reference(rows, cell, group, value, ref, carry, weighted, slicing, na
     return moved.unionByName(kept_own)
 
 
-def weighted_position():
-    """Weighted rank limited to [.001, .999]; the lowest value takes half of its share.
+def weighted_rank():
+    """Weighted rank; the lowest value takes half of its share.
 
     The distribution function starts from an added point (lowest value, 0), and two points at one value are averaged
     when it is read, which halves the rank of the lowest value.
     """
     share = F.col("_cum_tie") / F.col("_n")
-    lowest = F.col("_v") == F.col("_least")
-    return clamp(F.when(lowest, share / 2).otherwise(share), LOWEST, HIGHEST)
+    return F.when(F.col("_v") == F.col("_least"), share / 2).otherwise(share)
