@@ -1,0 +1,130 @@
+"""Bootstrap replicates, percentile intervals and the tables behind the charts."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quantgap.operators.distance import wasserstein
+from quantgap.operators.resample import (
+    bootstrap_wasserstein,
+    interval_constants,
+    multinomial_replicates,
+    percentile_interval,
+    poisson_replicates,
+    poisson_thresholds,
+    with_interval,
+)
+from quantgap.plans.queries.base import CELL, REF, SAMPLE_SQL, distance_sql, query, rounded, sample
+from quantgap.plans.report import chart_tiles
+
+CELLS = ", ".join(CELL)
+REPLICATES = 100
+SEED = 42
+
+
+def draws_sql(source: str, replicates: int = REPLICATES) -> str:
+    """CTE ``drawn``: every row with its Poisson(1) count in each replicate."""
+    digits = "substr(md5(concat_ws('|', '%d', rep // 4, id)), (1 + 8 * (rep %% 4))::INTEGER, 8)" % SEED
+    count = " + ".join(f"(hx >= '{cut}')::INTEGER" for cut in poisson_thresholds())
+    return f"""reps AS (SELECT unnest(range({replicates}))::INTEGER AS rep),
+    hashed AS (SELECT s.*, rep, {digits} AS hx FROM {source} s, reps),
+    drawn AS (SELECT * FROM (SELECT *, {count} AS draw FROM hashed) WHERE draw > 0)"""
+
+
+BOOT_SQL = f"""{SAMPLE_SQL}, {draws_sql("sample")},
+    {distance_sql("drawn", [*CELL, "rep"], "origin", "logsal", REF, ["MACHINERY"], weight="draw", least=2, frequency=True)}"""
+
+
+@query("bootstrap_draws", f"WITH {SAMPLE_SQL}, {draws_sql('sample', 8)} SELECT id, rep, draw FROM drawn")
+def bootstrap_draws(spark, folder):
+    return poisson_replicates(sample(spark, folder).select("id"), "id", 8, SEED)
+
+
+@query("bootstrap_w2", f"WITH {BOOT_SQL} SELECT {CELLS}, rep, target AS origin, round(w, 6) AS w FROM distances")
+def bootstrap_w2(spark, folder):
+    """The distance on every replicate of every cell."""
+    return rounded(bootstrap_wasserstein(sample(spark, folder), CELL, "origin", "logsal", REF, ["MACHINERY"], "id", REPLICATES, SEED))
+
+
+CONSTANTS_SQL = "consts(reps, k1, s1, k2, s2) AS (VALUES " + ", ".join(str(r) for r in interval_constants(REPLICATES)) + ")"
+INTERVAL_SQL = f"""{CONSTANTS_SQL}, lists AS (SELECT {CELLS}, target, list_sort(list(w) FILTER (w IS NOT NULL)) AS t, count(w)::INTEGER AS reps FROM distances GROUP BY ALL),
+    intervals AS (SELECT {CELLS}, target, reps, t[k1] + s1 * (coalesce(t[k1 + 1], t[k1]) - t[k1]) AS lo, t[k2] + s2 * (coalesce(t[k2 + 1], t[k2]) - t[k2]) AS hi
+      FROM lists LEFT JOIN consts USING (reps))"""
+
+
+@query("bootstrap_ci", f"WITH {BOOT_SQL}, {INTERVAL_SQL} SELECT {CELLS}, target AS origin, reps, round(lo, 6) AS lo, round(hi, 6) AS hi FROM intervals")
+def bootstrap_ci(spark, folder):
+    replicates = bootstrap_wasserstein(sample(spark, folder), CELL, "origin", "logsal", REF, ["MACHINERY"], "id", REPLICATES, SEED)
+    return rounded(percentile_interval(replicates, [*CELL, "origin"], total=REPLICATES))
+
+
+@query(
+    "bootstrap_ci_sparse",
+    f"""WITH {SAMPLE_SQL}, thin AS (SELECT *, ag % 10 AS unit FROM sample WHERE id % 40 = 7), {draws_sql("thin")},
+    {distance_sql("drawn", ["pcs", "unit", "rep"], "origin", "logsal", REF, ["MACHINERY"], weight="draw", least=2, frequency=True)},
+    {INTERVAL_SQL.replace(CELLS, "pcs, unit")}
+    SELECT pcs, unit, target AS origin, reps, round(lo, 6) AS lo, round(hi, 6) AS hi FROM intervals""".replace("id % 40 = 7", "tp = 'Temps partiel' AND sexe = 'Femme' AND an = 3 AND dip = 1"),
+)
+def bootstrap_ci_sparse(spark, folder):
+    """Small cells: replicates without enough rows are missing, too few usable ones give no interval."""
+    rows = sample(spark, folder).where((F.col("tp") == "Temps partiel") & (F.col("sexe") == "Femme") & (F.col("an") == 3) & (F.col("dip") == 1))
+    rows = rows.withColumn("unit", F.col("ag") % 10)
+    replicates = bootstrap_wasserstein(rows, ["pcs", "unit"], "origin", "logsal", REF, ["MACHINERY"], "id", REPLICATES, SEED)
+    return rounded(percentile_interval(replicates, ["pcs", "unit", "origin"], total=REPLICATES))
+
+
+@query(
+    "bootstrap_multinomial",
+    f"""WITH {SAMPLE_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY {CELLS} ORDER BY logsal, id) AS number, count(*) OVER (PARTITION BY {CELLS}) AS size FROM sample),
+    picks AS (SELECT {CELLS}, rep, floor(('0x' || substr(md5(concat_ws('|', '{SEED}', rep, id)), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE * size)::BIGINT + 1 AS number
+      FROM n, (SELECT unnest(range(5))::INTEGER AS rep)),
+    c AS (SELECT {CELLS}, rep, number, count(*) AS draw FROM picks GROUP BY ALL)
+    SELECT c.sexe, c.an, c.ag10, rep, count(*) AS lignes, sum(draw)::BIGINT AS tirages, round(sum(draw * logsal) / sum(draw), 6) AS m
+    FROM c JOIN n ON c.sexe = n.sexe AND c.an = n.an AND c.ag10 = n.ag10 AND c.number = n.number GROUP BY ALL""",
+)
+def bootstrap_multinomial(spark, folder):
+    """Replicates with exactly as many draws as the cell has rows."""
+    drawn = multinomial_replicates(sample(spark, folder), CELL, "logsal", "id", 5, SEED)
+    mean = F.sum(F.col("draw") * F.col("logsal")) / F.sum("draw")
+    return rounded(
+        drawn.groupBy(*CELL, "rep").agg(F.count(F.lit(1)).alias("lignes"), F.sum("draw").alias("tirages"), mean.alias("m"))
+    )
+
+
+@query("bootstrap_multinomial_w2")
+def bootstrap_multinomial_w2(spark, folder):
+    """Distances on exact multinomial replicates."""
+    return rounded(
+        bootstrap_wasserstein(sample(spark, folder), CELL, "origin", "logsal", REF, ["MACHINERY"], "id", 20, SEED, method="multinomial")
+    )
+
+
+POINT_SQL = distance_sql("sample", CELL, "origin", "logsal", REF, ["MACHINERY"])
+for _name in ("hist", "run", "wanted", "pairs", "filled", "distances"):
+    POINT_SQL = POINT_SQL.replace(f"{_name} AS (", f"{_name}_p AS (").replace(f"FROM {_name} ", f"FROM {_name}_p ").replace(f"FROM {_name})", f"FROM {_name}_p)").replace(f"JOIN {_name} ", f"JOIN {_name}_p ").replace(f"FROM {_name},", f"FROM {_name}_p,")
+TILE_SQL = f"""{BOOT_SQL}, {INTERVAL_SQL}, {POINT_SQL}"""
+
+
+@query(
+    "estimate_interval_join",
+    f"""WITH {TILE_SQL} SELECT p.sexe, p.an, p.ag10, p.target AS origin, p.n, p.n_ref, round(p.w, 6) AS w, reps, round(lo, 6) AS lo, round(hi, 6) AS hi
+    FROM distances_p p LEFT JOIN intervals i ON p.sexe = i.sexe AND p.an = i.an AND p.ag10 = i.ag10 AND p.target = i.target""",
+)
+def estimate_interval_join(spark, folder):
+    rows = sample(spark, folder)
+    point = wasserstein(rows, CELL, "origin", "logsal", REF, ["MACHINERY"])
+    replicates = bootstrap_wasserstein(rows, CELL, "origin", "logsal", REF, ["MACHINERY"], "id", REPLICATES, SEED)
+    return rounded(with_interval(point, percentile_interval(replicates, [*CELL, "origin"], total=REPLICATES), [*CELL, "origin"]))
+
+
+@query(
+    "chart_tiles",
+    f"""WITH {TILE_SQL} SELECT p.sexe, p.an, p.ag10, p.target AS origin, printf('%.2f', round(p.w, 2)) AS indice,
+      '[' || printf('%.3f', round(lo, 3)) || ', ' || printf('%.3f', round(hi, 3)) || ']' AS intervalle
+    FROM distances_p p LEFT JOIN intervals i ON p.sexe = i.sexe AND p.an = i.an AND p.ag10 = i.ag10 AND p.target = i.target""",
+)
+def tiles(spark, folder):
+    """The table behind a tile chart: rounded index and interval text."""
+    return chart_tiles(estimate_interval_join(spark, folder), [*CELL, "origin"])
+
+

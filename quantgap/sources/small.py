@@ -26,7 +26,7 @@ def read_labels(spark: SparkSession, path: str, encoding: str = "UTF-8") -> Data
     A line ``/ NAME`` opens a block, lines ``code "label"`` belong to the block above them.  One row per file is read
     (a dictionary is a few thousand lines) and exploded by line.
     """
-    decoded = F.decode("content", F.lit("ISO-8859-1" if encoding.upper() in ("CP1252", "WINDOWS-1252") else encoding))
+    decoded = F.decode("content", "ISO-8859-1" if encoding.upper() in ("CP1252", "WINDOWS-1252") else encoding)
     text = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), decoded.alias("value"))
     if encoding.upper() in ("CP1252", "WINDOWS-1252"):
         text = text.withColumn("value", from_cp1252("value"))
