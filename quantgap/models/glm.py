@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from quantgap.models.linear import INTERCEPT
 
 
 def glm(df: DataFrame, y: str, xs: list[str], family: str = "gaussian", weight: str | None = None) -> DataFrame:
     """Coefficient table ``term, estimate, se, stat, p`` of a Gaussian or binomial model on complete rows."""
-    complete = df.dropna(subset=[y, *xs])
+    complete = df.where(reduce(lambda a, b: a & b, [F.col(f"`{c}`").isNotNull() for c in [y, *xs]]))
     # Column names with dots would be read as struct fields.
     safe = {x: f"x{i}" for i, x in enumerate(xs)}
     named = complete.withColumnsRenamed(safe)

@@ -78,7 +78,9 @@ def predictive_mean_matching(
     digits = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(imp), F.col(row_key))), 1, 8), 16, 10).cast("long")
     chosen = ranked.where(F.col("_rank") == digits % F.col("_found") + 1).select(imp, row_key, F.col("_dy").alias("_filled"))
     completed = rows.join(chosen, [imp, row_key], "left")
-    return completed.withColumn(y, F.coalesce(F.col(y), F.col("_filled"))).select(imp, *df.columns)
+    return completed.withColumn(y, F.coalesce(F.col(y), F.col("_filled"))).select(
+        imp, *[F.col(f"`{c}`") for c in df.columns]
+    )
 
 
 def pooled_ols(df: DataFrame, y: str, xs: list[str], imp: str = "imp") -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -30,18 +31,24 @@ class CrossProducts:
     centred: np.ndarray
 
 
-def cross_products(df: DataFrame, columns: list[str], by: list[str] = (), weight: str | None = None, center: dict[str, float] | None = None, frequency: bool = False) -> list[CrossProducts]:
+def cross_products(
+    df: DataFrame,
+    columns: list[str],
+    by: list[str] = (),
+    weight: str | None = None,
+    center: dict[str, float] | None = None,
+    frequency: bool = False,
+) -> list[CrossProducts]:
     """Cross products of complete rows, keyed by ``by``.
 
     Columns are shifted by their rough mean first, so that large offsets do not eat the digits of the sums.
     """
     by = list(by)
-    complete = df.dropna(subset=columns + ([weight] if weight else []))
+    # Quoted, because names of contrast columns contain dots.
+    complete = df.where(reduce(lambda a, b: a & b, [F.col(f"`{c}`").isNotNull() for c in columns]))
     if weight:
         complete = complete.where(F.col(weight) > 0)
-    if center is None:
-        first = complete.agg(*[F.avg(F.col(f"`{c}`")).alias(f"m{i}") for i, c in enumerate(columns)]).first()
-        center = {c: first[f"m{i}"] or 0.0 for i, c in enumerate(columns)}
+    center = center or column_means(complete, columns)
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     shifted = complete.select(*by, w.alias("_w"), *[(F.col(f"`{c}`") - F.lit(center[c])).alias(f"x{i}") for i, c in enumerate(columns)])
     size = len(columns)
@@ -68,6 +75,11 @@ def cross_products(df: DataFrame, columns: list[str], by: list[str] = (), weight
     return sorted(results, key=lambda c: tuple(str(k) for k in c.key))
 
 
+def column_means(df: DataFrame, columns: list[str]) -> dict[str, float]:
+    first = df.agg(*[F.avg(F.col(f"`{c}`")).alias(f"m{i}") for i, c in enumerate(columns)]).first()
+    return {c: first[f"m{i}"] or 0.0 for i, c in enumerate(columns)}
+
+
 @dataclass
 class Fit:
     terms: list[str]

@@ -1,0 +1,245 @@
+"""Path model with ordered diploma and occupation.
+
+Diploma and occupation are ordered categories of latent normal scores.  Each of the three outcomes depends on all
+exogenous columns and on all earlier outcomes, so the structural coefficients are functions of (i) the reduced-form
+slopes of each outcome on the exogenous columns (ordered probit, ordered probit, least squares) and (ii) the residual
+correlations (polychoric between the two ordered outcomes, polyserial with the wage).
+
+Everything needed from the rows is the count, the wage sum and the wage square sum of each pattern of exogenous columns,
+diploma and occupation.  All regressors are category codes or 0/1 columns, so the number of patterns is fixed by the
+level lists and does not grow with the rows; one aggregation (with the bootstrap replicate in the key where wanted)
+produces them and the models of all groups and replicates are then fitted in parallel, one pattern table each.
+"""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quantgap.models.paths import PathModel
+from quantgap.operators.resample import poisson_replicates
+
+MAX_PATTERNS = 200_000
+NODES, NODE_WEIGHTS = np.polynomial.legendre.leggauss(24)
+_erf = np.vectorize(math.erf, otypes=[float])
+
+
+def normal_cdf(x: np.ndarray) -> np.ndarray:
+    return 0.5 * (1 + _erf(np.clip(x, -38, 38) / math.sqrt(2)))
+
+
+def normal_pdf(x: np.ndarray) -> np.ndarray:
+    return np.exp(-0.5 * np.clip(x, -38, 38) ** 2) / math.sqrt(2 * math.pi)
+
+
+def bivariate_cdf(h: np.ndarray, k: np.ndarray, rho: float) -> np.ndarray:
+    """P(X < h, Y < k) for standard normals of correlation rho, by quadrature over the correlation."""
+    h, k = np.clip(h, -38, 38), np.clip(k, -38, 38)
+    angle = math.asin(rho)
+    theta = 0.5 * angle * (NODES + 1)
+    sine, cosine2 = np.sin(theta), np.cos(theta) ** 2
+    power = -(h[:, None] ** 2 + k[:, None] ** 2 - 2 * h[:, None] * k[:, None] * sine) / (2 * cosine2)
+    return normal_cdf(h) * normal_cdf(k) + (0.5 * angle * NODE_WEIGHTS * np.exp(power)).sum(axis=1) / (2 * math.pi)
+
+
+def patterns(df: DataFrame, model: PathModel, by: list[str] = (), weight: str | None = None) -> DataFrame:
+    """``by…, exogenous…, diploma, occupation, n, sy, syy`` of complete rows, one row per pattern."""
+    exogenous = [*model.origins.values(), *model.controls]
+    keys = [*by, *exogenous, model.diploma, model.occupation]
+    complete = df.dropna(subset=model.columns)
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    y = F.col(model.wage)
+    return complete.groupBy(*keys).agg(F.sum(w).alias("n"), F.sum(w * y).alias("sy"), F.sum(w * y * y).alias("syy"))
+
+
+def ordered_probit(x: np.ndarray, level: np.ndarray, n: np.ndarray, steps: int = 100) -> tuple[np.ndarray, np.ndarray]:
+    """Thresholds and slopes of an ordered probit on weighted patterns, by scoring with step halving.
+
+    The information matrix is that of the observed category probabilities' outer products, which stays positive.
+    """
+    levels = int(level.max()) + 1
+    cuts = levels - 1
+    share = np.cumsum(np.bincount(level, weights=n, minlength=levels))[:-1] / n.sum()
+    start = np.array([_inverse_normal(s) for s in share])
+    theta = np.concatenate([start, np.zeros(x.shape[1])])
+
+    def parts(theta):
+        tau = np.concatenate([[-38.0], theta[:cuts], [38.0]])
+        eta = x @ theta[cuts:]
+        upper, lower = tau[level + 1] - eta, tau[level] - eta
+        return upper, lower, np.maximum(normal_cdf(upper) - normal_cdf(lower), 1e-300)
+
+    upper, lower, p = parts(theta)
+    value = (n * np.log(p)).sum()
+    for _ in range(steps):
+        du, dl = normal_pdf(upper) / p, normal_pdf(lower) / p
+        score = np.zeros((len(n), len(theta)))
+        rows = np.arange(len(n))
+        inner = level < cuts
+        score[rows[inner], level[inner]] += du[inner]
+        inner = level > 0
+        score[rows[inner], level[inner] - 1] -= dl[inner]
+        score[:, cuts:] = -(du - dl)[:, None] * x
+        gradient = n @ score
+        # Expected information: sum over categories of outer products of probability derivatives.
+        information = expected_information(theta, x, n, cuts)
+        step = np.linalg.lstsq(information, gradient, rcond=None)[0]
+        scale = 1.0
+        while scale > 1e-6:
+            trial = theta + scale * step
+            if np.all(np.diff(trial[:cuts]) > 0):
+                u2, l2, p2 = parts(trial)
+                gained = (n * np.log(p2)).sum()
+                if gained >= value - 1e-12 * abs(value):
+                    break
+            scale /= 2
+        else:
+            break
+        change = np.abs(trial - theta).max()
+        theta, upper, lower, p, value = trial, u2, l2, p2, gained
+        if change < 1e-10:
+            break
+    return theta[:cuts], theta[cuts:]
+
+
+def expected_information(theta: np.ndarray, x: np.ndarray, n: np.ndarray, cuts: int) -> np.ndarray:
+    tau = np.concatenate([[-38.0], theta[:cuts], [38.0]])
+    eta = x @ theta[cuts:]
+    total = np.zeros((len(theta), len(theta)))
+    for k in range(cuts + 1):
+        upper, lower = tau[k + 1] - eta, tau[k] - eta
+        p = np.maximum(normal_cdf(upper) - normal_cdf(lower), 1e-300)
+        pu, pl = normal_pdf(upper), normal_pdf(lower)
+        slope = np.zeros((len(n), len(theta)))
+        if k < cuts:
+            slope[:, k] += pu
+        if k > 0:
+            slope[:, k - 1] -= pl
+        slope[:, cuts:] = -(pu - pl)[:, None] * x
+        total += (slope * (n / p)[:, None]).T @ slope
+    return total
+
+
+def _inverse_normal(p: float) -> float:
+    from statistics import NormalDist
+
+    return NormalDist().inv_cdf(min(max(p, 1e-12), 1 - 1e-12))
+
+
+def limits(level: np.ndarray, cut: np.ndarray, eta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    tau = np.concatenate([[-38.0], cut, [38.0]])
+    return tau[level + 1] - eta, tau[level] - eta
+
+
+def polychoric(u1, l1, u2, l2, n) -> float:
+    """Residual correlation of two ordered outcomes: golden-section search of the likelihood."""
+
+    def value(rho):
+        p = bivariate_cdf(u1, u2, rho) - bivariate_cdf(l1, u2, rho) - bivariate_cdf(u1, l2, rho) + bivariate_cdf(l1, l2, rho)
+        return (n * np.log(np.maximum(p, 1e-300))).sum()
+
+    low, high, ratio = -0.99, 0.99, (math.sqrt(5) - 1) / 2
+    a, b = high - ratio * (high - low), low + ratio * (high - low)
+    fa, fb = value(a), value(b)
+    while high - low > 1e-9:
+        if fa > fb:
+            high, b, fb = b, a, fa
+            a = high - ratio * (high - low)
+            fa = value(a)
+        else:
+            low, a, fa = a, b, fb
+            b = low + ratio * (high - low)
+            fb = value(b)
+    return (low + high) / 2
+
+
+def polyserial(upper, lower, residual_sum, n, sigma) -> float:
+    """Residual correlation of an ordered outcome and the wage.
+
+    The expected wage residual of a category is the correlation times the expected latent residual of the category.
+    """
+    p = np.maximum(normal_cdf(upper) - normal_cdf(lower), 1e-300)
+    latent = (normal_pdf(lower) - normal_pdf(upper)) / p
+    return float((residual_sum / sigma * latent).sum() / (n * latent**2).sum())
+
+
+def fit_patterns(table: pd.DataFrame, model: PathModel) -> list[tuple[str, str, float, float]]:
+    """``(outcome, term, estimate, standardized)`` of one pattern table."""
+    exogenous = [*model.origins.values(), *model.controls]
+    x = table[exogenous].to_numpy(float)
+    n, sy, syy = (table[c].to_numpy(float) for c in ("n", "sy", "syy"))
+    mean = n @ x / n.sum()
+    x = x - mean
+    varies = (n @ x**2) > 1e-9 * n.sum()
+    x = x[:, varies]
+    names = [e for e, v in zip(exogenous, varies) if v]
+    level1 = pd.factorize(table[model.diploma], sort=True)[0]
+    level2 = pd.factorize(table[model.occupation], sort=True)[0]
+    cut1, slope1 = ordered_probit(x, level1, n)
+    cut2, slope2 = ordered_probit(x, level2, n)
+    design = np.column_stack([np.ones(len(n)), x])
+    beta = np.linalg.lstsq((design * n[:, None]).T @ design, design.T @ sy, rcond=None)[0]
+    fitted = design @ beta
+    variance = (syy - 2 * fitted * sy + n * fitted**2).sum() / n.sum()
+    sigma = math.sqrt(variance)
+    u1, l1 = limits(level1, cut1, x @ slope1)
+    u2, l2 = limits(level2, cut2, x @ slope2)
+    residual = sy - n * fitted
+    r12 = polychoric(u1, l1, u2, l2, n)
+    r13, r23 = polyserial(u1, l1, residual, n, sigma), polyserial(u2, l2, residual, n, sigma)
+    slope3 = beta[1:]
+    # Structural form: later outcomes on the latent scores of earlier ones.
+    c = r12
+    e, f = np.linalg.solve([[1.0, r12], [r12, 1.0]], np.array([r13, r23]) * sigma)
+    spread_x = np.sqrt(n @ x**2 / n.sum())
+    covariance = (x * n[:, None]).T @ x / n.sum()
+    spread1, spread2, spread3 = (math.sqrt(s @ covariance @ s + v) for s, v in ((slope1, 1), (slope2, 1), (slope3, variance)))
+    rows = []
+    for name, a, b, d, sx in zip(names, slope1, slope2 - c * slope1, slope3 - e * slope1 - f * slope2, spread_x):
+        rows += [
+            (model.diploma, name, a, a * sx / spread1),
+            (model.occupation, name, b, b * sx / spread2),
+            (model.wage, name, d, d * sx / spread3),
+        ]
+    rows += [
+        (model.occupation, model.diploma, c, c * spread1 / spread2),
+        (model.wage, model.diploma, e, e * spread1 / spread3),
+        (model.wage, model.occupation, f, f * spread2 / spread3),
+    ]
+    return [(y, t, float(v), float(s)) for y, t, v, s in rows]
+
+
+def ordinal_path_coefficients(df: DataFrame, model: PathModel, by: list[str] = (), weight: str | None = None) -> DataFrame:
+    """``by…, outcome, term, path, estimate, standardized`` for every group of ``by``."""
+    by = list(by)
+    table = patterns(df, model, by, weight)
+    keyed = table if by else table.withColumn("_all", F.lit(0))
+    keys = by or ["_all"]
+    names = model.path_names()
+    kinds = ", ".join(f"`{k}` {keyed.schema[k].dataType.simpleString()}" for k in keys)
+
+    def fit(group: pd.DataFrame) -> pd.DataFrame:
+        if len(group) > MAX_PATTERNS:
+            raise ValueError(f"{len(group)} patterns: regressors must be categories, not measurements")
+        rows = fit_patterns(group, model)
+        found = pd.DataFrame(rows, columns=["outcome", "term", "estimate", "standardized"])
+        found.insert(2, "path", [names.get((y, t)) for y, t, _, _ in rows])
+        for place, key in enumerate(keys):
+            found.insert(place, key, group[key].iloc[0])
+        return found
+
+    schema = f"{kinds}, outcome string, term string, path string, estimate double, standardized double"
+    fitted = keyed.groupBy(*keys).applyInPandas(fit, schema)
+    return fitted if by else fitted.drop("_all")
+
+
+def ordinal_path_replicates(
+    df: DataFrame, model: PathModel, row_key: str, by: list[str] = (), replicates: int = 100, seed: int = 42
+) -> DataFrame:
+    """The same for every bootstrap replicate (``rep``)."""
+    drawn = poisson_replicates(df.select(row_key, *by, *model.columns), row_key, replicates, seed)
+    return ordinal_path_coefficients(drawn, model, [*by, "rep"], weight="draw")

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantgap.models.linear import INTERCEPT, coefficient_rows, cross_products, solve
+from quantgap.models.linear import INTERCEPT, coefficient_rows, column_means, cross_products, solve
 from quantgap.models.tails import chi_square_upper
 from quantgap.operators.resample import poisson_replicates
 
@@ -65,11 +65,11 @@ COEFFICIENT_SCHEMA = (
 )
 
 
-def path_coefficients(df: DataFrame, model: PathModel, by: list[str] = (), weight: str | None = None, frequency: bool = False) -> DataFrame:
+def path_coefficients(df: DataFrame, model: PathModel, by: list[str] = (), weight: str | None = None, frequency: bool = False, center: dict | None = None) -> DataFrame:
     """``by…, outcome, term, path, estimate, se, stat, p, standardized`` for every group of ``by`` at once."""
     names = model.path_names()
     rows = []
-    for products in cross_products(df, model.columns, by, weight, frequency=frequency):
+    for products in cross_products(df, model.columns, by, weight, center, frequency):
         spread = np.sqrt(np.diag(products.centred))
         for y, xs in model.equations():
             fit = solve(products, model.columns, y, xs)
@@ -86,8 +86,10 @@ def path_coefficients(df: DataFrame, model: PathModel, by: list[str] = (), weigh
 
 def path_replicates(df: DataFrame, model: PathModel, row_key: str, by: list[str] = (), replicates: int = 100, seed: int = 42) -> DataFrame:
     """Coefficients of every bootstrap replicate (``rep``), all from one aggregation."""
-    drawn = poisson_replicates(df.select(row_key, *by, *model.columns), row_key, replicates, seed)
-    return path_coefficients(drawn, model, [*by, "rep"], weight="draw", frequency=True)
+    kept = df.select(row_key, *by, *model.columns)
+    drawn = poisson_replicates(kept, row_key, replicates, seed)
+    center = column_means(kept, model.columns)
+    return path_coefficients(drawn, model, [*by, "rep"], weight="draw", frequency=True, center=center)
 
 
 def effect_columns(model: PathModel) -> dict[str, Column]:

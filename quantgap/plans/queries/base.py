@@ -134,30 +134,30 @@ def sql_values(name: str, columns: list[str], rows) -> str:
     return f"{name}({', '.join(columns)}) AS (VALUES {body})"
 
 
-def distance_sql(source: str, cell: list[str], group: str, value: str, ref: str, targets: list[str], weight: str = "1", p: int = 2, least: int = 1, frequency: bool = False) -> str:
-    """CTE ``distances(cell…, target, n, n_ref, w)`` by pairwise merging of two histograms."""
+def distance_sql(source: str, cell: list[str], group: str, value: str, ref: str, targets: list[str], weight: str = "1", p: int = 2, least: int = 1, frequency: bool = False, suffix: str = "") -> str:
+    """CTE ``distances(cell…, target, n, n_ref, w)`` by pairwise merging of two histograms; CTE names take the suffix."""
     keys = ", ".join(cell)
     part = ", ".join([*cell, "target"])
     join = " AND ".join(f"x.{k} = t.{k}" for k in cell) or "true"
     tkeys = ", ".join(f"t.{k}" for k in cell)
     count = f"sum({weight})" if frequency else "count(*)"
     return f"""
-    hist AS (SELECT {keys}, {group} AS g, {value} AS v, sum({weight}) AS w, {count} AS c FROM {source}
+    hist{suffix} AS (SELECT {keys}, {group} AS g, {value} AS v, sum({weight}) AS w, {count} AS c FROM {source}
              WHERE {value} IS NOT NULL AND {group} IN ({sql_list([*targets, ref])}) GROUP BY ALL),
-    run AS (SELECT *, (sum(w) OVER (PARTITION BY {keys}, g ORDER BY v))::DOUBLE / sum(w) OVER (PARTITION BY {keys}, g) AS u,
-                   sum(c) OVER (PARTITION BY {keys}, g) AS obs FROM hist),
-    wanted AS (SELECT DISTINCT {keys}, target FROM hist, (VALUES {", ".join(f"('{t}')" for t in targets)}) AS l(target)),
-    pairs AS (SELECT {tkeys}, t.target, x.v, x.u, true AS mine, x.obs FROM run x JOIN wanted t ON {join} AND x.g = t.target
-              UNION ALL SELECT {tkeys}, t.target, x.v, x.u, false, x.obs FROM run x JOIN wanted t ON {join} WHERE x.g = '{ref}'),
-    filled AS (SELECT *, first_value(CASE WHEN mine THEN v END IGNORE NULLS) OVER ahead AS qa,
+    run{suffix} AS (SELECT *, (sum(w) OVER (PARTITION BY {keys}, g ORDER BY v))::DOUBLE / sum(w) OVER (PARTITION BY {keys}, g) AS u,
+                   sum(c) OVER (PARTITION BY {keys}, g) AS obs FROM hist{suffix}),
+    wanted{suffix} AS (SELECT DISTINCT {keys}, target FROM hist{suffix}, (VALUES {", ".join(f"('{t}')" for t in targets)}) AS l(target)),
+    pairs{suffix} AS (SELECT {tkeys}, t.target, x.v, x.u, true AS mine, x.obs FROM run{suffix} x JOIN wanted{suffix} t ON {join} AND x.g = t.target
+              UNION ALL SELECT {tkeys}, t.target, x.v, x.u, false, x.obs FROM run{suffix} x JOIN wanted{suffix} t ON {join} WHERE x.g = '{ref}'),
+    filled{suffix} AS (SELECT *, first_value(CASE WHEN mine THEN v END IGNORE NULLS) OVER ahead AS qa,
                       first_value(CASE WHEN NOT mine THEN v END IGNORE NULLS) OVER ahead AS qb,
                       u - lag(u, 1, 0.0::DOUBLE) OVER (PARTITION BY {part} ORDER BY u) AS du
-               FROM pairs WINDOW ahead AS (PARTITION BY {part} ORDER BY u ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
-    distances AS (SELECT {tkeys}, t.target, coalesce(max(CASE WHEN mine THEN obs END), 0)::BIGINT AS n,
+               FROM pairs{suffix} WINDOW ahead AS (PARTITION BY {part} ORDER BY u ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+    distances{suffix} AS (SELECT {tkeys}, t.target, coalesce(max(CASE WHEN mine THEN obs END), 0)::BIGINT AS n,
                          coalesce(max(CASE WHEN NOT mine THEN obs END), 0)::BIGINT AS n_ref,
                          CASE WHEN least(coalesce(max(CASE WHEN mine THEN obs END), 0), coalesce(max(CASE WHEN NOT mine THEN obs END), 0)) >= {least}
                               THEN pow(sum(du * pow(abs(qa - qb), {p})), 1.0 / {p}) END AS w
-                  FROM wanted t LEFT JOIN filled x ON {join} AND x.target = t.target GROUP BY {tkeys}, t.target)"""
+                  FROM wanted{suffix} t LEFT JOIN filled{suffix} x ON {join} AND x.target = t.target GROUP BY {tkeys}, t.target)"""
 
 
 def mapping_sql(source: str, cell: list[str], group: str, value: str, ref: str, keep: list[str]) -> str:

@@ -38,6 +38,7 @@ from quantgap.plans.queries.base import (
     sql_list,
     table,
 )
+from quantgap.plans.report import mean_tiles
 
 CELLS = ", ".join(CELL)
 
@@ -193,6 +194,18 @@ def reference_self_join(spark, folder):
     return rounded(cells.reference_join(means, ["an", "ag5", "sexe"], "origin", REF, "logsal"))
 
 
+@query(
+    "mean_tiles",
+    f"""WITH {SAMPLE_SQL}, c AS (SELECT an, ag5, sexe, origin, avg(logsal) AS m FROM sample GROUP BY ALL)
+    SELECT a.an, a.ag5, a.sexe, a.origin, round(a.m - b.m, 3) + 0.0 AS diff_logsal
+    FROM c a LEFT JOIN c b ON a.an = b.an AND a.ag5 = b.ag5 AND a.sexe = b.sexe AND b.origin = '{REF}' WHERE a.origin <> '{REF}'""",
+)
+def mean_tiles_table(spark, folder):
+    """The table behind a tile chart of mean gaps."""
+    means = sample(spark, folder).groupBy("an", "ag5", "sexe", "origin").agg(F.avg("logsal").alias("logsal"))
+    return mean_tiles(cells.reference_join(means, ["an", "ag5", "sexe"], "origin", REF, "logsal"), ["an", "ag5", "sexe", "origin"])
+
+
 @query(
     "suffixed_self_join",
     f"""WITH {SAMPLE_SQL}, c AS (SELECT an, sexe, origin, count(*) AS n FROM sample GROUP BY ALL)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import functions as F
 
 from quantgap.functions.scalar import is_finite
@@ -35,6 +33,7 @@ from quantgap.plans.queries.base import (
     sql_list,
     table,
 )
+from quantgap.plans.report import share_tiles
 from quantgap.session import literal_table
 
 CELLS = ", ".join(CELL)
@@ -287,26 +286,37 @@ def worktime_counterfactual_w2(spark, folder):
 
 
 REAL_SQL = distance_sql("sample", CELL, "origin", "logsal", REF, ["MACHINERY"])
-OTHER_SQL = distance_sql("mapped", CELL, "origin", "mapped", REF, ["MACHINERY"])
-for _name in ("hist", "run", "wanted", "pairs", "filled", "distances"):
-    OTHER_SQL = re.sub(rf"\b{_name}\b", f"{_name}_c", OTHER_SQL)
+OTHER_SQL = distance_sql("mapped", CELL, "origin", "mapped", REF, ["MACHINERY"], suffix="_c")
+COMPARED_SQL = f"""{MAPPED_SQL}, {REAL_SQL}, {OTHER_SQL}, compared AS (
+    SELECT r.sexe, r.an, r.ag10, r.w AS w_real, c.w AS w_counterfactual, r.w - c.w AS delta, 100 * (r.w * r.w - c.w * c.w) / (r.w * r.w) AS share
+    FROM distances r JOIN distances_c c ON r.sexe = c.sexe AND r.an = c.an AND r.ag10 = c.ag10)"""
+
+
+def compared_cases(spark, folder):
+    rows = sample(spark, folder)
+    real = wasserstein(rows, CELL, "origin", "logsal", REF, ["MACHINERY"])
+    moved = counterfactual(rows, DIPLOMA_CELL, "origin", "logsal", "MACHINERY")
+    other = wasserstein(moved, CELL, "origin", "counterfactual", REF, ["MACHINERY"], weight="freq", frequency=True)
+    return compare_cases(real, other, CELL)
 
 
 @query(
     "rendement_share",
-    f"""WITH {MAPPED_SQL}, {REAL_SQL}, {OTHER_SQL}
-    SELECT r.sexe, r.an, r.ag10, round(r.w, 6) AS w_real, round(c.w, 6) AS w_counterfactual, round(r.w - c.w, 6) AS delta,
-           round(100 * (r.w * r.w - c.w * c.w) / (r.w * r.w), 5) AS share
-    FROM distances r JOIN distances_c c ON r.sexe = c.sexe AND r.an = c.an AND r.ag10 = c.ag10""",
+    f"""WITH {COMPARED_SQL} SELECT sexe, an, ag10, round(w_real, 6) AS w_real, round(w_counterfactual, 6) AS w_counterfactual,
+    round(delta, 6) AS delta, round(share, 5) AS share FROM compared""",
 )
 def rendement_share(spark, folder):
     """Part of the distance explained by unequal wages within diplomas."""
-    rows = sample(spark, folder)
-    real = wasserstein(rows, CELL, "origin", "logsal", REF, ["MACHINERY"])
-    moved = counterfactual(rows, DIPLOMA_CELL, "origin", "logsal", "MACHINERY")
-    other = wasserstein(moved, CELL, "origin", "counterfactual", REF, ["MACHINERY"], weight="freq", frequency=True)
-    compared = rounded(compare_cases(real, other, CELL), "share")
-    return compared.withColumn("share", F.round("share", 5))
+    return rounded(compared_cases(spark, folder), "share").withColumn("share", F.round("share", 5))
+
+
+@query(
+    "share_tiles",
+    f"""WITH {COMPARED_SQL} SELECT sexe, an, ag10, printf('%.2f', round(delta, 2)) AS indice, printf('%.1f', round(share, 1)) || '%' AS part FROM compared""",
+)
+def share_tiles_table(spark, folder):
+    """The table behind a tile chart of two cases."""
+    return share_tiles(compared_cases(spark, folder), CELL)
 
 
 COMPOSITION_SQL = """counts AS (SELECT gen, origin, count(*) AS n FROM sample WHERE gen IS NOT NULL AND origin IS NOT NULL GROUP BY ALL),

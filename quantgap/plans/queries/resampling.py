@@ -99,10 +99,8 @@ def bootstrap_multinomial_w2(spark, folder):
     )
 
 
-POINT_SQL = distance_sql("sample", CELL, "origin", "logsal", REF, ["MACHINERY"])
-for _name in ("hist", "run", "wanted", "pairs", "filled", "distances"):
-    POINT_SQL = POINT_SQL.replace(f"{_name} AS (", f"{_name}_p AS (").replace(f"FROM {_name} ", f"FROM {_name}_p ").replace(f"FROM {_name})", f"FROM {_name}_p)").replace(f"JOIN {_name} ", f"JOIN {_name}_p ").replace(f"FROM {_name},", f"FROM {_name}_p,")
-TILE_SQL = f"""{BOOT_SQL}, {INTERVAL_SQL}, {POINT_SQL}"""
+POINT_SQL = distance_sql("sample", CELL, "origin", "logsal", REF, ["MACHINERY"], suffix="_p")
+TILE_SQL = f"{BOOT_SQL}, {INTERVAL_SQL}, {POINT_SQL}"
 
 
 @query(

@@ -34,4 +34,4 @@ def share_tiles(compared: DataFrame, keys: list[str]) -> DataFrame:
 
 def mean_tiles(gaps: DataFrame, keys: list[str], value: str = "diff_logsal") -> DataFrame:
     """Mean gap to the reference group per tile."""
-    return gaps.select(*keys, F.round(value, 3).alias(value))
+    return gaps.select(*keys, (F.round(value, 3) + F.lit(0.0)).alias(value))
