@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantgap.models.linear import INTERCEPT
+from quantgap.session import result_table
 
 
 def glm(df: DataFrame, y: str, xs: list[str], family: str = "gaussian", weight: str | None = None) -> DataFrame:
@@ -18,7 +19,10 @@ def glm(df: DataFrame, y: str, xs: list[str], family: str = "gaussian", weight:
     # Column names with dots would be read as struct fields.
     safe = {x: f"x{i}" for i, x in enumerate(xs)}
     named = complete.withColumnsRenamed(safe)
-    assembled = VectorAssembler(inputCols=list(safe.values()), outputCol="_features").transform(named)
+    columns = [*safe.values(), y, *([weight] if weight else [])]
+    assembled = VectorAssembler(inputCols=list(safe.values()), outputCol="_features").transform(named.select(*columns))
+    # The fit passes over the rows many times.
+    assembled = assembled.drop(*safe.values()).persist()
     model = GeneralizedLinearRegression(family=family, featuresCol="_features", labelCol=y, maxIter=50, tol=1e-10)
     if weight:
         model = model.setWeightCol(weight)
@@ -31,4 +35,5 @@ def glm(df: DataFrame, y: str, xs: list[str], family: str = "gaussian", weight:
             [*xs, INTERCEPT], estimates, summary.coefficientStandardErrors, summary.tValues, summary.pValues
         )
     ]
-    return df.sparkSession.createDataFrame(rows, "term string, estimate double, se double, stat double, p double")
+    assembled.unpersist()
+    return result_table(df.sparkSession, "term string, estimate double, se double, stat double, p double", rows)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quantgap.models.linear import cross_products, solve
 from quantgap.models.tails import t_two_sided
 from quantgap.operators.samples import Slicing, running_total
-from quantgap.session import literal_table
+from quantgap.session import literal_table, result_table
 
 RIDGE = 1e-5
 
@@ -101,9 +101,8 @@ def pooled_ols(df: DataFrame, y: str, xs: list[str], imp: str = "imp") -> DataFr
         values = [None if math.isnan(v) else v for v in (estimate, se, stat, df_pooled, p)]
         rows.append((term, *values, within, between))
     rows.sort(key=lambda r: (r[5] is None, r[5]))
-    return df.sparkSession.createDataFrame(
-        rows, "term string, estimate double, se double, stat double, df double, p double, within double, between double"
-    )
+    schema = "term string, estimate double, se double, stat double, df double, p double, within double, between double"
+    return result_table(df.sparkSession, schema, rows)
 
 
 def pooled_df(m: int, within: float, between: float, complete_df: float) -> float:

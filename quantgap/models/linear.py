@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantgap.models.tails import t_two_sided
+from quantgap.session import result_table
 
 INTERCEPT = "(Intercept)"
 MAX_MODELS = 100_000
@@ -38,10 +39,14 @@ def cross_products(
     weight: str | None = None,
     center: dict[str, float] | None = None,
     frequency: bool = False,
+    measure: str | None = None,
 ) -> list[CrossProducts]:
     """Cross products of complete rows, keyed by ``by``.
 
-    Columns are shifted by their rough mean first, so that large offsets do not eat the digits of the sums.
+    ``measure`` names the one column that is a measurement when all others are category codes: rows are then first
+    summed per pattern of codes, which leaves few rows for the many products.
+
+    Columns are shifted by their rough level first, so that large offsets do not eat the digits of the sums.
     """
     by = list(by)
     # Quoted, because names of contrast columns contain dots.
@@ -50,11 +55,32 @@ def cross_products(
         complete = complete.where(F.col(weight) > 0)
     center = center or column_means(complete, columns)
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    shifted = complete.select(*by, w.alias("_w"), *[(F.col(f"`{c}`") - F.lit(center[c])).alias(f"x{i}") for i, c in enumerate(columns)])
+    shifted = complete.select(
+        *by, w.alias("_w"), *[(F.col(f"`{c}`") - F.lit(center[c])).alias(f"x{i}") for i, c in enumerate(columns)]
+    )
     size = len(columns)
-    sums = [F.sum("_w").alias("sw"), (F.sum("_w") if frequency else F.count(F.lit(1)).cast("double")).alias("n")]
-    sums += [F.sum(F.col("_w") * F.col(f"x{i}")).alias(f"s{i}") for i in range(size)]
-    sums += [F.sum(F.col("_w") * F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}_{j}") for i in range(size) for j in range(i, size)]
+    rows = F.sum("_w") if frequency else F.count(F.lit(1)).cast("double")
+    at = columns.index(measure) if measure else None
+    codes = [f"x{i}" for i in range(size) if i != at]
+    if measure:
+        y = F.col(f"x{at}")
+        shifted = shifted.groupBy(*by, *codes).agg(
+            F.sum("_w").alias("_w"), rows.alias("_rows"), F.sum(F.col("_w") * y).alias("_y"), F.sum(F.col("_w") * y * y).alias("_yy")
+        )
+        rows = F.sum("_rows")
+
+    def product(i: int, j: int | None = None):
+        """Weighted sum of one column or of the product of two."""
+        others = [k for k in (i, j) if k is not None and k != at]
+        measured = (j is not None) + 1 - len(others)
+        value = F.col(("_w", "_y", "_yy")[measured])
+        for k in others:
+            value = value * F.col(f"x{k}")
+        return F.sum(value)
+
+    sums = [F.sum("_w").alias("sw"), rows.alias("n")]
+    sums += [product(i).alias(f"s{i}") for i in range(size)]
+    sums += [product(i, j).alias(f"s{i}_{j}") for i in range(size) for j in range(i, size)]
     grouped = (shifted.groupBy(*by) if by else shifted.groupBy()).agg(*sums)
     collected = grouped.limit(MAX_MODELS + 1).collect()
     if len(collected) > MAX_MODELS:
@@ -76,7 +102,8 @@ def cross_products(
 
 
 def column_means(df: DataFrame, columns: list[str]) -> dict[str, float]:
-    first = df.agg(*[F.avg(F.col(f"`{c}`")).alias(f"m{i}") for i, c in enumerate(columns)]).first()
+    """Rough level of each column, from the first rows only: it decides rounding, not results."""
+    first = df.limit(1000).agg(*[F.avg(F.col(f"`{c}`")).alias(f"m{i}") for i, c in enumerate(columns)]).first()
     return {c: first[f"m{i}"] or 0.0 for i, c in enumerate(columns)}
 
 
@@ -145,4 +172,4 @@ def ols(df: DataFrame, y: str, xs: list[str], by: list[str] = (), weight: str |
         rows += [(*r, float(fit.r2), float(fit.residual_df)) for r in coefficient_rows(fit, products.key)]
     key_schema = [f"`{k}` {df.schema[k].dataType.simpleString()}" for k in by]
     numbers = "term string, estimate double, se double, stat double, p double, r2 double, residual_df double"
-    return df.sparkSession.createDataFrame(rows, ", ".join([*key_schema, numbers]))
+    return result_table(df.sparkSession, ", ".join([*key_schema, numbers]), rows)

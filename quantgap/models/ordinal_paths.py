@@ -21,7 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantgap.models.paths import PathModel
-from quantgap.operators.resample import poisson_replicates
+from quantgap.operators.resample import poisson_replicates, spread_small
+from quantgap.operators.samples import plan_slices
 
 MAX_PATTERNS = 200_000
 NODES, NODE_WEIGHTS = np.polynomial.legendre.leggauss(24)
@@ -241,5 +242,6 @@ def ordinal_path_replicates(
     df: DataFrame, model: PathModel, row_key: str, by: list[str] = (), replicates: int = 100, seed: int = 42
 ) -> DataFrame:
     """The same for every bootstrap replicate (``rep``)."""
-    drawn = poisson_replicates(df.select(row_key, *by, *model.columns), row_key, replicates, seed)
+    kept = spread_small(df.select(row_key, *by, *model.columns), row_key, plan_slices(df, model.wage))
+    drawn = poisson_replicates(kept, row_key, replicates, seed)
     return ordinal_path_coefficients(drawn, model, [*by, "rep"], weight="draw")

@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 
 from quantgap.models.linear import INTERCEPT, coefficient_rows, column_means, cross_products, solve
 from quantgap.models.tails import chi_square_upper
-from quantgap.operators.resample import poisson_replicates
+from quantgap.operators.resample import poisson_replicates, spread_small
+from quantgap.operators.samples import plan_slices
+from quantgap.session import result_table
 
 
 @dataclass(frozen=True)
@@ -69,7 +71,7 @@ def path_coefficients(df: DataFrame, model: PathModel, by: list[str] = (), weigh
     """``by…, outcome, term, path, estimate, se, stat, p, standardized`` for every group of ``by`` at once."""
     names = model.path_names()
     rows = []
-    for products in cross_products(df, model.columns, by, weight, center, frequency):
+    for products in cross_products(df, model.columns, by, weight, center, frequency, measure=model.wage):
         spread = np.sqrt(np.diag(products.centred))
         for y, xs in model.equations():
             fit = solve(products, model.columns, y, xs)
@@ -81,12 +83,12 @@ def path_coefficients(df: DataFrame, model: PathModel, by: list[str] = (), weigh
                     standardized = float(estimate * spread[model.columns.index(term)] / scale) if scale > 0 else None
                 rows.append((*products.key, y, term, names.get((y, term)), *row[1:], standardized))
     keys = [f"`{k}` {df.schema[k].dataType.simpleString()}" for k in by]
-    return df.sparkSession.createDataFrame(rows, ", ".join([*keys, COEFFICIENT_SCHEMA]))
+    return result_table(df.sparkSession, ", ".join([*keys, COEFFICIENT_SCHEMA]), rows)
 
 
 def path_replicates(df: DataFrame, model: PathModel, row_key: str, by: list[str] = (), replicates: int = 100, seed: int = 42) -> DataFrame:
     """Coefficients of every bootstrap replicate (``rep``), all from one aggregation."""
-    kept = df.select(row_key, *by, *model.columns)
+    kept = spread_small(df.select(row_key, *by, *model.columns), row_key, plan_slices(df, model.wage))
     drawn = poisson_replicates(kept, row_key, replicates, seed)
     center = column_means(kept, model.columns)
     return path_coefficients(drawn, model, [*by, "rep"], weight="draw", frequency=True, center=center)
@@ -151,7 +153,7 @@ def wald_each(differences: DataFrame, replicate_differences: DataFrame) -> DataF
         (r["effect"], r["diff"], r["se"], r["chisq"], None if r["chisq"] is None else chi_square_upper(r["chisq"], 1))
         for r in tests.orderBy("effect").collect()
     ]
-    return differences.sparkSession.createDataFrame(rows, "effect string, diff double, se double, chisq double, p double")
+    return result_table(differences.sparkSession, "effect string, diff double, se double, chisq double, p double", rows)
 
 
 def wald_joint(differences: DataFrame, replicate_differences: DataFrame, effects: list[str]) -> DataFrame:
@@ -168,4 +170,4 @@ def wald_joint(differences: DataFrame, replicate_differences: DataFrame, effects
     chisq = float(gap @ np.linalg.pinv(covariance) @ gap)
     rank = int(np.linalg.matrix_rank(covariance))
     row = (chisq, rank, chi_square_upper(chisq, rank) if not math.isnan(chisq) else None)
-    return differences.sparkSession.createDataFrame([row], "chisq double, df int, p double")
+    return result_table(differences.sparkSession, "chisq double, df int, p double", [row])

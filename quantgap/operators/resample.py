@@ -31,10 +31,11 @@ def poisson_thresholds() -> list[str]:
 
 def poisson_draw(digits: Column) -> Column:
     """Poisson(1) count from uniform hexadecimal digits; equal-length hex text sorts like the number it stands for."""
-    count = F.lit(0)
-    for cut in poisson_thresholds():
-        count = count + (digits >= F.lit(cut)).cast("int")
-    return count
+    cuts = poisson_thresholds()
+    draw = F.when(digits < F.lit(cuts[0]), 0)
+    for count, cut in enumerate(cuts[1:], start=1):
+        draw = draw.when(digits < F.lit(cut), count)
+    return draw.otherwise(len(cuts))
 
 
 def poisson_replicates(df: DataFrame, row_key: str, replicates: int = 100, seed: int = 42, rep: str = "rep", draw: str = "draw") -> DataFrame:
@@ -44,17 +45,20 @@ def poisson_replicates(df: DataFrame, row_key: str, replicates: int = 100, seed:
     four replicates and rows that are not drawn are dropped before any shuffle.
     """
     blocks = math.ceil(replicates / DRAWS_PER_HASH)
-    spread = df.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    spread = spread.withColumn("_hash", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("_block"), F.col(row_key))))
-    draws = [
-        F.struct(
-            (F.col("_block") * DRAWS_PER_HASH + j).cast("int").alias(rep),
-            poisson_draw(F.substring("_hash", 1 + HEX_DIGITS * j, HEX_DIGITS)).alias(draw),
-        )
-        for j in range(DRAWS_PER_HASH)
-    ]
-    drawn = spread.select(*df.columns, F.inline(F.array(*draws)))
-    return drawn.where((F.col(draw) > 0) & (F.col(rep) < replicates))
+    hashed = df.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    hashed = hashed.withColumn("_hash", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("_block"), F.col(row_key))))
+    spread = hashed.withColumn("_part", F.explode(F.array(*[F.lit(j) for j in range(DRAWS_PER_HASH)])))
+    digits = F.substring(F.col("_hash"), F.col("_part") * HEX_DIGITS + 1, F.lit(HEX_DIGITS))
+    drawn = spread.select(*df.columns, (F.col("_block") * DRAWS_PER_HASH + F.col("_part")).cast("int").alias(rep), digits.alias("_digits"))
+    drawn = drawn.where((F.col("_digits") >= poisson_thresholds()[0]) & (F.col(rep) < replicates))
+    return drawn.select(*df.columns, rep, poisson_draw(F.col("_digits")).alias(draw))
+
+
+def spread_small(df: DataFrame, row_key: str, slicing: Slicing) -> DataFrame:
+    """Spread a small table over all cores before it is multiplied; a large one already has many partitions."""
+    if slicing.sliced:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, row_key)
 
 
 def multinomial_replicates(
@@ -78,7 +82,7 @@ def multinomial_replicates(
     tagged = df.select(*cell, value, row_key, *carry, F.lit(0).alias("_all"))
     numbered = ranked(tagged, cell, "_all", value, None, [row_key, *carry], slicing)
     numbered = numbered.select(*cell, row_key, *carry, F.col("_v").alias(value), F.col("_cum").alias("_number"), F.col("_n").alias("_size"))
-    picks = numbered.withColumn(rep, F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    picks = spread_small(numbered, row_key, slicing).withColumn(rep, F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(rep), F.col(row_key)))
     uniform = F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(float(2**52))
     picks = picks.select(*cell, rep, (F.floor(uniform * F.col("_size")) + 1).alias("_number"))
@@ -106,7 +110,8 @@ def bootstrap_wasserstein(
     kept = df.select(*cell, group, value, row_key).where(F.col(value).isNotNull())
     if method == "poisson":
         # Rows of other groups cannot enter a distance, and Poisson draws are independent between rows.
-        drawn = poisson_replicates(kept.where(F.col(group).isin(*targets, ref)), row_key, replicates, seed)
+        kept = spread_small(kept.where(F.col(group).isin(*targets, ref)), row_key, slicing)
+        drawn = poisson_replicates(kept, row_key, replicates, seed)
     elif method == "multinomial":
         drawn = multinomial_replicates(kept, cell, value, row_key, replicates, seed, [group], slicing)
     else:

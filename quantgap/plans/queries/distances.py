@@ -16,7 +16,7 @@ from quantgap.operators.distance import (
 )
 from quantgap.operators.reshape import to_long
 from quantgap.operators.reweight import composition_weights
-from quantgap.operators.samples import ecdf
+from quantgap.operators.samples import ecdf, plan_slices
 from quantgap.operators.transport import counterfactual
 from quantgap.plans.queries.base import (
     CELL,
@@ -267,9 +267,12 @@ def counterfactual_missing_ref(spark, folder):
 )
 def counterfactual_w2(spark, folder):
     """Mapped inside diploma cells, measured in the coarser cells."""
-    moved = counterfactual(sample(spark, folder), DIPLOMA_CELL, "origin", "logsal", "MACHINERY")
-    measured = wasserstein(moved, CELL, "origin", "counterfactual", REF, TARGETS, weight="freq", frequency=True)
-    return rounded(measured)
+    rows = sample(spark, folder)
+    slicing = plan_slices(rows, "logsal")
+    moved = counterfactual(rows, DIPLOMA_CELL, "origin", "logsal", "MACHINERY", slicing=slicing)
+    return rounded(
+        wasserstein(moved, CELL, "origin", "counterfactual", REF, TARGETS, weight="freq", frequency=True, slicing=slicing)
+    )
 
 
 @query(
@@ -281,8 +284,12 @@ def counterfactual_w2(spark, folder):
 def worktime_counterfactual_w2(spark, folder):
     """Part-time wages moved onto full-time wages, then women against men."""
     cell = ["an", "ag10", "origin"]
-    moved = counterfactual(sample(spark, folder), cell, "tp", "logsal", "Temps complet", carry=["sexe"])
-    return rounded(wasserstein(moved, cell, "sexe", "counterfactual", "Homme", ["Femme"], weight="freq", frequency=True))
+    rows = sample(spark, folder)
+    slicing = plan_slices(rows, "logsal")
+    moved = counterfactual(rows, cell, "tp", "logsal", "Temps complet", carry=["sexe"], slicing=slicing)
+    return rounded(
+        wasserstein(moved, cell, "sexe", "counterfactual", "Homme", ["Femme"], weight="freq", frequency=True, slicing=slicing)
+    )
 
 
 REAL_SQL = distance_sql("sample", CELL, "origin", "logsal", REF, ["MACHINERY"])
@@ -294,9 +301,13 @@ COMPARED_SQL = f"""{MAPPED_SQL}, {REAL_SQL}, {OTHER_SQL}, compared AS (
 
 def compared_cases(spark, folder):
     rows = sample(spark, folder)
-    real = wasserstein(rows, CELL, "origin", "logsal", REF, ["MACHINERY"])
-    moved = counterfactual(rows, DIPLOMA_CELL, "origin", "logsal", "MACHINERY")
-    other = wasserstein(moved, CELL, "origin", "counterfactual", REF, ["MACHINERY"], weight="freq", frequency=True)
+    # Mapped values lie among the original ones, so one division of the value axis serves both measurements.
+    slicing = plan_slices(rows, "logsal")
+    real = wasserstein(rows, CELL, "origin", "logsal", REF, ["MACHINERY"], slicing=slicing)
+    moved = counterfactual(rows, DIPLOMA_CELL, "origin", "logsal", "MACHINERY", slicing=slicing)
+    other = wasserstein(
+        moved, CELL, "origin", "counterfactual", REF, ["MACHINERY"], weight="freq", frequency=True, slicing=slicing
+    )
     return compare_cases(real, other, CELL)
 
 

@@ -25,6 +25,7 @@ from quantgap.models.paths import (
 from quantgap.operators.cells import keep_varied_groups, reference_join
 from quantgap.operators.distance import wasserstein
 from quantgap.plans.queries.base import REF, SAMPLE_SQL, distance_sql, query, rounded, sample, table
+from quantgap.session import cut_lineage
 
 FINE = ["sexe", "an", "ag10", "dip", "pcs"]
 # Orthonormal polynomial contrasts of three equally spaced levels.
@@ -64,7 +65,8 @@ def term_sql(names: list[str], column: str = "i") -> str:
 def fine_cells(spark, folder):
     """Distance and smaller group size of every fine cell."""
     cells = wasserstein(sample(spark, folder), FINE, "origin", "logsal", REF, ["MACHINERY"], min_obs=2)
-    return cells.withColumn("n_min", F.least("n", "n_ref"))
+    # Models pass over the cell table several times.
+    return cut_lineage(cells.withColumn("n_min", F.least("n", "n_ref")), "cells")
 
 
 FINE_SQL = f"""{SAMPLE_SQL}, {distance_sql("sample", FINE, "origin", "logsal", REF, ["MACHINERY"], least=2)},

@@ -14,6 +14,7 @@ from quantgap.operators.resample import (
     poisson_thresholds,
     with_interval,
 )
+from quantgap.operators.samples import plan_slices
 from quantgap.plans.queries.base import CELL, REF, SAMPLE_SQL, distance_sql, query, rounded, sample
 from quantgap.plans.report import chart_tiles
 
@@ -110,8 +111,9 @@ TILE_SQL = f"{BOOT_SQL}, {INTERVAL_SQL}, {POINT_SQL}"
 )
 def estimate_interval_join(spark, folder):
     rows = sample(spark, folder)
-    point = wasserstein(rows, CELL, "origin", "logsal", REF, ["MACHINERY"])
-    replicates = bootstrap_wasserstein(rows, CELL, "origin", "logsal", REF, ["MACHINERY"], "id", REPLICATES, SEED)
+    slicing = plan_slices(rows, "logsal")
+    point = wasserstein(rows, CELL, "origin", "logsal", REF, ["MACHINERY"], slicing=slicing)
+    replicates = bootstrap_wasserstein(rows, CELL, "origin", "logsal", REF, ["MACHINERY"], "id", REPLICATES, SEED, slicing=slicing)
     return rounded(with_interval(point, percentile_interval(replicates, [*CELL, "origin"], total=REPLICATES), [*CELL, "origin"]))
 
 

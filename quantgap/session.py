@@ -8,6 +8,8 @@ import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 ARROW_TYPES = {
     "int": pa.int32(),
@@ -27,6 +29,8 @@ def get_session(app: str = "quantgap", master: str | None = None, shuffle_partit
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Recording the calling line of every column expression makes building long plans slow.
+        .config("spark.sql.dataFrameQueryContext.enabled", "false")
     )
     if master:
         builder = builder.master(master).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "16g")
@@ -52,13 +56,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder, so a lost executor does not replay the whole preparation."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint()
+def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
+    """The same rows from a table written in the shared folder.
+
+    Later passes read the table instead of repeating what made it, a lost executor does not replay it, and the
+    optimizer knows its size.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def literal_table(spark: SparkSession, schema: list[tuple[str, str]], rows: list[tuple]) -> DataFrame:
@@ -66,3 +72,11 @@ def literal_table(spark: SparkSession, schema: list[tuple[str, str]], rows: list
     columns = list(zip(*rows)) if rows else [()] * len(schema)
     arrays = [pa.array(list(values), type=ARROW_TYPES[kind]) for (_, kind), values in zip(schema, columns)]
     return spark.createDataFrame(pa.table(arrays, names=[name for name, _ in schema]))
+
+
+def result_table(spark: SparkSession, schema: str | StructType, rows: list[tuple]) -> DataFrame:
+    """Table of computed results (coefficients and the like), kept as local data of the plan."""
+    declared = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    columns = list(zip(*rows)) if rows else [()] * len(declared)
+    arrays = [pa.array(list(values), type=to_arrow_type(field.dataType)) for values, field in zip(columns, declared)]
+    return spark.createDataFrame(pa.table(arrays, names=declared.names), schema=declared)

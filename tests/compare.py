@@ -57,6 +57,10 @@ if __name__ == "__main__":
     from __spark_entry__ import oracle_sql, queries
     from quantgap.session import get_session
 
+    if os.environ.get("ROWS_PER_SLICE"):  # force the path for large tables
+        from quantgap.operators import samples
+
+        samples.plan_slices.__defaults__ = (int(os.environ["ROWS_PER_SLICE"]),)
     folder = os.environ.get("SF_DIR", "/root/testdata/sf0.01")
     spark = get_session(master="local[8]", shuffle_partitions=8)
     spark.sparkContext.setLogLevel("ERROR")
