@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quantgap.operators.distance import cell_summary
 from quantgap.operators.joins import join_null_safe
-from quantgap.operators.samples import Slicing, plan_slices, ranked
+from quantgap.operators.samples import ROWS_PER_SLICE, Slicing, even_slices, plan_slices, running_total
 from quantgap.session import literal_table
 
 DRAWS_PER_HASH = 4
@@ -61,10 +61,14 @@ def spread_small(df: DataFrame, row_key: str, slicing: Slicing) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism, row_key)
 
 
+def uniform(*parts) -> Column:
+    """Uniform number in [0, 1) from a hash of its parts."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 13), 16, 10).cast("long") / F.lit(float(2**52))
+
+
 def multinomial_replicates(
     df: DataFrame,
     cell: list[str],
-    value: str,
     row_key: str,
     replicates: int = 100,
     seed: int = 42,
@@ -75,18 +79,15 @@ def multinomial_replicates(
 ) -> DataFrame:
     """Replicates that draw exactly as many rows per cell as the cell has.
 
-    Rows are numbered within their cell (slice by slice), every row contributes one draw per replicate, and the drawn
-    numbers are counted before they are joined back to the rows.
+    Rows are numbered within their cell in the order of a hash, whose even spread makes even slices; every row
+    contributes one draw per replicate, and the drawn numbers are counted before they are joined back to the rows.
     """
-    slicing = slicing or plan_slices(df, value)
-    tagged = df.select(*cell, value, row_key, *carry, F.lit(0).alias("_all"))
-    numbered = ranked(tagged, cell, "_all", value, None, [row_key, *carry], slicing)
-    numbered = numbered.select(*cell, row_key, *carry, F.col("_v").alias(value), F.col("_cum").alias("_number"), F.col("_n").alias("_size"))
+    rows = df.select(*cell, row_key, *carry, uniform(F.lit("number"), F.col(row_key)).alias("_u"))
+    slicing = even_slices(slicing.rows if slicing else rows.count(), slicing.rows_per_slice if slicing else ROWS_PER_SLICE)
+    numbered = running_total(rows, cell, "_u", [F.col(row_key)], F.lit(1).cast("long"), "_number", slicing, "_size").drop("_u")
     picks = spread_small(numbered, row_key, slicing).withColumn(rep, F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(rep), F.col(row_key)))
-    uniform = F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(float(2**52))
-    picks = picks.select(*cell, rep, (F.floor(uniform * F.col("_size")) + 1).alias("_number"))
-    counted = picks.groupBy(*cell, rep, "_number").agg(F.count(F.lit(1)).alias(draw))
+    place = F.floor(uniform(F.lit(str(seed)), F.col(rep), F.col(row_key)) * F.col("_size")) + 1
+    counted = picks.select(*cell, rep, place.alias("_number")).groupBy(*cell, rep, "_number").agg(F.count(F.lit(1)).alias(draw))
     return join_null_safe(counted, numbered.drop("_size"), [*cell, "_number"], "inner").drop("_number")
 
 
@@ -113,7 +114,7 @@ def bootstrap_wasserstein(
         kept = spread_small(kept.where(F.col(group).isin(*targets, ref)), row_key, slicing)
         drawn = poisson_replicates(kept, row_key, replicates, seed)
     elif method == "multinomial":
-        drawn = multinomial_replicates(kept, cell, value, row_key, replicates, seed, [group], slicing)
+        drawn = multinomial_replicates(kept, cell, row_key, replicates, seed, [group, value], slicing)
     else:
         raise ValueError(f"unknown method {method!r}")
     summary = cell_summary(

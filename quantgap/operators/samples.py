@@ -22,6 +22,7 @@ from quantgap.operators.joins import join_null_safe
 
 ROWS_PER_SLICE = 1_000_000
 MAX_SPLITS = 20_000
+MAX_BROADCAST_ROWS = 100_000
 
 
 @dataclass(frozen=True)
@@ -53,6 +54,12 @@ def plan_slices(df: DataFrame, value: str, rows_per_slice: int = ROWS_PER_SLICE)
     return Slicing(rows, tuple(sorted(set(found))), rows_per_slice)
 
 
+def even_slices(rows: int, rows_per_slice: int = ROWS_PER_SLICE) -> Slicing:
+    """Division of a column known to be uniform on [0, 1)."""
+    parts = min(math.ceil(rows / rows_per_slice), MAX_SPLITS)
+    return Slicing(rows, tuple(i / parts for i in range(1, parts)), rows_per_slice)
+
+
 def ranked(
     df: DataFrame,
     cell: list[str],
@@ -108,24 +115,39 @@ def ranked(
     rows = rows.groupBy(*keys, *carry, "_cut", "_v").agg(*sums)
     rows = rows if weighted else rows.withColumn("_c", F.col("_w"))
 
+    # The totals of a slice enter as its first row, so the running sums start from what lies before the slice and no
+    # join of the rows is needed.
     totals = slice_totals(rows, cell, group, slicing.rows_per_slice)
-    order = W.partitionBy(*keys, "_cut").orderBy("_v")
-    joined = join_null_safe(rows, totals, [*keys, "_cut"], "inner")
-    return joined.select(
+    facts = ["_n", "_obs", "_mean", "_least", "_last_before", "_first_after", "_slices"]
+    heads = totals.select(*keys, "_cut", F.col("_before").alias("_w"), F.struct(*facts).alias("_facts"), F.lit(0).alias("_row"))
+    merged = heads.unionByName(rows.withColumn("_row", F.lit(1)), allowMissingColumns=True)
+    order = W.partitionBy(*keys, "_cut").orderBy("_row", "_v")
+    running = order.rowsBetween(W.unboundedPreceding, 0)
+    ranked_rows = merged.select(
         *keys,
         *carry,
+        "_row",
         "_v",
         "_w",
         "_c",
-        (F.col("_before") + F.sum("_w").over(order.rowsBetween(W.unboundedPreceding, 0))).alias("_cum"),
-        (F.col("_before") + F.sum("_w").over(order)).alias("_cum_tie"),
-        "_n",
-        "_obs",
-        "_mean",
-        "_least",
-        F.coalesce(F.lag("_v").over(order), F.col("_last_before")).alias("_prev"),
-        F.coalesce(F.lead("_v").over(order), F.col("_first_after")).alias("_next"),
-        "_slices",
+        F.sum("_w").over(running).alias("_cum"),
+        F.sum("_w").over(order).alias("_cum_tie"),
+        F.first("_facts").over(running).alias("_facts"),
+        F.lag("_v").over(order).alias("_lag"),
+        F.lead("_v").over(order).alias("_lead"),
+    ).where("_row = 1")
+    return ranked_rows.select(
+        *keys,
+        *carry,
+        "_v",
+        "_w",
+        "_c",
+        "_cum",
+        "_cum_tie",
+        *[F.col(f"_facts.{name}").alias(name) for name in ("_n", "_obs", "_mean", "_least")],
+        F.coalesce("_lag", "_facts._last_before").alias("_prev"),
+        F.coalesce("_lead", "_facts._first_after").alias("_next"),
+        F.col("_facts._slices").alias("_slices"),
     )
 
 
@@ -183,6 +205,29 @@ def slice_keys(cell: list[str], slicing: Slicing) -> list[str]:
     return [*cell, "_slice"] if slicing.sliced else list(cell)
 
 
+def attach_by_value(
+    df: DataFrame, cell: list[str], group: str, value: str, carry: list[str], mapping: DataFrame, slicing: Slicing
+) -> DataFrame:
+    """Rows with the columns of a ``(cell…, group, _v, _w, …)`` table of distinct values.
+
+    A value shared by very many rows would send them all to one task.  The values heavier than a slice are known (they
+    are at most ``rows / rows_per_slice``), so their entry is copied and the rows are spread over the copies.
+    """
+    rows = df.select(*cell, group, *carry, F.col(value).cast("double").alias("_v"))
+    rows = rows.where(is_finite("_v") & F.col(group).isNotNull())
+    keys = [*cell, group, "_v"]
+    if not slicing.sliced:
+        return join_null_safe(rows, mapping.drop("_w"), keys, "inner")
+    copies = mapping.withColumn("_copies", F.ceil(F.col("_w") / F.lit(slicing.rows_per_slice)).cast("int"))
+    heavy = copies.where(F.col("_copies") > 1).select(*keys, "_copies")
+    spread = F.pmod(F.xxhash64(*[F.col(c) for c in carry]), F.col("_copies"))
+    if slicing.rows / slicing.rows_per_slice <= MAX_BROADCAST_ROWS:
+        heavy = F.broadcast(heavy)
+    salted = join_null_safe(rows, heavy, keys, "left").withColumn("_salt", F.coalesce(spread, F.lit(0)).cast("int"))
+    copied = copies.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(F.col("_copies"), F.lit(1)) - 1)))
+    return join_null_safe(salted.drop("_copies"), copied.drop("_w", "_copies"), [*keys, "_salt"], "inner").drop("_salt")
+
+
 def ecdf(
     df: DataFrame,
     cell: list[str],
@@ -193,29 +238,42 @@ def ecdf(
     slicing: Slicing | None = None,
     name: str = "ecdf",
 ) -> DataFrame:
-    """Empirical distribution function of each group at its own values; equal values share the highest rank."""
+    """Empirical distribution function of each group at its own values; equal values share the highest rank.
+
+    One row per distinct value, or per row of the table where ``carry`` names its columns to keep.
+    """
     slicing = slicing or plan_slices(df, value)
-    rows = ranked(df, cell, group, value, weight, carry, slicing)
-    return rows.select(*cell, group, *carry, F.col("_v").alias(value), (F.col("_cum_tie") / F.col("_n")).alias(name))
+    rows = ranked(df, cell, group, value, weight, (), slicing)
+    ranks = rows.select(*cell, group, "_v", F.col("_c").alias("_w"), (F.col("_cum_tie") / F.col("_n")).alias(name))
+    if carry:
+        ranks = attach_by_value(df, cell, group, value, list(carry), ranks, slicing)
+    return ranks.select(*cell, group, *carry, F.col("_v").alias(value), name)
 
 
 def running_total(
-    df: DataFrame, by: list[str], order: str, ties: list[Column | str], amount: Column, name: str, slicing: Slicing | None = None
+    df: DataFrame, by: list[str], order: str, ties: list[Column | str], amount: Column, name: str, slicing: Slicing | None = None,
+    total: str | None = None,
 ) -> DataFrame:
-    """Running sum of ``amount`` along ``order`` (ties in the order of ``ties``) inside ``by``, slice by slice."""
+    """Running sum of ``amount`` along ``order`` (ties in the order of ``ties``) inside ``by``, slice by slice.
+
+    ``total`` names a column for the whole sum of ``by``.
+    """
     slicing = slicing or plan_slices(df, order)
     valued = df.withColumn("_amount", amount)
     if not slicing.sliced:
         walk = W.partitionBy(*by).orderBy(order, *ties).rowsBetween(W.unboundedPreceding, 0)
+        if total:
+            valued = valued.withColumn(total, F.sum("_amount").over(W.partitionBy(*by)))
         return valued.withColumn(name, F.sum("_amount").over(walk)).drop("_amount")
-    cutter = Bucketizer(splits=[-math.inf, *slicing.splits, math.inf], inputCol="_at", outputCol="_cut")
-    cut = cutter.transform(valued.withColumn("_at", F.col(order).cast("double"))).withColumn("_cut", F.col("_cut").cast("int"))
+    cutter = Bucketizer(splits=[-math.inf, *slicing.splits, math.inf], inputCol="_along", outputCol="_cut")
+    cut = cutter.transform(valued.withColumn("_along", F.col(order).cast("double"))).withColumn("_cut", F.col("_cut").cast("int"))
     sizes = cut.groupBy(*by, "_cut").agg(F.sum("_amount").alias("_sum"))
     earlier = W.partitionBy(*by).orderBy("_cut").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.select(*by, "_cut", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
+    whole = [F.sum("_sum").over(W.partitionBy(*by)).alias(total)] if total else []
+    offsets = sizes.select(*by, "_cut", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"), *whole)
     walk = W.partitionBy(*by, "_cut").orderBy(order, *ties).rowsBetween(W.unboundedPreceding, 0)
     joined = join_null_safe(cut, offsets, [*by, "_cut"], "inner")
-    return joined.withColumn(name, F.col("_before") + F.sum("_amount").over(walk)).drop("_amount", "_at", "_cut", "_before")
+    return joined.withColumn(name, F.col("_before") + F.sum("_amount").over(walk)).drop("_amount", "_along", "_cut", "_before")
 
 
 def row_id(df: DataFrame, key: str, name: str = "id", slicing: Slicing | None = None) -> DataFrame:

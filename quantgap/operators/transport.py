@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 
 from quantgap.functions.scalar import clamp
 from quantgap.operators.distance import interpolate
-from quantgap.operators.joins import join_null_safe
-from quantgap.operators.samples import Slicing, plan_slices, ranked, slice_keys
+from quantgap.operators.samples import Slicing, attach_by_value, plan_slices, ranked, slice_keys
 
 LOWEST, HIGHEST = 0.001, 0.999
 
@@ -21,6 +20,7 @@ def counterfactual(
     value: str,
     ref: str,
     carry: tuple | list = (),
+    split: tuple | list = (),
     weight: str | None = None,
     slicing: Slicing | None = None,
     name: str = "counterfactual",
@@ -31,27 +31,26 @@ def counterfactual(
     ``[.001, .999]``.  Reference rows, and cells without reference rows, keep their value.  With ``weight`` ranks are
     weighted and quantiles interpolate on the cumulative share (see :func:`weighted_rank`).
 
-    Output: ``cell…, group, carry…, value, counterfactual, freq`` with one row per distinct combination and ``freq`` rows
-    behind it; carry a row id to keep individuals apart, or the keys of a coarser cell to measure there directly.
+    Output: ``cell…, group, value, counterfactual, freq`` with one row per distinct value and ``freq`` rows behind it, which
+    is all that a measurement in a coarser cell needs.  ``split`` names categories that divide these rows further (the
+    sex, where sexes are compared afterwards).  With ``carry`` the mapping is attached to the single rows and these
+    columns of theirs are kept.
     """
     slicing = slicing or plan_slices(df, value)
-    rows = ranked(df, cell, group, value, weight, carry, slicing)
-    return map_to_reference(rows, cell, group, value, ref, list(carry), weight is not None, slicing, name)
+    rows = ranked(df, cell, group, value, weight, split, slicing)
+    mapped = map_to_reference(rows, cell, group, value, ref, list(split), weight is not None, slicing, name)
+    if not carry:
+        return mapped
+    mapping = mapped.select(*cell, group, *split, F.col(value).alias("_v"), name, F.col("freq").alias("_w"))
+    single = attach_by_value(df, [*cell, *split], group, value, list(carry), mapping, slicing)
+    return single.select(*cell, group, *split, *carry, F.col("_v").alias(value), name, F.lit(1).cast("long").alias("freq"))
 
 
 def map_to_reference(rows, cell, group, value, ref, carry, weighted, slicing, name) -> DataFrame:
     is_ref = F.col(group) == F.lit(ref)
     targets = rows.where(is_ref)
     sources = rows.where(~is_ref)
-    if slicing.sliced:
-        # The reference total must be known before positions can be cut; it is one number per cell.
-        sizes = targets.groupBy(*cell).agg(F.max("_n").alias("_ref_n"))
-        sources = join_null_safe(sources, sizes, cell, "left")
-        targets = targets.withColumn("_ref_n", F.col("_n"))
-    else:
-        both = rows.withColumn("_ref_n", F.max(F.when(is_ref, F.col("_n"))).over(W.partitionBy(*cell)))
-        targets, sources = both.where(is_ref), both.where(~is_ref)
-
+    targets = targets.withColumn("_ref_n", F.col("_n"))
     if weighted:
         # Interpolation runs between distinct values, so equal values are taken together.
         kept_columns = [F.max("_n").alias("_n"), F.max("_ref_n").alias("_ref_n"), F.max("_slices").alias("_slices")]

@@ -286,7 +286,7 @@ def worktime_counterfactual_w2(spark, folder):
     cell = ["an", "ag10", "origin"]
     rows = sample(spark, folder)
     slicing = plan_slices(rows, "logsal")
-    moved = counterfactual(rows, cell, "tp", "logsal", "Temps complet", carry=["sexe"], slicing=slicing)
+    moved = counterfactual(rows, cell, "tp", "logsal", "Temps complet", split=["sexe"], slicing=slicing)
     return rounded(
         wasserstein(moved, cell, "sexe", "counterfactual", "Homme", ["Femme"], weight="freq", frequency=True, slicing=slicing)
     )

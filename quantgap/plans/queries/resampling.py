@@ -76,7 +76,7 @@ def bootstrap_ci_sparse(spark, folder):
 
 @query(
     "bootstrap_multinomial",
-    f"""WITH {SAMPLE_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY {CELLS} ORDER BY logsal, id) AS number, count(*) OVER (PARTITION BY {CELLS}) AS size FROM sample),
+    f"""WITH {SAMPLE_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY {CELLS} ORDER BY substr(md5('number|' || id), 1, 13), id) AS number, count(*) OVER (PARTITION BY {CELLS}) AS size FROM sample),
     picks AS (SELECT {CELLS}, rep, floor(('0x' || substr(md5(concat_ws('|', '{SEED}', rep, id)), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE * size)::BIGINT + 1 AS number
       FROM n, (SELECT unnest(range(5))::INTEGER AS rep)),
     c AS (SELECT {CELLS}, rep, number, count(*) AS draw FROM picks GROUP BY ALL)
@@ -85,7 +85,7 @@ def bootstrap_ci_sparse(spark, folder):
 )
 def bootstrap_multinomial(spark, folder):
     """Replicates with exactly as many draws as the cell has rows."""
-    drawn = multinomial_replicates(sample(spark, folder), CELL, "logsal", "id", 5, SEED)
+    drawn = multinomial_replicates(sample(spark, folder), CELL, "id", 5, SEED, ["logsal"])
     mean = F.sum(F.col("draw") * F.col("logsal")) / F.sum("draw")
     return rounded(
         drawn.groupBy(*CELL, "rep").agg(F.count(F.lit(1)).alias("lignes"), F.sum("draw").alias("tirages"), mean.alias("m"))
