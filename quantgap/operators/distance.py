@@ -173,7 +173,8 @@ def quantiles(
     slicing = slicing or plan_slices(df, value)
     rows = ranked(df, cell, group, value, None, (), slicing)
     by = [*cell, group]
-    sizes = df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    # The last row of a group knows its size.
+    sizes = rows.where(F.col("_next").isNull()).select(*by, F.col("_n").alias("n"))
     lookups = sizes.crossJoin(probabilities).withColumn("_h", (F.col("n") - 1) * F.col(prob))
     hits = locate(rows, lookups, by, "_h", cell, slicing)
     return hits.withColumn(name, interpolate("_hit", F.col("_h"))).drop("_hit", "_h")

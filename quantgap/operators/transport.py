@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quantgap.functions.scalar import clamp
+from quantgap.functions.scalar import clamp, is_finite
 from quantgap.operators.distance import interpolate
+from quantgap.operators.joins import join_null_safe
 from quantgap.operators.samples import Slicing, attach_by_value, plan_slices, ranked, slice_keys
 
 LOWEST, HIGHEST = 0.001, 0.999
@@ -37,88 +38,89 @@ def counterfactual(
     columns of theirs are kept.
     """
     slicing = slicing or plan_slices(df, value)
-    rows = ranked(df, cell, group, value, weight, split, slicing)
-    mapped = map_to_reference(rows, cell, group, value, ref, list(split), weight is not None, slicing, name)
+    keys = [*cell, group]
+    if split and weight:
+        # Weighted interpolation runs between distinct values, so the mapping is made before rows are divided.
+        mapping = map_to_reference(ranked(df, cell, group, value, weight, (), slicing), cell, group, value, ref, [], True, slicing, name)
+        finite = df.withColumn(value, F.col(value).cast("double")).where(is_finite(value) & F.col(group).isNotNull())
+        counts = finite.groupBy(*keys, *split, value).agg(F.count(F.lit(1)).alias("freq"))
+        mapped = join_null_safe(counts, mapping.drop("freq"), [*keys, value], "inner")
+        mapped = mapped.select(*keys, *split, value, name, "freq")
+    else:
+        rows = ranked(df, cell, group, value, weight, split, slicing)
+        mapped = map_to_reference(rows, cell, group, value, ref, list(split), weight is not None, slicing, name)
     if not carry:
         return mapped
-    mapping = mapped.select(*cell, group, *split, F.col(value).alias("_v"), name, F.col("freq").alias("_w"))
+    mapping = mapped.select(*keys, *split, F.col(value).alias("_v"), name, F.col("freq").alias("_w"))
     single = attach_by_value(df, [*cell, *split], group, value, list(carry), mapping, slicing)
-    return single.select(*cell, group, *split, *carry, F.col("_v").alias(value), name, F.lit(1).cast("long").alias("freq"))
+    return single.select(*keys, *split, *carry, F.col("_v").alias(value), name, F.lit(1).cast("long").alias("freq"))
+
 
+def map_to_reference(
+    rows: DataFrame, cell: list[str], group: str, value: str, ref: str, split: list[str], weighted: bool, slicing: Slicing, name: str
+) -> DataFrame:
+    """Mapping of ranked rows in one ordered walk along the rank axis of each cell.
 
-def map_to_reference(rows, cell, group, value, ref, carry, weighted, slicing, name) -> DataFrame:
+    Reference rows hold a stretch of ranks and answer; the others ask at their rank.  The rank limits act on both sides:
+    the reference row holding the low limit serves every rank below it, likewise at the top, and the rows beyond answer
+    nothing.  Asking rows are placed by their unlimited rank, so those beyond the limits do not pile up in one slice.
+    """
     is_ref = F.col(group) == F.lit(ref)
-    targets = rows.where(is_ref)
-    sources = rows.where(~is_ref)
-    targets = targets.withColumn("_ref_n", F.col("_n"))
-    if weighted:
-        # Interpolation runs between distinct values, so equal values are taken together.
-        kept_columns = [F.max("_n").alias("_n"), F.max("_ref_n").alias("_ref_n"), F.max("_slices").alias("_slices")]
-        targets = targets.groupBy(*cell, "_v").agg(
-            F.sum("_w").alias("_w"), F.max("_cum_tie").alias("_cum"), F.min("_prev").alias("_prev"), *kept_columns
-        )
-    before = (F.col("_cum") - F.col("_w")).cast("double")
+    before, after = (F.col("_cum") - F.col("_w")).cast("double"), F.col("_cum").cast("double")
     if weighted:
         own_rank = weighted_rank()
-        low, high = before / F.col("_n"), F.col("_cum") / F.col("_n")
-        floor_at, ceil_at = F.lit(LOWEST), F.lit(HIGHEST)
+        low, high = before / F.col("_n"), after / F.col("_n")
+        answers = (high >= LOWEST) & (low < HIGHEST)
+        start = F.when(low < LOWEST, F.lit(0.0)).otherwise(low)
+        end = F.when(high >= HIGHEST, F.lit(1.0)).otherwise(high)
         hit = F.struct("_v", "_prev", low.alias("_low"), high.alias("_high"))
     else:
-        # In rank units the reference row holds positions [before, cum); the limits fall in exactly one row each.
+        # In rank units a row holds [before, after); each limit falls in exactly one row.
         own_rank = F.col("_cum_tie") / F.col("_n")
-        span = F.col("_ref_n") - 1
-        low, high = before, F.col("_cum").cast("double")
+        span = F.col("_n") - 1
         floor_at, ceil_at = F.floor(span * LOWEST), F.floor(span * HIGHEST)
-        hit = F.struct("_v", "_next", "_cum", "_ref_n")
-
-    # Rank limits act on both sides: the row holding the low limit serves every rank below it, likewise at the top, and
-    # rows beyond the limits are never asked for.
-    if weighted:
-        kept = targets.where((high >= floor_at) & (low < ceil_at))
-        starts = F.when(low < floor_at, F.lit(0.0)).otherwise(low)
-        ends = F.when(high >= ceil_at, F.lit(1.0)).otherwise(high)
-    else:
-        kept = targets.where((high > floor_at) & (low <= ceil_at))
-        starts = F.when(low <= floor_at, F.lit(0.0)).otherwise(low / span)
-        ends = F.when(high > ceil_at, F.lit(1.0)).otherwise(high / span)
-    held = kept.select(*cell, starts.alias("_at"), ends.alias("_end"), "_slices", F.lit(0).alias("_asks"), hit.alias("_hit"))
-    # A source row is placed by its own unlimited rank, so the rows beyond the limits do not pile up in one slice.
-    asked = sources.select(
+        answers = (after > floor_at) & (before <= ceil_at)
+        start = F.when(before <= floor_at, F.lit(0.0)).otherwise(F.try_divide(before, span))
+        end = F.when(after > ceil_at, F.lit(1.0)).otherwise(F.try_divide(after, span))
+        hit = F.struct("_v", "_next", "_cum", F.col("_n").alias("_ref_n"))
+    placed = rows.select(
         *cell,
-        own_rank.alias("_at"),
-        F.lit(1).alias("_asks"),
-        "_slices",
         group,
-        *carry,
-        F.col("_v").alias("_own"),
-        F.col("_c").alias("_freq"),
+        *split,
+        "_v",
+        "_c",
+        "_slices",
+        F.when(is_ref, start).otherwise(own_rank).alias("_at"),
+        F.when(is_ref & answers, end).otherwise(F.when(is_ref, start).otherwise(own_rank)).alias("_end"),
+        F.when(is_ref, 0).otherwise(1).alias("_asks"),
+        F.when(is_ref & answers, hit).alias("_hit"),
         clamp(own_rank, LOWEST, HIGHEST).alias("_p"),
     )
     if slicing.sliced:
         top = F.col("_slices") - 1
-        first = F.least(F.floor(F.col("_at") * F.col("_slices")), top)
-        final = F.least(F.floor(F.col("_end") * F.col("_slices")), top)
-        held = held.withColumn("_slice", F.explode(F.sequence(first, F.greatest(final, first))))
-        asked = asked.withColumn("_slice", F.least(F.floor(F.col("_at") * F.col("_slices")), top))
-    by = slice_keys(cell, slicing)
-    merged = held.drop("_end", "_slices").unionByName(asked.drop("_slices"), allowMissingColumns=True)
-    # Weighted rows hold (low, high], unweighted rows [before, cum): at equal position the asking row comes first or last.
-    order = W.partitionBy(*by).orderBy("_at", F.col("_asks").desc() if weighted else F.col("_asks").asc())
-    walk = order.rowsBetween(W.unboundedPreceding, 0)
-    found = merged.withColumn("_hit", F.last("_hit", ignorenulls=True).over(walk)).where("_asks = 1")
+        placed = placed.withColumn("_low", F.least(F.floor(F.col("_at") * F.col("_slices")), top))
+        final = F.greatest(F.least(F.floor(F.col("_end") * F.col("_slices")), top), F.col("_low"))
+        placed = placed.withColumn("_slice", F.explode(F.sequence(F.col("_low"), final)))
+    # Weighted stretches are (low, high], unweighted ones [before, after): at equal place the asking row is first or last.
+    order = W.partitionBy(*slice_keys(cell, slicing)).orderBy("_at", F.col("_asks").desc() if weighted else F.col("_asks").asc())
+    found = placed.withColumn("_hit", F.last("_hit", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0)))
+    if slicing.sliced:
+        found = found.where((F.col("_asks") == 1) | (F.col("_slice") == F.col("_low")))
     if weighted:
         share = F.try_divide(F.col("_p") - F.col("_hit._low"), F.col("_hit._high") - F.col("_hit._low"))
         below = F.coalesce(F.col("_hit._prev"), F.col("_hit._v"))
         mapped = below + clamp(share, 0.0, 1.0) * (F.col("_hit._v") - below)
     else:
         mapped = interpolate("_hit", F.col("_p") * (F.col("_hit._ref_n") - 1))
-    moved = found.select(
-        *cell, group, *carry, F.col("_own").alias(value), F.coalesce(mapped, F.col("_own")).alias(name), F.col("_freq").alias("freq")
-    )
-    kept_own = rows.where(is_ref).select(
-        *cell, group, *carry, F.col("_v").alias(value), F.col("_v").alias(name), F.col("_c").alias("freq")
+    own = F.col("_v")
+    return found.select(
+        *cell,
+        group,
+        *split,
+        own.alias(value),
+        F.when(F.col("_asks") == 1, F.coalesce(mapped, own)).otherwise(own).alias(name),
+        F.col("_c").alias("freq"),
     )
-    return moved.unionByName(kept_own)
 
 
 def weighted_rank():

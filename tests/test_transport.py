@@ -41,6 +41,18 @@ def test_collapsed_rows_measure_like_single_rows(spark):
     assert a.w < wasserstein(df, ["big"], "g", "v", "ref", ["a"]).first().w + 0.05
 
 
+@pytest.mark.parametrize("weight", [None, "wt"])
+def test_split_divides_rows_but_not_the_mapping(spark, weight):
+    frame = reference.mixed_sample(900, seed=7)
+    frame["sex"] = np.where(frame.id % 2 == 0, "H", "F")
+    df = spark.createDataFrame(frame).cache()
+    whole = counterfactual(df, ["cell"], "g", "v", "ref", weight=weight).toPandas().set_index(["cell", "g", "v"])
+    parts = counterfactual(df, ["cell"], "g", "v", "ref", split=["sex"], weight=weight).toPandas()
+    assert parts.freq.sum() == whole.freq.sum() == len(frame)
+    expected = whole.counterfactual.reset_index().merge(parts, on=["cell", "g", "v"])
+    assert np.allclose(expected.counterfactual_x, expected.counterfactual_y)
+
+
 def test_compare_cases(spark):
     real = spark.createDataFrame([("c", 0.5)], "cell string, w double")
     other = spark.createDataFrame([("c", 0.3)], "cell string, w double")
