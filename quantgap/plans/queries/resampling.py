@@ -74,14 +74,19 @@ def bootstrap_ci_sparse(spark, folder):
     return rounded(percentile_interval(replicates, ["pcs", "unit", "origin"], total=REPLICATES))
 
 
+def picks_sql(replicates: int) -> str:
+    """CTE ``drawn``: exact multinomial counts of the rows of each cell."""
+    return f"""n AS (SELECT *, row_number() OVER (PARTITION BY {CELLS} ORDER BY substr(md5('number|' || id), 1, 13), id) AS number, count(*) OVER (PARTITION BY {CELLS}) AS size FROM sample),
+    picks AS (SELECT {CELLS}, rep, floor(('0x' || substr(md5(concat_ws('|', '{SEED}', rep, id)), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE * size)::BIGINT + 1 AS number
+      FROM n, (SELECT unnest(range({replicates}))::INTEGER AS rep)),
+    counted AS (SELECT {CELLS}, rep, number, count(*) AS draw FROM picks GROUP BY ALL),
+    drawn AS (SELECT c.sexe, c.an, c.ag10, c.rep, c.draw, n.origin, n.logsal FROM counted c JOIN n ON c.sexe = n.sexe AND c.an = n.an AND c.ag10 = n.ag10 AND c.number = n.number)"""
+
+
 @query(
     "bootstrap_multinomial",
-    f"""WITH {SAMPLE_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY {CELLS} ORDER BY substr(md5('number|' || id), 1, 13), id) AS number, count(*) OVER (PARTITION BY {CELLS}) AS size FROM sample),
-    picks AS (SELECT {CELLS}, rep, floor(('0x' || substr(md5(concat_ws('|', '{SEED}', rep, id)), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE * size)::BIGINT + 1 AS number
-      FROM n, (SELECT unnest(range(5))::INTEGER AS rep)),
-    c AS (SELECT {CELLS}, rep, number, count(*) AS draw FROM picks GROUP BY ALL)
-    SELECT c.sexe, c.an, c.ag10, rep, count(*) AS lignes, sum(draw)::BIGINT AS tirages, round(sum(draw * logsal) / sum(draw), 6) AS m
-    FROM c JOIN n ON c.sexe = n.sexe AND c.an = n.an AND c.ag10 = n.ag10 AND c.number = n.number GROUP BY ALL""",
+    f"""WITH {SAMPLE_SQL}, {picks_sql(5)} SELECT {CELLS}, rep, count(*) AS lignes, sum(draw)::BIGINT AS tirages,
+    round(sum(draw * logsal) / sum(draw), 6) AS m FROM drawn GROUP BY ALL""",
 )
 def bootstrap_multinomial(spark, folder):
     """Replicates with exactly as many draws as the cell has rows."""
@@ -92,7 +97,12 @@ def bootstrap_multinomial(spark, folder):
     )
 
 
-@query("bootstrap_multinomial_w2")
+@query(
+    "bootstrap_multinomial_w2",
+    f"""WITH {SAMPLE_SQL}, {picks_sql(20)},
+    {distance_sql("drawn", [*CELL, "rep"], "origin", "logsal", REF, ["MACHINERY"], weight="draw", least=2, frequency=True)}
+    SELECT {CELLS}, rep, target AS origin, round(w, 6) AS w FROM distances""",
+)
 def bootstrap_multinomial_w2(spark, folder):
     """Distances on exact multinomial replicates."""
     return rounded(
