@@ -59,19 +59,20 @@ def bootstrap_ci(spark, folder):
     return rounded(percentile_interval(replicates, [*CELL, "origin"], total=REPLICATES))
 
 
+SPARSE = [*CELL, "dip", "pcs", "tp"]
+
+
 @query(
     "bootstrap_ci_sparse",
-    f"""WITH {SAMPLE_SQL}, thin AS (SELECT *, ag % 10 AS unit FROM sample WHERE id % 40 = 7), {draws_sql("thin")},
-    {distance_sql("drawn", ["pcs", "unit", "rep"], "origin", "logsal", REF, ["MACHINERY"], weight="draw", least=2, frequency=True)},
-    {INTERVAL_SQL.replace(CELLS, "pcs, unit")}
-    SELECT pcs, unit, target AS origin, reps, round(lo, 6) AS lo, round(hi, 6) AS hi FROM intervals""".replace("id % 40 = 7", "tp = 'Temps partiel' AND sexe = 'Femme' AND an = 3 AND dip = 1"),
+    f"""WITH {SAMPLE_SQL}, {draws_sql("sample")},
+    {distance_sql("drawn", [*SPARSE, "rep"], "origin", "logsal", REF, ["MACHINERY"], weight="draw", least=2, frequency=True)},
+    {INTERVAL_SQL.replace(CELLS, ", ".join(SPARSE))}
+    SELECT {", ".join(SPARSE)}, target AS origin, reps, round(lo, 6) AS lo, round(hi, 6) AS hi FROM intervals""",
 )
 def bootstrap_ci_sparse(spark, folder):
-    """Small cells: replicates without enough rows are missing, too few usable ones give no interval."""
-    rows = sample(spark, folder).where((F.col("tp") == "Temps partiel") & (F.col("sexe") == "Femme") & (F.col("an") == 3) & (F.col("dip") == 1))
-    rows = rows.withColumn("unit", F.col("ag") % 10)
-    replicates = bootstrap_wasserstein(rows, ["pcs", "unit"], "origin", "logsal", REF, ["MACHINERY"], "id", REPLICATES, SEED)
-    return rounded(percentile_interval(replicates, ["pcs", "unit", "origin"], total=REPLICATES))
+    """Many small cells: replicates without enough rows are missing, too few usable ones give no interval."""
+    replicates = bootstrap_wasserstein(sample(spark, folder), SPARSE, "origin", "logsal", REF, ["MACHINERY"], "id", REPLICATES, SEED)
+    return rounded(percentile_interval(replicates, [*SPARSE, "origin"], total=REPLICATES))
 
 
 def picks_sql(replicates: int) -> str:
