@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -156,7 +155,3 @@ def francs_to_euros(x: str | Column, rate: float = FRANCS_TO_EUROS) -> Column:
 def odds_ratio(p1: Column, p2: Column) -> Column:
     """Odds of the first share over odds of the second, NULL where undefined."""
     return F.try_divide(p1 * (1 - p2), p2 * (1 - p1))
-
-
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)

@@ -20,10 +20,12 @@ def composition_weights(df: DataFrame, cohort: str, origin: str, base, name: str
     return shares.select(cohort, origin, "perc", (in_base / F.col("perc")).alias(name))
 
 
-def stratified_sample(df: DataFrame, strata: list[str], quota: Column, row_key: str, seed: int = 42) -> DataFrame:
+def stratified_sample(
+    df: DataFrame, strata: list[str], quota: Column, row_key: str, seed: int = 42, constants: tuple | list = ()
+) -> DataFrame:
     """Exactly ``quota(stratum size)`` rows of each stratum, without replacement, the first in the order of a hash.
 
-    ``quota`` is an expression over ``_size`` and the stratum columns.  Hash prefixes are counted first: whole prefixes
+    ``quota`` is an expression over ``_size``, the stratum columns and ``constants``, columns with one value per stratum.  Hash prefixes are counted first: whole prefixes
     below the quota are kept as they are, and only the rows of the one prefix in which the quota falls are ranked.  A
     stratum holding most of the table therefore never meets in one task.
     """
@@ -31,7 +33,7 @@ def stratified_sample(df: DataFrame, strata: list[str], quota: Column, row_key:
     hashed = df.withColumn("_hash", digest).withColumn("_prefix", F.substring("_hash", 1, PREFIX_DIGITS))
     whole = W.partitionBy(*strata)
     up_to = whole.orderBy("_prefix").rowsBetween(W.unboundedPreceding, 0)
-    sizes = hashed.groupBy(*strata, "_prefix").count()
+    sizes = hashed.groupBy(*strata, "_prefix").agg(F.count(F.lit(1)).alias("count"), *[F.max(c).alias(c) for c in constants])
     plan = sizes.withColumn("_size", F.sum("count").over(whole)).withColumn("_upto", F.sum("count").over(up_to))
     plan = plan.withColumn("_quota", quota).withColumn("_left", F.col("_quota") - (F.col("_upto") - F.col("count")))
     plan = plan.where("_left > 0").select(*strata, "_prefix", "_left", (F.col("_left") >= F.col("count")).alias("_whole"))
@@ -74,6 +76,5 @@ def balance_nonresponse(
 
 def stratified_by_rate(df: DataFrame, strata: list[str], rate: str, row_key: str, seed: int = 42) -> DataFrame:
     """Keep ``floor(n * (1 - rate))`` rows per stratum, the rate being a column that is constant within strata."""
-    keyed = [*strata, rate]
     quota = F.floor(F.col("_size") * (1 - F.col(rate)))
-    return stratified_sample(df, keyed, quota, row_key, seed)
+    return stratified_sample(df, strata, quota, row_key, seed, [rate])
