@@ -14,9 +14,11 @@ produces them and the models of all groups and replicates are then fitted in par
 from __future__ import annotations
 
 import math
+import sys
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,11 +28,13 @@ from quantgap.operators.samples import plan_slices
 
 MAX_PATTERNS = 200_000
 NODES, NODE_WEIGHTS = np.polynomial.legendre.leggauss(24)
-_erf = np.vectorize(math.erf, otypes=[float])
+# The fit travels to the tasks with its code, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def normal_cdf(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (1 + _erf(np.clip(x, -38, 38) / math.sqrt(2)))
+    scaled = np.clip(x, -38, 38) / math.sqrt(2)
+    return 0.5 * (1 + np.fromiter(map(math.erf, scaled.ravel()), float, scaled.size).reshape(scaled.shape))
 
 
 def normal_pdf(x: np.ndarray) -> np.ndarray:
@@ -168,9 +172,10 @@ def polyserial(upper, lower, residual_sum, n, sigma) -> float:
     return float((residual_sum / sigma * latent).sum() / (n * latent**2).sum())
 
 
-def fit_patterns(table: pd.DataFrame, model: PathModel) -> list[tuple[str, str, float, float]]:
+def fit_patterns(
+    table: pd.DataFrame, exogenous: list[str], diploma: str, occupation: str, wage: str
+) -> list[tuple[str, str, float, float]]:
     """``(outcome, term, estimate, standardized)`` of one pattern table."""
-    exogenous = [*model.origins.values(), *model.controls]
     x = table[exogenous].to_numpy(float)
     n, sy, syy = (table[c].to_numpy(float) for c in ("n", "sy", "syy"))
     mean = n @ x / n.sum()
@@ -178,8 +183,8 @@ def fit_patterns(table: pd.DataFrame, model: PathModel) -> list[tuple[str, str,
     varies = (n @ x**2) > 1e-9 * n.sum()
     x = x[:, varies]
     names = [e for e, v in zip(exogenous, varies) if v]
-    level1 = pd.factorize(table[model.diploma], sort=True)[0]
-    level2 = pd.factorize(table[model.occupation], sort=True)[0]
+    level1 = pd.factorize(table[diploma], sort=True)[0]
+    level2 = pd.factorize(table[occupation], sort=True)[0]
     cut1, slope1 = ordered_probit(x, level1, n)
     cut2, slope2 = ordered_probit(x, level2, n)
     design = np.column_stack([np.ones(len(n)), x])
@@ -202,14 +207,14 @@ def fit_patterns(table: pd.DataFrame, model: PathModel) -> list[tuple[str, str,
     rows = []
     for name, a, b, d, sx in zip(names, slope1, slope2 - c * slope1, slope3 - e * slope1 - f * slope2, spread_x):
         rows += [
-            (model.diploma, name, a, a * sx / spread1),
-            (model.occupation, name, b, b * sx / spread2),
-            (model.wage, name, d, d * sx / spread3),
+            (diploma, name, a, a * sx / spread1),
+            (occupation, name, b, b * sx / spread2),
+            (wage, name, d, d * sx / spread3),
         ]
     rows += [
-        (model.occupation, model.diploma, c, c * spread1 / spread2),
-        (model.wage, model.diploma, e, e * spread1 / spread3),
-        (model.wage, model.occupation, f, f * spread2 / spread3),
+        (occupation, diploma, c, c * spread1 / spread2),
+        (wage, diploma, e, e * spread1 / spread3),
+        (wage, occupation, f, f * spread2 / spread3),
     ]
     return [(y, t, float(v), float(s)) for y, t, v, s in rows]
 
@@ -221,12 +226,13 @@ def ordinal_path_coefficients(df: DataFrame, model: PathModel, by: list[str] = (
     keyed = table if by else table.withColumn("_all", F.lit(0))
     keys = by or ["_all"]
     names = model.path_names()
+    columns = ([*model.origins.values(), *model.controls], model.diploma, model.occupation, model.wage)
     kinds = ", ".join(f"`{k}` {keyed.schema[k].dataType.simpleString()}" for k in keys)
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
         if len(group) > MAX_PATTERNS:
             raise ValueError(f"{len(group)} patterns: regressors must be categories, not measurements")
-        rows = fit_patterns(group, model)
+        rows = fit_patterns(group, *columns)
         found = pd.DataFrame(rows, columns=["outcome", "term", "estimate", "standardized"])
         found.insert(2, "path", [names.get((y, t)) for y, t, _, _ in rows])
         for place, key in enumerate(keys):
