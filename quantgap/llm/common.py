@@ -14,9 +14,11 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BROADCAST_BYTES = 64 << 20
 
 
-def ascii_lower(text: Column) -> Column:
-    """``A-Z`` to ``a-z`` and nothing else."""
-    return F.translate(text, UPPER, UPPER.lower())
+def bench_words(text: Column) -> Column:
+    """Words of ``BENCH_WORD`` in lower case: one translation lowers A-Z and blanks the rest of ASCII, then blanks part the words."""
+    gaps = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
+    blanked = F.translate(text, UPPER + gaps, UPPER.lower() + " " * len(gaps))
+    return F.array_remove(F.split(blanked, " "), "")
 
 
 def words(text: Column, pattern: str = WORD) -> Column:

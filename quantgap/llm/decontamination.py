@@ -9,14 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantgap.llm.common import BENCH_WORD, ascii_lower, fresh_name, small_side, words
+from quantgap.llm.common import BENCH_WORD, bench_words, fresh_name, small_side
 from quantgap.session import cut_lineage
 
 WINDOW = 10
 
 
 def _tokens(text: str) -> Column:
-    return words(ascii_lower(F.coalesce(F.col(text), F.lit(""))), BENCH_WORD)
+    return bench_words(F.coalesce(F.col(text), F.lit("")))
 
 
 def benchmark_windows(benchmark: DataFrame, item: str = "item_id", text: str = "text", width: int = WINDOW) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantgap.llm import decontamination, mixing, quality, sharding, sql
+from quantgap.session import cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -47,7 +48,8 @@ def op1_sharding(spark, folder):
 @query("op4_mixing", sql.mixing_query())
 def op4_mixing(spark, folder):
     docs = table(spark, folder, "documents")
-    mixed = mixing.mix(docs.select("doc_id", "source", "text"), mixing.n_words("text"))
+    counted = cut_lineage(docs.select("doc_id", "source", mixing.n_words("text").alias("n_words")), "counted")  # one pass over the texts
+    mixed = mixing.mix(counted, F.col("n_words"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "rate")
 
 
