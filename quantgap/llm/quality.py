@@ -125,3 +125,9 @@ def judge(measured: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         if rule.name in BASE_RULES:
             base = base | broken(rule)
     return measured.withColumns({"failed_rules": failed, "base_failed": base}).withColumn("kept", F.size("failed_rules") == 0)
+
+
+def keep_good(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows of ``docs`` that break no rule, with their columns as they are."""
+    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("text"))
+    return judge(measure(whole), rules).where("kept").select("row.*")

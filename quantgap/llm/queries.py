@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantgap.llm import decontamination, mixing, quality, sharding, sql
+from quantgap.llm import decontamination, mixing, near_dedup, quality, sharding, sql
 from quantgap.session import cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +45,11 @@ def op1_sharding(spark, folder):
     return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query("op3_near_duplicates", sql.near_duplicate_query())
+def op3_near_duplicates(spark, folder):
+    return near_dedup.near_duplicates(table(spark, folder, "documents"))
+
+
 @query("op4_mixing", sql.mixing_query())
 def op4_mixing(spark, folder):
     docs = table(spark, folder, "documents")

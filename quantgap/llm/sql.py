@@ -77,6 +77,29 @@ def decontamination_query() -> str:
     return f"SELECT doc_id, n_words, n_hit, n_items, items_sha256, contaminated FROM ({decontamination_rows()})"
 
 
+def near_duplicate_rows(docs: str = "documents") -> str:
+    """Sets, component and verdict of each row of ``docs`` (ids must be unique), beside all its columns."""
+    return f"""
+WITH RECURSIVE n_docs AS (SELECT *, coalesce(regexp_extract_all({_lower("text")}, '{WORD}'), []) AS w FROM {docs}),
+n_shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i + 1:i + least(len(w), 5)], chr(1)) AS s
+  FROM (SELECT doc_id, w, unnest(range(0, len(w) - least(len(w), 5) + 1)) AS i FROM n_docs WHERE len(w) > 0)),
+n_sizes AS (SELECT doc_id, count(*)::BIGINT AS n FROM n_shingles GROUP BY doc_id),
+n_common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM n_shingles a JOIN n_shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+n_links AS (
+  SELECT x, y FROM n_common JOIN n_sizes m ON m.doc_id = x JOIN n_sizes n ON n.doc_id = y WHERE 100 * c >= 75 * (m.n + n.n - c)),
+n_both AS (SELECT x, y FROM n_links UNION ALL SELECT y, x FROM n_links),
+n_reach AS (SELECT x, y FROM n_both UNION SELECT r.x, b.y FROM n_reach r JOIN n_both b ON r.y = b.x),
+n_ids AS (SELECT x, min(y) AS y FROM n_reach GROUP BY x)
+SELECT d.* EXCLUDE (w), coalesce(s.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(r.y, d.doc_id)) AS component_id,
+  d.doc_id <= coalesce(r.y, d.doc_id) AS kept
+FROM n_docs d LEFT JOIN n_sizes s USING (doc_id) LEFT JOIN n_ids r ON r.x = d.doc_id"""
+
+
+def near_duplicate_query() -> str:
+    return f"SELECT doc_id, n_shingles, component_id, kept FROM ({near_duplicate_rows()})"
+
+
 def mixing_rows(docs: str = "documents", seed: int = 11) -> str:
     """Sizes, targets and copies of each row of ``docs``, beside all its columns."""
     weights = ", ".join(map(str, mixing.WEIGHTS))
