@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,3 +45,8 @@ def fresh_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = "_" + name
     return name
+
+
+def ship(module: str) -> None:
+    """Send a module's functions to the Python workers with their code, so that executors need no copy of the package."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])

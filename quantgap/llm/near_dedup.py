@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantgap.llm.common import small_side
+from quantgap.llm.common import ship, small_side
 from quantgap.session import cut_lineage
 
 SHINGLE = 5
@@ -35,6 +35,8 @@ SHARE = 75  # per cent
 MASK = (1 << 64) - 1
 BLOCK = 8192
 
+ship(__name__)
+
 
 def _mixed(x: np.ndarray) -> np.ndarray:
     """Finalizer of a 64-bit hash."""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantgap.llm import decontamination, mixing, near_dedup, quality, sharding, sql
+from quantgap.llm import credentials, decontamination, html_text, mixing, near_dedup, quality, sharding, sql, token_counts, toxicity, warc
 from quantgap.session import cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +45,12 @@ def op1_sharding(spark, folder):
     return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query("op2_warc", sql.warc_query())
+def op2_warc(spark, folder):
+    records = warc.archive(table(spark, folder, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query("op3_near_duplicates", sql.near_duplicate_query())
 def op3_near_duplicates(spark, folder):
     return near_dedup.near_duplicates(table(spark, folder, "documents"))
@@ -58,6 +64,27 @@ def op4_mixing(spark, folder):
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "rate")
 
 
+@query("op5_html_extraction")
+def op5_html_extraction(spark, folder):
+    return html_text.extract(table(spark, folder, "pages"))
+
+
+@query("op6_token_counts")
+def op6_token_counts(spark, folder):
+    return token_counts.count_tokens(table(spark, folder, "documents"))
+
+
+@query("op7_secret_scan")
+def op7_secret_scan(spark, folder):
+    return credentials.scan(table(spark, folder, "documents"))
+
+
+@query("op8_toxicity")
+def op8_toxicity(spark, folder):
+    docs, labels = table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "labels")
+    return toxicity.score(docs, toxicity.fit(docs, labels))
+
+
 @query("op9_quality_rules", sql.quality_query())
 def op9_quality_rules(spark, folder):
     judged = quality.judge(quality.measure(table(spark, folder, "documents").select("doc_id", "text")))

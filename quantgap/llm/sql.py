@@ -173,3 +173,17 @@ FROM (SELECT doc_id, coalesce(text, '') AS body FROM documents), c_table)"""
 def sharding_query() -> str:
     rows = sharding_rows(CRC_KEYS, ["doc_id", "size", "text_crc32"], 8)
     return f"SELECT doc_id, size::BIGINT AS size, text_crc32, 'rows' AS law, shard, slot::BIGINT AS slot, NULL::INT AS grown_shard FROM ({rows})"
+
+
+def warc_query() -> str:
+    """SHA-1 in hexadecimal is written in base 32 by groups of five digits, which are four signs each."""
+    sign = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'"
+    five = "('0x' || substr(sha, 5 * g + 1, 5))::BIGINT"
+    signs = " || ".join(f"substr({sign}, ({five} // {32**k}) % 32 + 1, 1)" for k in (3, 2, 1, 0))
+    return f"""
+WITH bodies AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+hashed AS (SELECT page_id, octet_length(encode(body))::BIGINT AS n, sha1(body) AS sha FROM bodies),
+firsts AS (SELECT sha, max(page_id) AS id FROM hashed GROUP BY sha)
+SELECT page_id, n AS payload_bytes, array_to_string(list_transform(range(8), lambda g: {signs}), '') AS payload_digest,
+  CASE WHEN page_id = id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> id THEN id END AS refers_to
+FROM hashed JOIN firsts USING (sha)"""
