@@ -5,7 +5,7 @@ reads the symbols of a clause and sends each insult or threat to an output that
 someone, negated, reported, or plain.  Their composition runs once over a clause; a document's score comes from the
 weights its clauses put on the outputs, never from words outside a matched clause.
 
-Insults are learned: words that labelled toxic texts share and clean ones lack, beyond what chance explains among so many
+Insults are learned, as whole words and as stems (``abcd*``): those that labelled toxic texts share and clean ones lack, beyond what chance explains among so many
 words.  Texts that are near copies of each other count once.  The outputs' weights are learned by logistic regression.
 """
 
@@ -25,8 +25,10 @@ from quantgap.llm.common import ship
 
 SAMPLE = 20_000  # labelled rows that a model is fitted on at most, the first in the order of a hash of their ids
 LEXICON = 2_000  # learned insults at most, the clearest first
-MARGIN = 2.0  # evidence in nats asked for beyond the logarithm of the number of words tried
+DENSITY = 100.0  # the weight per word counts as that of so many words
+FALSE_SHARE = 0.1  # share of words that may be in the lexicon by chance
 RIDGE = 0.05
+STEMS = (6, 5, 4)  # letters of a stem; longer words are insults by their stem too, whatever ending they take
 
 # Words of the grammar.
 TARGETS = "you your you're u he she they them him her du dich dir ihr euch sie er tu toi te vous il elle ils eux usted ustedes tú ti él ella ellos".split()
@@ -60,7 +62,7 @@ ship(__name__)
 @dataclass
 class Model:
     insults: dict[str, float]
-    weights: list[float]  # of the outputs, and last the constant
+    weights: list[float]  # of the outputs, of their density, and last the constant
 
 
 def transducer(insults: dict[str, float]) -> dict[str, tuple[str, float]]:
@@ -70,20 +72,28 @@ def transducer(insults: dict[str, float]) -> dict[str, tuple[str, float]]:
 
 
 def outputs(text: str, table: dict[str, tuple[str, float]]) -> list[float]:
-    """What the composed transducers put on each output: the logarithm of one plus the clauses' weights."""
+    """What the composed transducers put on each output, and on all of them per word: logarithms of one plus the weights."""
     total = dict.fromkeys(OUTPUTS, 0.0)
-    state = "start"
+    state, words = "start", 0
     for part in PARTS.findall(text.lower()):
         if part in ENDS:
             state = "start"
             continue
+        words += 1
         found = table.get(part)
+        if found is None and len(part) > STEMS[-1]:
+            for letters in STEMS:
+                if letters < len(part):
+                    found = table.get(part[:letters] + "*")
+                    if found is not None:
+                        break
         if found is not None:
             symbol, weight = found
             state, output = GRAMMAR[state, symbol]
             if output:
                 total[output] += weight
-    return [math.log1p(v) for v in total.values()]
+    matched = sum(total.values())
+    return [math.log1p(v) for v in (*total.values(), DENSITY * matched / max(words, 1))]
 
 
 def held_out(doc_id: Column) -> Column:
@@ -98,12 +108,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Da
 
 
 def learn_insults(rows: DataFrame, size: int = LEXICON) -> dict[str, float]:
-    """Words whose share among toxic texts exceeds the general one beyond chance, with their log-odds."""
+    """Words whose share among toxic texts exceeds the general one beyond chance, with their log-odds less one error."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text, toxic in zip(*batch.columns):
-                found = sorted({w for w in PARTS.findall((text.as_py() or "").lower()) if w[0].isalpha()})
+                found = {w for w in PARTS.findall((text.as_py() or "").lower()) if w[0].isalpha()}
+                found = sorted(found | {w[:k] + "*" for w in found for k in STEMS if len(w) > k})
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(found), pa.array([toxic.as_py()] * len(found), pa.int32()), pa.array([hash_of(found)] * len(found), pa.int64())], names=["word", "toxic", "sketch"])
 
@@ -120,11 +131,14 @@ def learn_insults(rows: DataFrame, size: int = LEXICON) -> dict[str, float]:
     tried = by_word.count()
     share, base = F.col("p") / (F.col("p") + F.col("q")), toxic / (toxic + clean)
     gain = F.col("p") * F.log(share / base) + F.when(F.col("q") > 0, F.col("q") * F.log((1 - share) / (1 - base))).otherwise(0.0)
-    clear = by_word.where(share > base).withColumn("gain", gain).where(F.col("gain") > math.log(max(tried, 1)) + MARGIN)
     odds = F.log((F.col("p") + 0.5) / (toxic - F.col("p") + 0.5)) - F.log((F.col("q") + 0.5) / (clean - F.col("q") + 0.5))
-    chosen = clear.withColumn("odds", odds).where("odds > 0").orderBy(F.desc("gain"), "word").limit(size).collect()
+    doubt = F.sqrt(1 / (F.col("p") + 0.5) + 1 / (F.col("q") + 0.5))
+    leading = by_word.where(share > base).select("word", gain.alias("gain"), (odds - doubt).alias("weight")).where("weight > 0")
+    leading = leading.orderBy(F.desc("gain"), "word").limit(size).collect()
+    # Benjamini and Hochberg: with exp(-gain) as chance of a word, take words while the expected share of false ones stays low.
+    last = max((i for i, r in enumerate(leading, 1) if -r["gain"] <= math.log(i * FALSE_SHARE / tried)), default=0)
     by_word.unpersist()
-    return {r["word"]: r["odds"] for r in chosen}
+    return {r["word"]: r["weight"] for r in leading[:last]}
 
 
 def hash_of(words: list[str]) -> int:
@@ -146,7 +160,7 @@ def fit_weights(rows: DataFrame, insults: dict[str, float]) -> list[float]:
     # Equal rows are counted, so what comes to the driver is at most the sample.
     grouped = rows.select("text", "toxic").mapInArrow(features, "x array<double>, y int").groupBy("x", "y").count().orderBy("x", "y").collect()
     if not grouped:
-        return [0.0] * len(OUTPUTS) + [-2.0]
+        return [0.0] * (len(OUTPUTS) + 1) + [-2.0]
     x = np.array([[*r["x"], 1.0] for r in grouped])
     y, n = np.array([r["y"] for r in grouped], float), np.array([r["count"] for r in grouped], float)
     w, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], RIDGE)
