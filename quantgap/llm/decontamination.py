@@ -9,10 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantgap.llm.common import BENCH_WORD, bench_words, fresh_name, small_side
+from quantgap.llm.common import bench_words, fresh_name, small_side
 from quantgap.session import cut_lineage
 
 WINDOW = 10
+SIGNS = r"0-9A-Za-z\x{80}-\x{10FFFF}"  # signs of a word, before it is put in lower case
 
 
 def _tokens(text: str) -> Column:
@@ -89,9 +90,9 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     hits = hits.select(F.col("doc_id").alias(key), F.col("digest").alias(digest), F.col("hits").alias(spans))
     joined = docs.join(hits, docs[doc_id].eqNullSafe(hits[key]) & (F.md5(F.coalesce(docs[text], F.lit(""))) == hits[digest]), "left")
     # Words and the gaps before them alternate; hit words and the gaps inside a hit are dropped.
-    joined = joined.withColumn(parts, F.when(F.col(spans).isNotNull(), F.regexp_extract_all(F.col(text), F.lit(f"([^0-9A-Za-z\\x80-\\x{{10FFFF}}]*)({BENCH_WORD})"), F.lit(0))))
+    joined = joined.withColumn(parts, F.when(F.col(spans).isNotNull(), F.regexp_extract_all(F.col(text), F.lit(f"[^{SIGNS}]*[{SIGNS}]+"), F.lit(0))))
     inside = f"flatten(transform({spans}, h -> sequence(h.start, h.start + h.width - 1)))"
-    cut, tail = fresh_name(docs, "_cut"), f"regexp_extract({text}, '[^0-9A-Za-z\\\\x80-\\\\x{{10FFFF}}]*$', 0)"
+    cut, tail = fresh_name(docs, "_cut"), F.regexp_extract(F.col(text), f"[^{SIGNS}]*$", 0)
     joined = joined.withColumn(cut, F.expr(f"map_from_arrays(array_distinct({inside}), transform(array_distinct({inside}), x -> true))"))
-    kept = F.expr(f"concat(array_join(transform({parts}, (p, i) -> if(element_at({cut}, i) IS NULL, p, '{mark}')), ''), {tail})")
+    kept = F.concat(F.array_join(F.transform(parts, lambda p, i: F.when(F.element_at(cut, i).isNull(), p).otherwise(F.lit(mark))), ""), tail)
     return joined.withColumn(text, F.when(F.col(spans).isNotNull(), kept).otherwise(F.col(text))).select(*docs.columns)
