@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -113,12 +114,13 @@ def learn_insults(rows: DataFrame, size: int = LEXICON) -> dict[str, float]:
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text, toxic in zip(*batch.columns):
-                found = {w for w in PARTS.findall((text.as_py() or "").lower()) if w[0].isalpha()}
-                found = sorted(found | {w[:k] + "*" for w in found for k in STEMS if len(w) > k})
+                order = [w for w in PARTS.findall((text.as_py() or "").lower()) if w[0].isalpha()]
+                found = sorted(set(order) | {w[:k] + "*" for w in set(order) for k in STEMS if len(w) > k})
                 if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(found), pa.array([toxic.as_py()] * len(found), pa.int32()), pa.array([hash_of(found)] * len(found), pa.int64())], names=["word", "toxic", "sketch"])
+                    columns = [pa.array(found), pa.array([toxic.as_py()] * len(found), pa.int32()), pa.array([sketch(order)] * len(found), pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["word", "toxic", "sketch"])
 
-    # Near copies share their smallest word hash, and count as one text.
+    # Near copies share a sketch, and count as one text.
     words = rows.select("text", "toxic").mapInArrow(split, "word string, toxic int, sketch bigint")
     texts = words.groupBy("toxic").agg(F.countDistinct("sketch").alias("n")).collect()
     n = {r["toxic"]: r["n"] for r in texts}
@@ -141,11 +143,9 @@ def learn_insults(rows: DataFrame, size: int = LEXICON) -> dict[str, float]:
     return {r["word"]: r["weight"] for r in leading[:last]}
 
 
-def hash_of(words: list[str]) -> int:
-    """Smallest keyed hash of the words."""
-    import zlib
-
-    return min(zlib.crc32(w.encode()) * 2654435761 % 4294967296 for w in words)
+def sketch(words: list[str], width: int = 4) -> int:
+    """Smallest hash of ``width`` words in a row; near copies mostly share it, other texts hardly ever do."""
+    return min(zlib.crc32(" ".join(words[i : i + width]).encode()) for i in range(max(1, len(words) - width + 1)))
 
 
 def fit_weights(rows: DataFrame, insults: dict[str, float]) -> list[float]:

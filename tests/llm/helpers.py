@@ -2,6 +2,8 @@
 
 import random
 
+LETTERS = str.maketrans("0123456789", "aeioubdgnt")
+
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
 
@@ -14,7 +16,7 @@ def docs(spark, texts, ids=None, sources=None, **extra):
 
 def prose(seed, n, vocabulary=400):
     rng = random.Random(seed)
-    return " ".join(f"w{rng.randrange(vocabulary)}" for _ in range(n))
+    return " ".join("w" + str(rng.randrange(vocabulary)).translate(LETTERS) for _ in range(n))
 
 
 def rows(df, *columns):
