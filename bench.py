@@ -38,7 +38,6 @@ HEADLINE = [
     "pmm_pooled",
     "path_effects",
     "wald_equal",
-    "path_probit",
 ]
 
 

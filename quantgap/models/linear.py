@@ -46,7 +46,7 @@ def cross_products(
     ``measure`` names the one column that is a measurement when all others are category codes: rows are then first
     summed per pattern of codes, which leaves few rows for the many products.
 
-    Columns are shifted by their rough level first, so that large offsets do not eat the digits of the sums.
+    Columns are shifted by their means first, so that large offsets do not eat the digits of the sums.
     """
     by = list(by)
     # Quoted, because names of contrast columns contain dots.
@@ -102,9 +102,9 @@ def cross_products(
 
 
 def column_means(df: DataFrame, columns: list[str]) -> dict[str, float]:
-    """Rough level of each column, from the first rows only: it decides rounding, not results."""
-    first = df.limit(1000).agg(*[F.avg(F.col(f"`{c}`")).alias(f"m{i}") for i, c in enumerate(columns)]).first()
-    return {c: first[f"m{i}"] or 0.0 for i, c in enumerate(columns)}
+    """Mean of each column over the whole table."""
+    means = df.agg(*[F.avg(F.col(f"`{c}`")).alias(f"m{i}") for i, c in enumerate(columns)]).first()
+    return {c: means[f"m{i}"] or 0.0 for i, c in enumerate(columns)}
 
 
 @dataclass

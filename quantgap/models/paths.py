@@ -2,8 +2,7 @@
 
 Three least-squares equations on level scores: diploma on origin and controls, occupation on origin, diploma and
 controls, log wage on origin, diploma, occupation and controls.  All of them, for every group and every bootstrap
-replicate, come from one set of cross products.  :mod:`quantgap.models.ordinal_paths` has the version with ordered
-outcomes.
+replicate, come from one set of cross products.
 """
 
 from __future__ import annotations
@@ -17,8 +16,7 @@ from pyspark.sql import functions as F
 
 from quantgap.models.linear import INTERCEPT, coefficient_rows, column_means, cross_products, solve
 from quantgap.models.tails import chi_square_upper
-from quantgap.operators.resample import poisson_replicates, spread_small
-from quantgap.operators.samples import plan_slices
+from quantgap.operators.resample import poisson_replicates, spread_work
 from quantgap.session import result_table
 
 
@@ -88,7 +86,8 @@ def path_coefficients(df: DataFrame, model: PathModel, by: list[str] = (), weigh
 
 def path_replicates(df: DataFrame, model: PathModel, row_key: str, by: list[str] = (), replicates: int = 100, seed: int = 42) -> DataFrame:
     """Coefficients of every bootstrap replicate (``rep``), all from one aggregation."""
-    kept = spread_small(df.select(row_key, *by, *model.columns), row_key, plan_slices(df, model.wage))
+    rows = df.select(row_key, *by, *model.columns)
+    kept = spread_work(rows, row_key, rows.count(), replicates)
     drawn = poisson_replicates(kept, row_key, replicates, seed)
     center = column_means(kept, model.columns)
     return path_coefficients(drawn, model, [*by, "rep"], weight="draw", frequency=True, center=center)

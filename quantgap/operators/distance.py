@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quantgap.operators.joins import join_null_safe
-from quantgap.operators.samples import Slicing, over_slices, plan_slices, ranked, slice_keys
+from quantgap.operators.samples import Slicing, over_slices, plan_slices, ranked
 from quantgap.session import literal_table
 
 MAX_GROUPS = 200
@@ -50,9 +50,8 @@ def cell_summary(
     rows = ranked(kept, cell, group, value, weight, (), slicing, frequency)
     start, end = (F.col("_cum") - F.col("_w")) / F.col("_n"), F.col("_cum") / F.col("_n")
     pieces = over_slices(rows.withColumns({"_u0": start, "_u1": end}), F.col("_u0"), F.col("_u1"), slicing)
-    by = slice_keys(cell, slicing)
-    if slicing.sliced:
-        pieces = pieces.withColumn("_u1", F.least("_u1", (F.col("_slice") + 1) / F.col("_slices")))
+    by = [*cell, "_slice"]
+    pieces = pieces.withColumn("_u1", F.least("_u1", (F.col("_slice") + 1) / F.col("_slices")))
     floor = F.col("_slice") / F.col("_slices")
 
     down = W.partitionBy(*by).orderBy(F.col("_u1").desc())
@@ -137,12 +136,9 @@ def locate(rows: DataFrame, lookups: DataFrame, by: list[str], at: str, cell: li
     width = F.lit(slicing.rows_per_slice)
     sample = rows.select(*by, (F.col("_cum") - F.col("_w")).cast("double").alias("_pos"), "_cum", "_v", "_next")
     last = F.greatest(F.ceil(F.col("_cum") / width) - 1, F.floor(F.col("_pos") / width))
-    if slicing.sliced:
-        sample = sample.withColumn("_slice", F.explode(F.sequence(F.floor(F.col("_pos") / width), last)))
-        lookups = lookups.withColumn("_slice", F.floor(F.col(at) / width))
-        by_slice = [*by, "_slice"]
-    else:
-        by_slice = by
+    sample = sample.withColumn("_slice", F.explode(F.sequence(F.floor(F.col("_pos") / width), last)))
+    lookups = lookups.withColumn("_slice", F.floor(F.col(at) / width))
+    by_slice = [*by, "_slice"]
     extra = [c for c in lookups.columns if c not in by_slice]
     found = sample.select(*by_slice, "_pos", F.lit(0).alias("_asks"), F.struct("_cum", "_v", "_next").alias("_hit"))
     asked = lookups.select(*by_slice, F.col(at).alias("_pos"), F.lit(1).alias("_asks"), *extra)

@@ -14,7 +14,7 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str
     a large one is shuffled, and a skewed key is split by AQE.
     """
     if not keys:
-        return left.crossJoin(right)
+        raise ValueError("no keys to join on")
     renamed = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
     condition = reduce(lambda a, b: a & b, [left[k].eqNullSafe(renamed[f"__r_{k}"]) for k in keys])
     joined = left.join(renamed, condition, how)

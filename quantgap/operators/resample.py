@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quantgap.operators.distance import cell_summary
 from quantgap.operators.joins import join_null_safe
 from quantgap.operators.samples import ROWS_PER_SLICE, Slicing, even_slices, plan_slices, running_total
-from quantgap.session import literal_table
+from quantgap.session import cut_lineage, literal_table
 
 DRAWS_PER_HASH = 4
 HEX_DIGITS = 8
@@ -54,11 +54,9 @@ def poisson_replicates(df: DataFrame, row_key: str, replicates: int = 100, seed:
     return drawn.select(*df.columns, rep, poisson_draw(F.col("_digits")).alias(draw))
 
 
-def spread_small(df: DataFrame, row_key: str, slicing: Slicing) -> DataFrame:
-    """Spread a small table over all cores before it is multiplied; a large one already has many partitions."""
-    if slicing.sliced:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, row_key)
+def spread_work(df: DataFrame, row_key: str, rows: int, replicates: int) -> DataFrame:
+    """Divide rows by the work that multiplying them makes: a task for each million of replicated rows."""
+    return df.repartition(max(1, math.ceil(rows * replicates / ROWS_PER_SLICE)), row_key)
 
 
 def uniform(*parts) -> Column:
@@ -85,7 +83,7 @@ def multinomial_replicates(
     rows = df.select(*cell, row_key, *carry, uniform(F.lit("number"), F.col(row_key)).alias("_u"))
     slicing = even_slices(slicing.rows if slicing else rows.count(), slicing.rows_per_slice if slicing else ROWS_PER_SLICE)
     numbered = running_total(rows, cell, "_u", [F.col(row_key)], F.lit(1).cast("long"), "_number", slicing, "_size").drop("_u")
-    picks = spread_small(numbered, row_key, slicing).withColumn(rep, F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    picks = spread_work(numbered, row_key, slicing.rows, replicates).withColumn(rep, F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     place = F.floor(uniform(F.lit(str(seed)), F.col(rep), F.col(row_key)) * F.col("_size")) + 1
     counted = picks.select(*cell, rep, place.alias("_number")).groupBy(*cell, rep, "_number").agg(F.count(F.lit(1)).alias(draw))
     return join_null_safe(counted, numbered.drop("_size"), [*cell, "_number"], "inner").drop("_number")
@@ -111,7 +109,7 @@ def bootstrap_wasserstein(
     kept = df.select(*cell, group, value, row_key).where(F.col(value).isNotNull())
     if method == "poisson":
         # Rows of other groups cannot enter a distance, and Poisson draws are independent between rows.
-        kept = spread_small(kept.where(F.col(group).isin(*targets, ref)), row_key, slicing)
+        kept = spread_work(kept.where(F.col(group).isin(*targets, ref)), row_key, slicing.rows, replicates)
         drawn = poisson_replicates(kept, row_key, replicates, seed)
     elif method == "multinomial":
         drawn = multinomial_replicates(kept, cell, row_key, replicates, seed, [group, value], slicing)
@@ -149,12 +147,15 @@ def interval_constants(replicates: int, level: float = 0.95, least: int = 10) ->
 
 
 def percentile_interval(
-    replicates: DataFrame, keys: list[str], stat: str = "w", total: int = 100, level: float = 0.95, least: int = 10
+    replicates: DataFrame, keys: list[str], stat: str = "w", total: int | None = None, level: float = 0.95, least: int = 10
 ) -> DataFrame:
     """``keys…, reps, lo, hi``; missing replicates are dropped, fewer than ``least`` usable ones give NULL ends.
 
-    The replicates of one key are at most ``total`` numbers, so they fit an array.
+    A key's replicates fit an array.  ``total`` is their largest number where it is known; otherwise it is counted.
     """
+    if total is None:
+        replicates = cut_lineage(replicates.select(*keys, stat), "replicates")
+        total = replicates.groupBy(*keys).agg(F.count(stat).alias("n")).agg(F.max("n")).first()[0] or 0
     constants = literal_table(
         replicates.sparkSession,
         [("reps", "int"), ("_k1", "int"), ("_s1", "double"), ("_k2", "int"), ("_s2", "double")],

@@ -1,7 +1,7 @@
 """Ranked samples: the shared first step of every distribution operator.
 
 A cell may hold a large part of the whole table, so nothing here puts a cell into one task.  Rows are first collapsed
-to ``(cell, group, value) -> weight`` with map-side aggregation.  When the table is large the value axis is cut at
+to ``(cell, group, value) -> weight`` with map-side aggregation.  The value axis is cut at
 quantiles of the whole table, so that no ``(cell, group, slice)`` can exceed ``rows_per_slice`` distinct values by much
 whatever the skew of cells and groups; running sums are taken inside slices and the slice totals, a table of
 cells x groups x slices, supply the offsets.
@@ -21,42 +21,41 @@ from quantgap.functions.scalar import is_finite
 from quantgap.operators.joins import join_null_safe
 
 ROWS_PER_SLICE = 1_000_000
-MAX_SPLITS = 20_000
-MAX_BROADCAST_ROWS = 100_000
+GRID = 1_000  # boundaries found together with the count; a table of more slices is read once more for the finer ones
 
 
 @dataclass(frozen=True)
 class Slicing:
-    """How the value axis is cut: number of rows seen and the inner boundaries (none for a small table)."""
+    """How the value axis is cut: number of rows seen and the inner boundaries, one at least."""
 
     rows: int
     splits: tuple
     rows_per_slice: int = ROWS_PER_SLICE
 
-    @property
-    def sliced(self) -> bool:
-        return bool(self.splits)
-
 
 def plan_slices(df: DataFrame, value: str, rows_per_slice: int = ROWS_PER_SLICE) -> Slicing:
-    """Count the sample and, if it is large, pick value boundaries.
+    """Count the sample and pick value boundaries, in one pass.
 
     Only the count and the boundaries reach the driver.  The boundaries need not be exact quantiles: they decide how
-    work is divided, never the result.
+    work is divided, never the result.  Every table takes this path; a small one is cut in two at its median.
     """
     sample = df.select(F.col(value).cast("double").alias("v")).where(is_finite("v"))
-    rows = sample.count()
-    parts = min(math.ceil(rows / rows_per_slice), MAX_SPLITS)
-    if parts <= 1:
-        return Slicing(rows, (), rows_per_slice)
-    cuts = F.array(*[F.lit(i / parts) for i in range(1, parts)])
-    found = sample.agg(F.percentile_approx("v", cuts, 10 * parts).alias("q")).first()["q"]
-    return Slicing(rows, tuple(sorted(set(found))), rows_per_slice)
+
+    def quantiles(parts: int) -> Column:
+        return F.percentile_approx("v", F.array(*[F.lit(i / parts) for i in range(1, parts)]), 10 * parts)
+
+    rows, found = sample.agg(F.count("v"), quantiles(GRID)).first()
+    parts = max(2, math.ceil(rows / rows_per_slice))
+    if parts > GRID:
+        found = sample.agg(quantiles(parts)).first()[0]
+    elif found:
+        found = [found[math.ceil(i * GRID / parts) - 1] for i in range(1, parts)]
+    return Slicing(rows, tuple(sorted(set(found or [0.0]))), rows_per_slice)
 
 
 def even_slices(rows: int, rows_per_slice: int = ROWS_PER_SLICE) -> Slicing:
     """Division of a column known to be uniform on [0, 1)."""
-    parts = min(math.ceil(rows / rows_per_slice), MAX_SPLITS)
+    parts = max(2, math.ceil(rows / rows_per_slice))
     return Slicing(rows, tuple(i / parts for i in range(1, parts)), rows_per_slice)
 
 
@@ -92,24 +91,6 @@ def ranked(
     else:
         sums = [F.count(F.lit(1)).alias("_w")]
 
-    if not slicing.sliced:
-        rows = base.groupBy(*keys, *carry, "_v").agg(*sums)
-        rows = rows if weighted else rows.withColumn("_c", F.col("_w"))
-        whole = W.partitionBy(*keys)
-        order = whole.orderBy("_v")
-        return rows.select(
-            "*",
-            F.sum("_w").over(order.rowsBetween(W.unboundedPreceding, 0)).alias("_cum"),
-            F.sum("_w").over(order).alias("_cum_tie"),
-            F.sum("_w").over(whole).alias("_n"),
-            F.sum("_c").over(whole).alias("_obs"),
-            (F.sum(F.col("_c") * F.col("_v")).over(whole) / F.sum("_c").over(whole)).alias("_mean"),
-            F.min("_v").over(whole).alias("_least"),
-            F.lag("_v").over(order).alias("_prev"),
-            F.lead("_v").over(order).alias("_next"),
-            F.lit(1).cast("long").alias("_slices"),
-        )
-
     cutter = Bucketizer(splits=[-math.inf, *slicing.splits, math.inf], inputCol="_v", outputCol="_cut")
     rows = cutter.transform(base).withColumn("_cut", F.col("_cut").cast("int"))
     rows = rows.groupBy(*keys, *carry, "_cut", "_v").agg(*sums)
@@ -192,8 +173,6 @@ def over_slices(rows: DataFrame, start: Column, end: Column, slicing: Slicing) -
     A heavy value spans many slices and is cut into as many pieces, so every slice is complete on its own and no slice
     needs its neighbours.
     """
-    if not slicing.sliced:
-        return rows.select("*", F.lit(0).cast("long").alias("_slice"), F.lit(True).alias("_first"))
     top = F.col("_slices") - 1
     low = F.least(F.greatest(F.floor(start * F.col("_slices")), F.lit(0)), top)
     high = F.least(F.greatest(F.ceil(end * F.col("_slices")) - 1, low), top)
@@ -201,10 +180,6 @@ def over_slices(rows: DataFrame, start: Column, end: Column, slicing: Slicing) -
     return pieces.withColumn("_first", F.col("_slice") == F.col("_low")).drop("_low")
 
 
-def slice_keys(cell: list[str], slicing: Slicing) -> list[str]:
-    return [*cell, "_slice"] if slicing.sliced else list(cell)
-
-
 def attach_by_value(
     df: DataFrame, cell: list[str], group: str, value: str, carry: list[str], mapping: DataFrame, slicing: Slicing
 ) -> DataFrame:
@@ -216,13 +191,9 @@ def attach_by_value(
     rows = df.select(*cell, group, *carry, F.col(value).cast("double").alias("_v"))
     rows = rows.where(is_finite("_v") & F.col(group).isNotNull())
     keys = [*cell, group, "_v"]
-    if not slicing.sliced:
-        return join_null_safe(rows, mapping.drop("_w"), keys, "inner")
     copies = mapping.withColumn("_copies", F.ceil(F.col("_w") / F.lit(slicing.rows_per_slice)).cast("int"))
     heavy = copies.where(F.col("_copies") > 1).select(*keys, "_copies")
     spread = F.pmod(F.xxhash64(*[F.col(c) for c in carry]), F.col("_copies"))
-    if slicing.rows / slicing.rows_per_slice <= MAX_BROADCAST_ROWS:
-        heavy = F.broadcast(heavy)
     salted = join_null_safe(rows, heavy, keys, "left").withColumn("_salt", F.coalesce(spread, F.lit(0)).cast("int"))
     copied = copies.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(F.col("_copies"), F.lit(1)) - 1)))
     return join_null_safe(salted.drop("_copies"), copied.drop("_w", "_copies"), [*keys, "_salt"], "inner").drop("_salt")
@@ -260,11 +231,6 @@ def running_total(
     """
     slicing = slicing or plan_slices(df, order)
     valued = df.withColumn("_amount", amount)
-    if not slicing.sliced:
-        walk = W.partitionBy(*by).orderBy(order, *ties).rowsBetween(W.unboundedPreceding, 0)
-        if total:
-            valued = valued.withColumn(total, F.sum("_amount").over(W.partitionBy(*by)))
-        return valued.withColumn(name, F.sum("_amount").over(walk)).drop("_amount")
     cutter = Bucketizer(splits=[-math.inf, *slicing.splits, math.inf], inputCol="_along", outputCol="_cut")
     cut = cutter.transform(valued.withColumn("_along", F.col(order).cast("double"))).withColumn("_cut", F.col("_cut").cast("int"))
     sizes = cut.groupBy(*by, "_cut").agg(F.sum("_amount").alias("_sum"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quantgap.functions.scalar import clamp, is_finite
 from quantgap.operators.distance import interpolate
 from quantgap.operators.joins import join_null_safe
-from quantgap.operators.samples import Slicing, attach_by_value, plan_slices, ranked, slice_keys
+from quantgap.operators.samples import Slicing, attach_by_value, plan_slices, ranked
 
 LOWEST, HIGHEST = 0.001, 0.999
 
@@ -96,16 +96,14 @@ def map_to_reference(
         F.when(is_ref & answers, hit).alias("_hit"),
         clamp(own_rank, LOWEST, HIGHEST).alias("_p"),
     )
-    if slicing.sliced:
-        top = F.col("_slices") - 1
-        placed = placed.withColumn("_low", F.least(F.floor(F.col("_at") * F.col("_slices")), top))
-        final = F.greatest(F.least(F.floor(F.col("_end") * F.col("_slices")), top), F.col("_low"))
-        placed = placed.withColumn("_slice", F.explode(F.sequence(F.col("_low"), final)))
+    top = F.col("_slices") - 1
+    placed = placed.withColumn("_low", F.least(F.floor(F.col("_at") * F.col("_slices")), top))
+    final = F.greatest(F.least(F.floor(F.col("_end") * F.col("_slices")), top), F.col("_low"))
+    placed = placed.withColumn("_slice", F.explode(F.sequence(F.col("_low"), final)))
     # Weighted stretches are (low, high], unweighted ones [before, after): at equal place the asking row is first or last.
-    order = W.partitionBy(*slice_keys(cell, slicing)).orderBy("_at", F.col("_asks").desc() if weighted else F.col("_asks").asc())
+    order = W.partitionBy(*cell, "_slice").orderBy("_at", F.col("_asks").desc() if weighted else F.col("_asks").asc())
     found = placed.withColumn("_hit", F.last("_hit", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0)))
-    if slicing.sliced:
-        found = found.where((F.col("_asks") == 1) | (F.col("_slice") == F.col("_low")))
+    found = found.where((F.col("_asks") == 1) | (F.col("_slice") == F.col("_low")))
     if weighted:
         share = F.try_divide(F.col("_p") - F.col("_hit._low"), F.col("_hit._high") - F.col("_hit._low"))
         below = F.coalesce(F.col("_hit._prev"), F.col("_hit._v"))

@@ -91,7 +91,7 @@ def missing_share(spark, folder):
     return rounded(cells.missing_share(people(spark, folder), ["annee"], "sal_gap"))
 
 
-SHORT = {REF: "ref", "MACHINERY": "mach", "HOUSEHOLD": "house"}
+SHORT = {REF: "ref", "MACHINERY": "mach", "HOUSEHOLD": "house", "AUTOMOBILE": "auto", "FURNITURE": "furn"}
 
 
 @query(

@@ -346,7 +346,7 @@ def origin_reweight(spark, folder):
 @query(
     "w2_composition_weighted",
     f"""WITH {SAMPLE_SQL}, {COMPOSITION_SQL}, weighted AS (SELECT s.*, w_origin FROM sample s LEFT JOIN composition USING (gen, origin)),
-    {distance_sql("weighted", ["sexe", "gen"], "pcs", "logsal", "EUROPE", ["AFRICA", "ASIA"], weight="w_origin")}
+    {distance_sql("weighted", ["sexe", "gen"], "pcs", "logsal", "EUROPE", ["AFRICA", "AMERICA", "ASIA", "MIDDLE EAST"], weight="w_origin")}
     SELECT sexe, gen, target AS pcs, n, n_ref, round(w, 6) AS w FROM distances""",
 )
 def w2_composition_weighted(spark, folder):
@@ -354,7 +354,7 @@ def w2_composition_weighted(spark, folder):
     rows = sample(spark, folder)
     weights = composition_weights(rows, "gen", "origin", 1940).drop("perc")
     weighted = rows.join(weights, ["gen", "origin"], "left")
-    return rounded(wasserstein(weighted, ["sexe", "gen"], "pcs", "logsal", "EUROPE", ["AFRICA", "ASIA"], weight="w_origin"))
+    return rounded(wasserstein(weighted, ["sexe", "gen"], "pcs", "logsal", "EUROPE", ["AFRICA", "AMERICA", "ASIA", "MIDDLE EAST"], weight="w_origin"))
 
 
 @query(
@@ -373,8 +373,7 @@ def finite_w2(spark, folder):
 @query(
     "group_moments",
     f"WITH {SAMPLE_SQL} SELECT {CELLS}, origin, round(avg(logsal), 6) AS m, round(stddev_samp(logsal), 6) AS sd, count(logsal) AS n "
-    f"FROM sample WHERE origin IN ({sql_list(TARGETS)}) GROUP BY ALL",
+    "FROM sample GROUP BY ALL",
 )
 def group_moments(spark, folder):
-    rows = sample(spark, folder).where(F.col("origin").isin(TARGETS))
-    return rounded(group_stats(rows, CELL, "origin", "logsal"))
+    return rounded(group_stats(sample(spark, folder), CELL, "origin", "logsal"))

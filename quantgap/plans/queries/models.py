@@ -11,7 +11,6 @@ from quantgap.models.contrasts import interactions, polynomial, treatment
 from quantgap.models.glm import glm
 from quantgap.models.imputation import pooled_ols, predictive_mean_matching
 from quantgap.models.linear import ols
-from quantgap.models.ordinal_paths import ordinal_path_coefficients, ordinal_path_replicates
 from quantgap.models.paths import (
     PathModel,
     effect_decomposition,
@@ -406,31 +405,3 @@ def wald_all(spark, folder):
     """All nine paths equal at once."""
     differences, repeated = tested(spark, folder)
     return rounded(wald_joint(differences, repeated, BY_SEX.paths()))
-
-
-@query("path_probit")
-def path_probit(spark, folder):
-    """Ordered diploma and occupation as latent scores."""
-    return rounded(ordinal_path_coefficients(chained(spark, folder), MODEL))
-
-
-@query("path_probit_effects")
-def path_probit_effects(spark, folder):
-    """Effects along the latent paths, by sex."""
-    fit = ordinal_path_coefficients(chained(spark, folder), BY_SEX, ["sexe"])
-    return rounded(path_effects(fit, BY_SEX, ["sexe"]))
-
-
-@query("path_probit_wald")
-def path_probit_wald(spark, folder):
-    """Equality of the latent paths between the sexes."""
-    rows = chained(spark, folder)
-    point = path_effects(ordinal_path_coefficients(rows, BY_SEX, ["sexe"]), BY_SEX, ["sexe"])
-    replicates = ordinal_path_replicates(rows, BY_SEX, "id", ["sexe"])
-    repeated = path_effects(replicates, BY_SEX, ["sexe", "rep"])
-    return rounded(
-        wald_each(
-            group_differences(point, "sexe", "Homme", "Femme"),
-            group_differences(repeated, "sexe", "Homme", "Femme", ["rep"]),
-        )
-    )

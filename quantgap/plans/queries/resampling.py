@@ -15,7 +15,7 @@ from quantgap.operators.resample import (
     with_interval,
 )
 from quantgap.operators.samples import plan_slices
-from quantgap.plans.queries.base import CELL, REF, SAMPLE_SQL, distance_sql, query, rounded, sample
+from quantgap.plans.queries.base import CELL, REF, SAMPLE_SQL, TARGETS, distance_sql, query, rounded, sample
 from quantgap.plans.report import chart_tiles
 
 CELLS = ", ".join(CELL)
@@ -33,7 +33,7 @@ def draws_sql(source: str, replicates: int = REPLICATES) -> str:
 
 
 BOOT_SQL = f"""{SAMPLE_SQL}, {draws_sql("sample")},
-    {distance_sql("drawn", [*CELL, "rep"], "origin", "logsal", REF, ["MACHINERY"], weight="draw", least=2, frequency=True)}"""
+    {distance_sql("drawn", [*CELL, "rep"], "origin", "logsal", REF, TARGETS, weight="draw", least=2, frequency=True)}"""
 
 
 @query("bootstrap_draws", f"WITH {SAMPLE_SQL}, {draws_sql('sample', 8)} SELECT id, rep, draw FROM drawn")
@@ -44,7 +44,7 @@ def bootstrap_draws(spark, folder):
 @query("bootstrap_w2", f"WITH {BOOT_SQL} SELECT {CELLS}, rep, target AS origin, round(w, 6) AS w FROM distances")
 def bootstrap_w2(spark, folder):
     """The distance on every replicate of every cell."""
-    return rounded(bootstrap_wasserstein(sample(spark, folder), CELL, "origin", "logsal", REF, ["MACHINERY"], "id", REPLICATES, SEED))
+    return rounded(bootstrap_wasserstein(sample(spark, folder), CELL, "origin", "logsal", REF, TARGETS, "id", REPLICATES, SEED))
 
 
 CONSTANTS_SQL = "consts(reps, k1, s1, k2, s2) AS (VALUES " + ", ".join(str(r) for r in interval_constants(REPLICATES)) + ")"
@@ -55,7 +55,7 @@ INTERVAL_SQL = f"""{CONSTANTS_SQL}, lists AS (SELECT {CELLS}, target, list_sort(
 
 @query("bootstrap_ci", f"WITH {BOOT_SQL}, {INTERVAL_SQL} SELECT {CELLS}, target AS origin, reps, round(lo, 6) AS lo, round(hi, 6) AS hi FROM intervals")
 def bootstrap_ci(spark, folder):
-    replicates = bootstrap_wasserstein(sample(spark, folder), CELL, "origin", "logsal", REF, ["MACHINERY"], "id", REPLICATES, SEED)
+    replicates = bootstrap_wasserstein(sample(spark, folder), CELL, "origin", "logsal", REF, TARGETS, "id", REPLICATES, SEED)
     return rounded(percentile_interval(replicates, [*CELL, "origin"], total=REPLICATES))
 
 
@@ -65,16 +65,36 @@ SPARSE = [*CELL, "dip", "pcs", "tp"]
 @query(
     "bootstrap_ci_sparse",
     f"""WITH {SAMPLE_SQL}, {draws_sql("sample")},
-    {distance_sql("drawn", [*SPARSE, "rep"], "origin", "logsal", REF, ["MACHINERY"], weight="draw", least=2, frequency=True)},
+    {distance_sql("drawn", [*SPARSE, "rep"], "origin", "logsal", REF, TARGETS, weight="draw", least=2, frequency=True)},
     {INTERVAL_SQL.replace(CELLS, ", ".join(SPARSE))}
     SELECT {", ".join(SPARSE)}, target AS origin, reps, round(lo, 6) AS lo, round(hi, 6) AS hi FROM intervals""",
 )
 def bootstrap_ci_sparse(spark, folder):
     """Many small cells: replicates without enough rows are missing, too few usable ones give no interval."""
-    replicates = bootstrap_wasserstein(sample(spark, folder), SPARSE, "origin", "logsal", REF, ["MACHINERY"], "id", REPLICATES, SEED)
+    replicates = bootstrap_wasserstein(sample(spark, folder), SPARSE, "origin", "logsal", REF, TARGETS, "id", REPLICATES, SEED)
     return rounded(percentile_interval(replicates, [*SPARSE, "origin"], total=REPLICATES))
 
 
+def interval_query(name: str, cell: list[str], group: str, ref: str, targets: list[str]) -> None:
+    """Register the intervals of all distances between groups of ``group``, on replicates of whole cells."""
+    keys = ", ".join(cell)
+
+    @query(
+        name,
+        f"""WITH {SAMPLE_SQL}, {draws_sql("sample")},
+        {distance_sql("drawn", [*cell, "rep"], group, "logsal", ref, targets, weight="draw", least=2, frequency=True)},
+        {INTERVAL_SQL.replace(CELLS, keys)}
+        SELECT {keys}, target AS {group}, reps, round(lo, 6) AS lo, round(hi, 6) AS hi FROM intervals""",
+    )
+    def intervals(spark, folder):
+        replicates = bootstrap_wasserstein(sample(spark, folder), cell, group, "logsal", ref, targets, "id", REPLICATES, SEED)
+        return rounded(percentile_interval(replicates, [*cell, group]))
+
+
+interval_query("bootstrap_ci_sex", ["an", "ag10", "origin"], "sexe", "Homme", ["Femme"])
+interval_query("bootstrap_ci_diploma", ["sexe", "an", "ag10"], "dip", "5", ["1", "2", "3", "4"])
+
+
 def picks_sql(replicates: int) -> str:
     """CTE ``drawn``: exact multinomial counts of the rows of each cell."""
     return f"""n AS (SELECT *, row_number() OVER (PARTITION BY {CELLS} ORDER BY substr(md5('number|' || id), 1, 13), id) AS number, count(*) OVER (PARTITION BY {CELLS}) AS size FROM sample),
@@ -100,18 +120,18 @@ def bootstrap_multinomial(spark, folder):
 
 @query(
     "bootstrap_multinomial_w2",
-    f"""WITH {SAMPLE_SQL}, {picks_sql(20)},
-    {distance_sql("drawn", [*CELL, "rep"], "origin", "logsal", REF, ["MACHINERY"], weight="draw", least=2, frequency=True)}
+    f"""WITH {SAMPLE_SQL}, {picks_sql(REPLICATES)},
+    {distance_sql("drawn", [*CELL, "rep"], "origin", "logsal", REF, TARGETS, weight="draw", least=2, frequency=True)}
     SELECT {CELLS}, rep, target AS origin, round(w, 6) AS w FROM distances""",
 )
 def bootstrap_multinomial_w2(spark, folder):
     """Distances on exact multinomial replicates."""
     return rounded(
-        bootstrap_wasserstein(sample(spark, folder), CELL, "origin", "logsal", REF, ["MACHINERY"], "id", 20, SEED, method="multinomial")
+        bootstrap_wasserstein(sample(spark, folder), CELL, "origin", "logsal", REF, TARGETS, "id", REPLICATES, SEED, method="multinomial")
     )
 
 
-POINT_SQL = distance_sql("sample", CELL, "origin", "logsal", REF, ["MACHINERY"], suffix="_p")
+POINT_SQL = distance_sql("sample", CELL, "origin", "logsal", REF, TARGETS, suffix="_p")
 TILE_SQL = f"{BOOT_SQL}, {INTERVAL_SQL}, {POINT_SQL}"
 
 
@@ -123,8 +143,8 @@ TILE_SQL = f"{BOOT_SQL}, {INTERVAL_SQL}, {POINT_SQL}"
 def estimate_interval_join(spark, folder):
     rows = sample(spark, folder)
     slicing = plan_slices(rows, "logsal")
-    point = wasserstein(rows, CELL, "origin", "logsal", REF, ["MACHINERY"], slicing=slicing)
-    replicates = bootstrap_wasserstein(rows, CELL, "origin", "logsal", REF, ["MACHINERY"], "id", REPLICATES, SEED, slicing=slicing)
+    point = wasserstein(rows, CELL, "origin", "logsal", REF, TARGETS, slicing=slicing)
+    replicates = bootstrap_wasserstein(rows, CELL, "origin", "logsal", REF, TARGETS, "id", REPLICATES, SEED, slicing=slicing)
     return rounded(with_interval(point, percentile_interval(replicates, [*CELL, "origin"], total=REPLICATES), [*CELL, "origin"]))
 
 

@@ -42,10 +42,13 @@ def get_session(app: str = "quantgap", master: str | None = None, shuffle_partit
 def shared_folder(spark: SparkSession) -> str:
     """Folder named by the cluster in ``spark.checkpoint.dir``.
 
-    Only where the setting is missing (local runs and tests) a temporary folder is made and recorded in the session.
+    Only a local master may go without the setting (tests): a temporary folder is then made and recorded in the session.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="quantgap-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder

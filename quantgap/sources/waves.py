@@ -113,8 +113,11 @@ def upper_names(df: DataFrame) -> DataFrame:
 
 
 def write_table(df: DataFrame, path: str, partition: str | None = "ANNEE") -> None:
-    """Parquet sink, one folder per year; rows of a year are spread over tasks as they come (no shuffle to one writer)."""
-    writer = df.write.mode("overwrite")
+    """Parquet sink, one folder per year.
+
+    Rows are rebalanced on the year first: small years end in one file each, large ones are split at run time.
+    """
+    writer = (df.hint("rebalance", F.col(partition)) if partition else df).write.mode("overwrite")
     if partition:
         writer = writer.partitionBy(partition)
     writer.parquet(path)

@@ -27,7 +27,7 @@ def group(frame, cell, g):
 @pytest.mark.parametrize("weight", [None, "wt"])
 def test_summary_equals_brute_force(df, frame, rows_per_slice, weight):
     slicing = plan_slices(df, "v", rows_per_slice)
-    assert slicing.sliced == (rows_per_slice == 90)
+    assert len(slicing.splits) == 1 if rows_per_slice == 10**6 else len(slicing.splits) > 1
     out = cell_summary(df, ["cell"], "g", "v", "ref", ["a", "b"], weight=weight, slicing=slicing).collect()
     assert len(out) == 6
     for r in out:
@@ -108,5 +108,5 @@ def test_dispersion_split(df):
 
 
 def test_slicing_values():
-    assert not Slicing(10, ()).sliced
+    assert even_slices(10).splits == (0.5,)
     assert even_slices(100, 30).splits == (0.25, 0.5, 0.75)

@@ -7,7 +7,6 @@ import pytest
 from quantgap.models.contrasts import polynomial_matrix
 from quantgap.models.imputation import pooled_ols, predictive_mean_matching
 from quantgap.models.linear import ols
-from quantgap.models.ordinal_paths import bivariate_cdf, ordinal_path_coefficients
 from quantgap.models.paths import PathModel, group_differences, path_coefficients, path_effects, wald_each, wald_joint
 from quantgap.models.tails import chi_square_upper, t_two_sided
 from quantgap.operators.samples import Slicing
@@ -113,22 +112,6 @@ def test_wald_tests(spark):
     assert joint.df == 2 and joint.chisq == pytest.approx(gap @ np.linalg.inv(np.cov(draws.T)) @ gap)
 
 
-def test_bivariate_normal():
-    zero = np.array([0.0])
-    for rho in (-0.9, 0.0, 0.5, 0.95):
-        assert bivariate_cdf(zero, zero, rho)[0] == pytest.approx(0.25 + math.asin(rho) / (2 * math.pi), abs=1e-9)
-
-
-def test_ordinal_paths_recover_the_latent_model(spark):
-    frame = simulated(40000)
-    fit = ordinal_path_coefficients(spark.createDataFrame(frame), MODEL)
-    found = {r.path: r.estimate for r in fit.collect() if r.path}
-    scale = math.sqrt(0.25 + 0.49)
-    expected = {"a_Cadre": 0.8, "a_Ouvrier": -0.4, "b_Cadre": 0.3 / scale, "c": 0.5 / scale, "d_Cadre": 0.1, "e": 0.15, "f": 0.25 * scale}
-    for path, value in expected.items():
-        assert found[path] == pytest.approx(value, abs=0.04), path
-
-
 def test_group_differences(spark):
     rows = [("H", "a", 1.0), ("F", "a", 1.5)]
     out = group_differences(spark.createDataFrame(rows, "sex string, effect string, value double"), "sex", "H", "F").first()
