@@ -61,23 +61,24 @@ def predictive_mean_matching(
     for i, x in enumerate(xs, start=1):
         score = score + F.lit(float(beta[i])) * F.col(f"`{x}`")
         drawn_score = drawn_score + F.col(f"_b{i}") * F.col(f"`{x}`")
-    rows = df.crossJoin(drawn)
+    # The pool is the same in every imputation, so it is ranked once, and only missing rows are asked per imputation.
     observed = F.col(y).isNotNull()
-    placed = rows.select(
-        imp, row_key, F.col(y).alias("_y"), F.when(observed, score).otherwise(drawn_score).alias("_s"), observed.cast("int").alias("_o")
-    ).where(F.col("_s").isNotNull())
-    placed = running_total(placed, [imp], "_s", [F.col("_o").desc(), F.col(row_key)], F.col("_o").cast("long"), "_at", slicing)
-    pool = placed.where("_o = 1").select(F.col(imp), F.col("_at"), F.col("_s").alias("_ds"), F.col("_y").alias("_dy"))
+    donated = df.where(observed).select(F.lit(0).alias(imp), row_key, F.col(y).alias("_y"), score.alias("_s"), F.lit(1).alias("_o"))
+    missing = df.where(~observed).crossJoin(F.broadcast(drawn))  # one row per imputation
+    asked = missing.select(imp, row_key, F.col(y).alias("_y"), drawn_score.alias("_s"), F.lit(0).alias("_o"))
+    placed = donated.unionByName(asked).where(F.col("_s").isNotNull())
+    placed = running_total(placed, [], "_s", [F.col("_o").desc(), F.col(row_key), F.col(imp)], F.col("_o").cast("long"), "_at", slicing)
+    pool = placed.where("_o = 1").select("_at", F.col("_s").alias("_ds"), F.col("_y").alias("_dy"))
     asking = placed.where("_o = 0").select(
         imp, row_key, "_s", F.explode(F.sequence(F.col("_at") - donors + 1, F.col("_at") + donors)).alias("_at")
     )
-    near = asking.join(pool, [imp, "_at"]).withColumn("_far", F.abs(F.col("_s") - F.col("_ds")))
+    near = asking.join(pool, "_at").withColumn("_far", F.abs(F.col("_s") - F.col("_ds")))
     by_row = W.partitionBy(imp, row_key)
     ranked = near.withColumn("_rank", F.row_number().over(by_row.orderBy("_far", "_at")))
     ranked = ranked.where(F.col("_rank") <= donors).withColumn("_found", F.count(F.lit(1)).over(by_row))
     digits = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(imp), F.col(row_key))), 1, 8), 16, 10).cast("long")
     chosen = ranked.where(F.col("_rank") == digits % F.col("_found") + 1).select(imp, row_key, F.col("_dy").alias("_filled"))
-    completed = rows.join(chosen, [imp, row_key], "left")
+    completed = df.crossJoin(F.broadcast(drawn.select(imp))).join(chosen, [imp, row_key], "left")
     return completed.withColumn(y, F.coalesce(F.col(y), F.col("_filled"))).select(
         imp, *[F.col(f"`{c}`") for c in df.columns]
     )
