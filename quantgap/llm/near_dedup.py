@@ -6,10 +6,12 @@ serve ``BANDS * BANDS`` tables of six minhashes.  At the similarity asked for, 0
 0.75 ** 3, and a pair meets in no table with probability below ``2 * (1 - 0.42) ** BANDS``, 2e-6 for 24 bands.
 
 Texts with equal sets form one class before anything else.  Table keys are only formed from band keys that another class
-shares, so a unique text costs two short arrays.  Every class is first compared with the bucket mate it shares most
-tables with; classes that this joins need no further comparison among each other.  What is left are buckets that span
-several components: their pairs across components are compared, and a bucket with many such pairs is first divided by
-fresh bands.  All links are confirmed on full sets.
+shares, so a unique text costs two short arrays.  In larger buckets the support of a class is counted, the shingles that
+any other such class has too: a link needs three quarters of both sets' union to be common, so a class without that much
+support for the sizes it meets has no link there and leaves the bucket.  The best supported class of a bucket is its
+pivot; every class is compared with the pivot it shares most tables with, and classes that this joins need no further
+comparison among each other.  What is left are buckets that span several components: their pairs across components are
+compared, and a bucket with many such pairs is first divided by fresh bands.  All links are confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -32,6 +34,7 @@ BANDS = 24
 FINE_LEVELS = 2  # sets of fresh bands that divide crowded buckets
 CROWDED = 64  # pairs across components per row of a bucket, beyond which it is divided
 SHARE = 75  # per cent
+LARGER = 16  # rows of a bucket from which on support is counted
 MASK = (1 << 64) - 1
 BLOCK = 8192
 
@@ -141,17 +144,34 @@ def table_rows(classes: DataFrame) -> DataFrame:
     ).select(F.xxhash64("va", "vb").alias("key"), "set_key", "n")
 
 
-def compatible(m: str, n: str) -> Column:
-    """Sets of such sizes can be similar enough."""
-    return 100 * F.least(m, n) >= SHARE * F.greatest(m, n)
+def compatible(s: str | Column, m: str | Column, n: str | Column) -> Column:
+    """``s`` common shingles, or more, are enough for sets of ``m`` and ``n``; and so may the sizes be."""
+    return ((100 + SHARE) * F.col(s) if isinstance(s, str) else (100 + SHARE) * s) >= SHARE * (m + n)
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs ``(x, y)`` whose full sets are similar enough."""
+def support(sets: DataFrame, chosen: DataFrame) -> DataFrame:
+    """``(set_key, s)`` of the chosen classes: how many of their shingles another chosen class has.
+
+    Shingles are compared by half of their hash; a chance agreement can only raise ``s``, which stays an upper bound.
+    """
+    half = F.col("h").bitwiseAND(F.lit(0xFFFFFFFF)).cast("long")
+    spread = sets.join(chosen, "set_key").select(F.xxhash64("set_key").alias("who"), F.explode("hashes").alias("h")).select("who", half.alias("h"))
+    shared = spread.groupBy("h").agg(F.min("who").alias("a"), F.max("who").alias("b")).where("a <> b").select("h")
+    counted = spread.join(shared, "h").groupBy("who").agg(F.count("*").alias("s"))
+    return chosen.withColumn("who", F.xxhash64("set_key")).join(counted, "who", "left").select("set_key", F.coalesce("s", F.lit(0)).alias("s"))
+
+
+def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs ``(x, y)`` with the sizes of their full sets and of what they have in common: ``nx, ny, both``."""
     left = sets.select(F.col("set_key").alias("x"), F.col("hashes").alias("hx"))
     right = sets.select(F.col("set_key").alias("y"), F.col("hashes").alias("hy"))
-    both = pairs.join(left, "x").join(right, "y").select("x", "y", F.size("hx").alias("nx"), F.size("hy").alias("ny"), F.size(F.array_intersect("hx", "hy")).alias("both"))
-    return both.where(100 * F.col("both") >= SHARE * (F.col("nx") + F.col("ny") - F.col("both"))).select("x", "y")
+    joined = pairs.join(left, "x").join(right, "y")
+    return joined.select("x", "y", F.size("hx").alias("nx"), F.size("hy").alias("ny"), F.size(F.array_intersect("hx", "hy")).alias("both"))
+
+
+def linked(pairs: DataFrame) -> DataFrame:
+    """Measured pairs that are similar enough."""
+    return pairs.where(100 * F.col("both") >= SHARE * (F.col("nx") + F.col("ny") - F.col("both"))).select("x", "y")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -183,25 +203,44 @@ def _across(rows: DataFrame) -> DataFrame:
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
-    left = rows.select("key", F.col("set_key").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"))
-    right = rows.select("key", F.col("set_key").alias("y"), F.col("root").alias("ry"), F.col("n").alias("ny"))
-    met = left.join(right, "key").where((F.col("x") < F.col("y")) & (F.col("rx") != F.col("ry")) & compatible("nx", "ny"))
+    left = rows.select("key", F.col("set_key").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"), F.col("s").alias("sx"), F.col("c").alias("cx"), F.col("i").alias("ix"))
+    right = rows.select("key", F.col("set_key").alias("y"), F.col("root").alias("ry"), F.col("n").alias("ny"), F.col("s").alias("sy"), F.col("c").alias("cy"), F.col("i").alias("iy"))
+    # Two classes measured against one pivot share no more than what either shares with it, and with others outside it.
+    through = F.least("ix", "iy") + F.least(F.col("sx") - F.col("ix"), F.col("sy") - F.col("iy"))
+    most = F.when(F.col("cx") == F.col("cy"), F.least("sx", "sy", through)).otherwise(F.least("sx", "sy"))
+    possible = compatible(most, F.col("nx"), F.col("ny"))
+    met = left.join(right, "key").where((F.col("x") < F.col("y")) & (F.col("rx") != F.col("ry")) & possible)
     return met.select("x", "y").distinct()
 
 
 def link_classes(classes: DataFrame, docs: DataFrame) -> DataFrame:
     """Components of linked classes, ``(node, root)``; ``classes`` holds ``(set_key, rep, n, a, b)``."""
     tables = cut_lineage(table_rows(classes), "tables")
-    # The smallest key of a bucket serves as its pivot; keys are digests, so a crowd of copies meets few different pivots.
-    pivots = tables.groupBy("key").agg(F.count("*").alias("rows"), F.min("set_key").alias("pivot")).where("rows > 1")
-    buckets = cut_lineage(tables.join(pivots.select("key", "pivot"), "key"), "buckets")
+    counts = tables.groupBy("key").agg(F.count("*").alias("rows"), F.min("n").alias("least")).where("rows > 1")
+    buckets = cut_lineage(tables.join(counts, "key"), "buckets")
     wanted = cut_lineage(buckets.select("set_key").distinct().join(classes.select("set_key", F.col("rep").alias("doc_id")), "set_key"), "wanted")
     sets = cut_lineage(full_sets(docs, small_side(wanted, wanted.count(), 64)), "sets")
-    star = buckets.where(F.col("set_key") != F.col("pivot")).groupBy("set_key", "pivot").agg(F.count("*").alias("tables"))
+    backed = cut_lineage(support(sets, buckets.where(F.col("rows") > LARGER).select("set_key").distinct()), "support")
+    known = buckets.join(backed, "set_key", "left").select(
+        # Mates in a smaller bucket need not have been counted, so support speaks for the larger ones only.
+        "key", "set_key", "n", "least", F.when(F.col("rows") > LARGER, F.coalesce("s", "n")).otherwise(F.col("n")).alias("s")
+    )
+    # The smallest mate a class can have here has the bucket's least size, or three quarters of its own.
+    mate = F.greatest(F.col("least"), F.col("n") * SHARE / 100)
+    buckets = cut_lineage(known.where(compatible("s", F.col("n"), mate)).drop("least"), "buckets")
+    pivots = buckets.groupBy("key").agg(F.count("*").alias("rows"), F.max(F.struct(F.col("s") / F.col("n"), "set_key"))["set_key"].alias("pivot"))
+    star = buckets.join(pivots.where("rows > 1").select("key", "pivot"), "key").where(F.col("set_key") != F.col("pivot"))
+    star = star.groupBy("set_key", "pivot").agg(F.count("*").alias("tables"))
     star = star.groupBy("set_key").agg(F.max(F.struct("tables", "pivot")).alias("best"))
     star = star.select(F.col("set_key").alias("x"), F.col("best.pivot").alias("y"))
-    first = cut_lineage(confirmed(star, sets), "links")
-    rows = with_root(buckets.select("key", "set_key", "n"), components(first))
+    star = cut_lineage(measured(star, sets), "star")
+    first = linked(star)
+    # Pivots whose shingles were counted bound what the classes measured against them can share; they themselves lie at it.
+    seen = star.join(backed.select(F.col("set_key").alias("y")), "y").select(F.col("x").alias("set_key"), F.col("y").alias("c"), F.col("both").alias("i"))
+    centres = seen.select(F.col("c").alias("set_key")).distinct().join(star.select(F.col("x").alias("set_key")), "set_key", "left_anti")
+    seen = cut_lineage(seen.union(centres.select("set_key", F.col("set_key").alias("c"), F.lit(None).cast("int").alias("i"))), "seen")
+    placed = buckets.join(seen, "set_key", "left").select("key", "set_key", "n", "s", "c", F.coalesce("i", "n").alias("i"))
+    rows = with_root(placed, components(first))
     found = []
     for level in range(FINE_LEVELS + 1):
         rows = cut_lineage(rows, "rows")
@@ -211,11 +250,11 @@ def link_classes(classes: DataFrame, docs: DataFrame) -> DataFrame:
         if level < FINE_LEVELS:
             crowded = rows.join(spans.where(F.col("crowd") > CROWDED).select("key"), "key")
             fine = sets.select("set_key", F.explode(F.slice("fine", level * BANDS + 1, BANDS)).alias("band"))
-            rows = crowded.join(fine, "set_key").select(F.xxhash64("key", "band").alias("key"), "set_key", "n", "root")
+            rows = crowded.join(fine, "set_key").select(F.xxhash64("key", "band").alias("key"), "set_key", "n", "s", "c", "i", "root")
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.union(more)
-    second = confirmed(cut_lineage(pairs.distinct(), "pairs"), sets)
+    second = linked(measured(cut_lineage(pairs.distinct(), "pairs"), sets))
     return components(first.union(second))
 
 
