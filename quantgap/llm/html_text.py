@@ -31,28 +31,33 @@ CLOSES = {
 }
 SCOPE = set("table ul ol dl div section article main body html blockquote td th".split())
 NOISE_ROLE = set("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
+# A name speaks for an element only as a whole class or id: a noise word, with a word of place or of kind at most.
+PLACE = r"(?:(?:main|primary|secondary|site|page|blog|post|global|top|bottom|left|right|mobile|header|footer|article|entry|user|reader)[_-])?"
+KIND = r"(?:[_-](?:container|wrapper|wrap|box|block|area|list|section|inner|content|bar|links?|menu|banner|notice|consent|signup|share|icons?|buttons?|form|slot|unit|space|holder|top|bottom|left|right|primary|secondary|main|\d+))?"
 NOISE_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|pagination|pager|sidebar|side|aside|"
-    r"widget\w*|share\w*|social\w*|related|recommend\w*|footer|masthead|site-header|page-header|topbar|toolbar|cookie\w*|consent|gdpr|"
-    r"notice|popup|modal|overlay|newsletter|subscri\w*|signup|login|comments?|comment-\w+|disqus\w*|replies|reply|respond|copyright|"
-    r"legal|disclaimer|skip|hidden|print-only|tags?|meta|byline)(?:$|[\s_-])",
+    PLACE + r"(?:banner|sponsor(?:ed|s)?|promo(?:s|tions?)?|nav(?:bar|igation)?|menu|breadcrumbs?|pagination|pager|sidebar|aside|widgets?|"
+    r"shar(?:e|ing)|social|related(?:[_-](?:posts?|articles|stories))?|recommend(?:ed|ations)?|footer|masthead|site-header|page-header|topbar|toolbar|"
+    r"cookies?|consent|gdpr|notice|popup|modal|overlay|newsletter|subscri(?:be|ption)|signup|login|copyright|legal|disclaimer|skip)" + KIND,
     re.I,
 )
+# Names of adverts and reader comments, which may be the larger part of a page.
+SURE_NAME = re.compile(PLACE + r"(?:ads?|advert(?:s|isements?)?|adsense|comments?|disqus(?:[_-]thread)?|repl(?:y|ies)|respond)" + KIND, re.I)
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(/?)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 SPACE = re.compile(r"\s+")
 
 POINTS_LENGTH = 100  # one point for so many characters, three at most
 KEEP_SHARE = 0.2
+TINY = 0.1  # a text below this share of the page's unlinked text is looked for again without names
 
 ship(__name__)
 
 
 class Node:
-    __slots__ = ("tag", "up", "children", "noise", "score", "chars", "links")
+    __slots__ = ("tag", "up", "children", "noise", "named", "score", "chars", "links")
 
-    def __init__(self, tag: str, up: "Node | None", noise: bool = False):
-        self.tag, self.up, self.noise = tag, up, noise
+    def __init__(self, tag: str, up: "Node | None", noise: bool = False, named: int = 0):
+        self.tag, self.up, self.noise, self.named = tag, up, noise, named
         self.children: list = []
         self.score, self.chars, self.links = 0.0, 0, 0
 
@@ -68,11 +73,20 @@ def _noise(tag: str, attributes: str, up: Node) -> bool:
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-        if name in ("class", "id") and NOISE_NAME.search(value):
-            return True
     return False
 
 
+def _named(tag: str, attributes: str) -> int:
+    """1 if a class or id names noise, 2 if it names adverts or reader comments."""
+    found = 0
+    if attributes and tag not in ("html", "body", "article", "main"):
+        for match in ATTRIBUTE.finditer(attributes):
+            if match[1].lower() in ("class", "id"):
+                for name in (match[2] or match[3] or match[4] or "").split():
+                    found = max(found, 2 if SURE_NAME.fullmatch(name) else 1 if NOISE_NAME.fullmatch(name) else 0)
+    return found
+
+
 def _within(node: Node | None, *tags: str) -> bool:
     while node is not None:
         if node.tag in tags:
@@ -120,7 +134,7 @@ def parse(page: str) -> Node:
             else:
                 if node.tag in ends:
                     here = node.up
-        node = Node(tag, here, here.noise or _noise(tag, match[3], here))
+        node = Node(tag, here, here.noise or _noise(tag, match[3], here), _named(tag, match[3]))
         here.children.append(node)
         if tag not in VOID and not match[4]:
             here = node
@@ -169,25 +183,92 @@ def blocks(top: Node) -> list[tuple[Node, str, int]]:
     return out
 
 
+def points(owner: Node, text: str) -> float:
+    if owner.tag not in ("p", "pre", "td", "blockquote", "li", "div", "section", "article") or len(text) < 25:
+        return 0.0
+    return 1 + text.count(",") + min(len(text) / POINTS_LENGTH, 3)
+
+
+def take_out(root: Node, least: int) -> float:
+    """Mark what names of ``least`` or above take out; returns the unlinked text that names of 1 and 0 hold.
+
+    A name of 1 does not count for an element that holds most of the page's points, a main element, or an article if
+    there is none outside.
+    """
+    named = [n for n in _elements(root) if n.named >= least and not n.noise]
+    if not named:
+        return 0.0
+    total = unlinked = 0.0
+    held: dict[int, float] = {}
+    marks: dict[int, set[str]] = {}
+    free = False  # an article or main element with points outside
+    for owner, text, links in blocks(root):
+        worth, names, article = points(owner, text), [], set()
+        node: Node | None = owner
+        while node is not None:
+            if node.tag in ("article", "main"):
+                article.add(node.tag)
+            if node.named:
+                names.append(node)
+                if article:
+                    marks.setdefault(id(node), set()).update(article)
+            node = node.up
+        if all(n.named < 2 for n in names):
+            unlinked += len(text) - links
+            total += worth
+            for n in names:
+                held[id(n)] = held.get(id(n), 0.0) + worth
+        if not names and worth and article:
+            free = True
+    for n in named:
+        inside = marks.get(id(n), ())
+        if n.named == 1 and (held.get(id(n), 0.0) * 2 > total or "main" in inside or "article" in inside and not free):
+            continue
+        n.noise = True
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        for child in node.children:
+            if isinstance(child, Node):
+                child.noise = child.noise or node.noise
+                stack.append(child)
+    return unlinked
+
+
 def main_text(page: str | None) -> str:
-    """The article of a page; empty if it has no text outside what is taken out."""
+    """The article of a page; empty if it has no text outside what is taken out.
+
+    Where names take out all text, or nearly all but adverts and comments, the page is read again without them.
+    """
     if not page:
         return ""
-    root = parse(page)
+    best = ""
+    for least in (1, 2, 3):
+        root = parse(page)
+        unlinked = take_out(root, least)
+        text = scored_text(root)
+        if len(text) > len(best):
+            best = text
+        if best and (least > 1 or len(best) >= TINY * unlinked):
+            break
+    return best
+
+
+def scored_text(root: Node) -> str:
     found = blocks(root)
     if not found:
         return ""
     scored: dict[int, Node] = {}
     for owner, text, links in found:
-        points = 1 + text.count(",") + min(len(text) / POINTS_LENGTH, 3) if owner.tag in ("p", "pre", "td", "blockquote", "li", "div", "section", "article") and len(text) >= 25 else 0
+        value = points(owner, text)
         node, depth = owner if owner.tag in ("div", "section", "article", "main", "body", "td") else owner.up, 0
         above = owner
         while above is not None:
             above.chars += len(text)
             above.links += links
             above = above.up
-        while points and node is not None and node.tag != "#root" and depth < 5:
-            node.score += points / (1 if depth == 0 else 2 if depth == 1 else 3 * depth)
+        while value and node is not None and node.tag != "#root" and depth < 5:
+            node.score += value / (1 if depth == 0 else 2 if depth == 1 else 3 * depth)
             scored[id(node)] = node
             node, depth = node.up, depth + 1
     worth = lambda n: n.score * (1 - n.links / max(n.chars, 1))

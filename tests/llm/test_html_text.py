@@ -32,6 +32,32 @@ def test_short_cut_and_empty_pages():
     assert h.main_text("</p></div><article><p>" + LONG) == LONG
 
 
+def test_names_count_as_whole_tokens():
+    article = f"<h1>Title</h1><p>{LONG}</p><p>{LONG} More, of, it.</p>"
+    want = ["Title", LONG, LONG + " More, of, it."]
+    harmless = ["layout has-sidebar", "content-area no-sidebar", "wrapper menu-open", "meta", "side", "hidden md:block", "comments-open"]
+    for name in [*harmless, "post type-post hentry category-news tag-politics tags"]:
+        for inner in (article, f"<article>{article}</article>"):
+            got = h.main_text(page(f'<div class="{name}">{inner}</div><div class="sidebar"><p>{LONG} Aside.</p></div>'))
+            assert got.split("\n") == want, name
+    for name in ["ad", "x ad-slot", "sidebar widget-area", "site-footer", "cookie-banner", "comments-area", "comment-12", "related-posts"]:
+        got = h.main_text(page(f"<div class=text>{article}<div class='{name}'><p>{LONG}</p></div></div>"))
+        assert got.split("\n") == want, name
+
+
+def test_names_do_not_take_the_article():
+    article = f"<h1>Title</h1><p>{LONG}</p><p>{LONG} More, of, it.</p>"
+    want = ["Title", LONG, LONG + " More, of, it."]
+    comments = "<div id=comments>" + f"<article><p>{LONG} I say.</p></article>" * 9 + "</div>"
+    for inner in (article, f"<article>{article}</article>", f"<main>{article}</main>"):
+        for rest in ("", comments):
+            assert h.main_text(page(f"<div class=sidebar>{inner}</div>{rest}")).split("\n") == want
+    short = "<article><h1>T</h1><p>Short, but the article of the page.</p></article>"
+    assert h.main_text(page(short + comments)) == "T\nShort, but the article of the page."
+    assert h.main_text(page("".join(f"<div class=widget><p>{LONG} {i}</p></div>" for i in range(4)))).split("\n") == [f"{LONG} {i}" for i in range(4)]
+    assert h.main_text(page(f"<div class=ad><p>{LONG}</p></div>")) == LONG
+
+
 def test_query_shape(spark):
     table = spark.createDataFrame([(1, "u", f"<article><p>{LONG}</p>"), (1, "u", None), (None, None, "")], "page_id bigint, url string, html string")
     assert sorted(rows(h.extract(table), "page_id", "url", "text", "n_chars"), key=str) == [(1, "u", "", 0), (1, "u", LONG, len(LONG)), (None, None, "", 0)]
