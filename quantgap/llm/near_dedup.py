@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantgap.llm.common import ship, small_side
+from quantgap.llm.common import fresh_name, ship, small_side
 from quantgap.session import cut_lineage
 
 SHINGLE = 5
@@ -88,25 +88,25 @@ def _set_key(hashes: np.ndarray) -> bytes:
     return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
 
 
-def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, n_shingles, set_key, a, b)`` per row; set_key and bands are null for texts without words."""
+def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
+    """``(doc_id, *also, n_shingles, set_key, a, b)`` per row; set_key and bands are null for texts without words."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, keys, a, b = [], [], [], []
-            for value in batch.column(1):
+            for value in batch.column(len(names) - 1):
                 hashes = shingle_hashes(value.as_py())
                 sizes.append(len(hashes))
                 keys.append(_set_key(hashes) if len(hashes) else None)
                 a.append(_bands(hashes, 1) if len(hashes) else np.zeros(0, np.int64))
                 b.append(_bands(hashes, 2) if len(hashes) else np.zeros(0, np.int64))
-            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), _lists(a), _lists(b)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "set_key", "a", "b"])
+            columns = [*batch.columns[:-1], pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), _lists(a), _lists(b)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*names[:-1], "n_shingles", "set_key", "a", "b"])
 
-    kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(
-        sign, f"doc_id {kind}, n_shingles bigint, set_key binary, a array<bigint>, b array<bigint>"
-    )
+    rows = docs.select(F.col(doc_id).alias("doc_id"), *also, F.col(text).alias("text"))
+    names = rows.columns
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in names[:-1])
+    return rows.mapInArrow(sign, f"{kinds}, n_shingles bigint, set_key binary, a array<bigint>, b array<bigint>")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -269,8 +269,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     Texts without words are linked with nothing.  Rows without doc_id are linked with nothing either and are kept.  One
     doc_id may stand on several rows; each row belongs to the component of its own text.
     """
-    narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    signed = cut_lineage(signatures(narrow), "signatures")
+    return _judged(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _judged(narrow: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """``near_duplicates`` with the columns ``also`` and ``root``, the group of the row's text: null without words."""
+    signed = cut_lineage(signatures(narrow, also=also), "signatures")
     classes = signed.where("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key").agg(
         F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("a").alias("a"), F.first("b").alias("b")
     )
@@ -278,22 +282,41 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     roots = cut_lineage(link_classes(classes, narrow), "roots")
     named = roots.join(classes.select(F.col("set_key").alias("node"), "rep"), "node")
     ids = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    linked = named.join(ids, "root").select(F.col("node").alias("set_key"), "component_id")
-    lone = classes.where("copies > 1").join(roots.select(F.col("node").alias("set_key")), "set_key", "left_anti").select("set_key", F.col("rep").alias("component_id"))
-    named = signed.select("doc_id", "n_shingles", "set_key").join(linked.union(lone), "set_key", "left")
+    linked = named.join(ids, "root").select(F.col("node").alias("set_key"), "component_id", "root")
+    lone = classes.where("copies > 1").join(roots.select(F.col("node").alias("set_key")), "set_key", "left_anti").select("set_key", F.col("rep").alias("component_id"), F.col("set_key").alias("root"))
+    named = signed.select("doc_id", *also, "n_shingles", "set_key").join(linked.union(lone), "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return named.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    kept = F.coalesce(F.col("doc_id") == component, F.lit(True))
+    return named.select("doc_id", *also, "n_shingles", component.alias("component_id"), kept.alias("kept"), F.coalesce("root", "set_key").alias("root"))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one document of each group, the one with the smallest id; columns unchanged.
 
-    Rows that repeat an id are reduced to one as well, which goes only if all of them would; rows without id stay.
+    Rows that repeat an id are judged by their own texts: unlike texts all stay.  Of near copies under one id the one
+    with the smallest digest stays, of rows alike in id and text one.  Rows without id stay.
     """
-    judged = cut_lineage(near_duplicates(docs, doc_id, text), "judged")
-    gone = cut_lineage(judged.groupBy("doc_id").agg(F.max("kept").alias("kept")).where("NOT kept").select("doc_id"), "gone")
-    rest = docs.join(small_side(gone.withColumnRenamed("doc_id", doc_id), gone.count(), 32), doc_id, "left_anti")
-    if judged.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
+    mark = fresh_name(docs, "_digest")
+    marked = docs.withColumn(mark, F.md5(F.col(text).cast("binary")))
+    narrow = marked.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(mark).alias("digest"))
+    judged = cut_lineage(_judged(narrow, ("digest",)), "judged")
+    # Texts without words have no group; each is one of its own.
+    kept = judged.where("kept AND doc_id IS NOT NULL")
+    again = kept.groupBy("doc_id", "root", F.when(F.col("root").isNull(), F.col("digest")).alias("alone")).agg(F.count("*").alias("rows"), F.min("digest").alias("least"))
+    again = cut_lineage(again.where("rows > 1").select("doc_id", "root", "least"), "again")
+    repeats = again.count()
+    gone = judged.where("NOT kept").select("doc_id", "digest")
+    if repeats:
+        others = kept.join(small_side(again.where("root IS NOT NULL"), repeats, 128), ["doc_id", "root"]).where("digest <> least")
+        gone = gone.union(others.select("doc_id", "digest"))
+    gone = cut_lineage(gone.distinct(), "gone")
+    gone = small_side(gone.select(F.col("doc_id").alias(doc_id), F.col("digest").alias(mark)), gone.count(), 64)
+    rest = marked.join(gone, [doc_id, mark], "left_anti").select(*docs.columns, mark)
+    if not repeats:
         return rest.select(*docs.columns)
-    known = rest.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id])
-    return known.union(rest.where(F.col(doc_id).isNull())).select(*docs.columns)
+    alike = small_side(again.select(F.col("doc_id").alias("_again_id"), F.col("least").alias("_again_digest")), repeats, 64)
+    same = (F.col(doc_id) == F.col("_again_id")) & F.col(mark).eqNullSafe(F.col("_again_digest"))
+    # Rows alike in id and text may differ elsewhere; the choice among them is the same on every run.
+    row = F.struct(*docs.columns)
+    one = rest.join(alike, same, "left_semi").groupBy(doc_id, mark).agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("row")).select("row.*")
+    return rest.join(alike, same, "left_anti").select(*docs.columns).union(one)

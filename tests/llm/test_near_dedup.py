@@ -85,3 +85,16 @@ def test_rows_without_id_repeats_and_columns(spark):
     left = n.keep_one(table)
     assert left.columns == table.columns and sorted(rows(left, "doc_id"), key=str) == [(5,), (6,), (7,), (None,)]
     assert n.keep_one(table.limit(0)).count() == 0
+
+
+def test_unlike_texts_under_one_id_stay(spark):
+    near = prose(3, 80)
+    copy = near.rsplit(" ", 1)[0] + " tail"
+    lone = [prose(50 + i, 60, 5000) for i in range(30)]
+    own = prose(90, 80, 5000)
+    pairs = [(1, near), (5, copy), *[(5, t) for t in lone], (5, lone[0]), (7, own), (7, own + " tail"), (7, own), (8, None), (8, None), (8, " "), (None, near)]
+    table = docs(spark, [t for _, t in pairs], [i for i, _ in pairs])
+    got = sorted(rows(n.keep_one(table), "doc_id", "text"), key=str)
+    either = [sorted([(1, near), *[(5, t) for t in lone], (7, t), (8, None), (8, " "), (None, near)], key=str) for t in (own, own + " tail")]
+    assert got in either
+    assert sorted(rows(n.keep_one(table.repartition(7)), "doc_id", "text"), key=str) == got
