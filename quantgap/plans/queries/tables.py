@@ -375,7 +375,7 @@ def analysis_table(spark, folder):
     """Early and later waves in the final table, written and read back by year; rows per year and class."""
     waves82, waves90 = waves_1982(spark, folder)
     early = harmonise.align_1982(harmonise.harmonise_1982(waves82, waves90))
-    eras = [read_era(spark, landed_era(spark, folder, era, kind), era, kind) for era, kind in (("pre2013", "csv"), ("post2021", "parquet"))]
+    eras = [read_era(spark, landed_era(spark, folder, era, kind), era, kind) for era, kind in (("pre2013", "csv"), ("post2013", "csv"), ("post2021", "parquet"))]
     later = harmonise.harmonise_2003(eras, era_dictionary(spark))
     path = scratch_path(spark, "analysis")
     write_table(harmonise.analysis_table(early, later), path)
