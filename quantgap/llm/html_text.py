@@ -1,8 +1,8 @@
 """Main text of web pages by tree scoring.
 
 Paragraphs pass points for length and commas to the elements above them, less the further up; an element's points are
-discounted by the share of its text that is link text.  The best element and those siblings that carry text of their own
-are kept.  Menus, page headers and footers, side bars, notices, adverts, forms, scripts, styles and reader comments are
+discounted by the share of its text that is link text.  The best element and those siblings that are not mostly links are
+kept, whatever their length.  Menus, page headers and footers, side bars, notices, adverts, forms, scripts, styles and reader comments are
 taken out before and never score.  Each page is worked on in its own row; nothing is shuffled.
 """
 
@@ -44,20 +44,21 @@ NOISE_NAME = re.compile(
 SURE_NAME = re.compile(PLACE + r"(?:ads?|advert(?:s|isements?)?|adsense|comments?|disqus(?:[_-]thread)?|repl(?:y|ies)|respond)" + KIND, re.I)
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(/?)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+CLASS = re.compile(r"\bclass\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 SPACE = re.compile(r"\s+")
 
 POINTS_LENGTH = 100  # one point for so many characters, three at most
-KEEP_SHARE = 0.2
+LINKED = 0.25  # share of link text from which on an element beside the best one is not text
 TINY = 0.1  # a text below this share of the page's unlinked text is looked for again without names
 
 ship(__name__)
 
 
 class Node:
-    __slots__ = ("tag", "up", "children", "noise", "named", "score", "chars", "links")
+    __slots__ = ("tag", "up", "children", "noise", "named", "kind", "score", "chars", "links")
 
-    def __init__(self, tag: str, up: "Node | None", noise: bool = False, named: int = 0):
-        self.tag, self.up, self.noise, self.named = tag, up, noise, named
+    def __init__(self, tag: str, up: "Node | None", noise: bool = False, named: int = 0, kind: str = ""):
+        self.tag, self.up, self.noise, self.named, self.kind = tag, up, noise, named, kind
         self.children: list = []
         self.score, self.chars, self.links = 0.0, 0, 0
 
@@ -87,6 +88,12 @@ def _named(tag: str, attributes: str) -> int:
     return found
 
 
+def _kind(attributes: str) -> str:
+    """The classes of an element, as written."""
+    match = CLASS.search(attributes) if attributes else None
+    return (match[1] or match[2] or match[3] or "") if match else ""
+
+
 def _within(node: Node | None, *tags: str) -> bool:
     while node is not None:
         if node.tag in tags:
@@ -134,7 +141,7 @@ def parse(page: str) -> Node:
             else:
                 if node.tag in ends:
                     here = node.up
-        node = Node(tag, here, here.noise or _noise(tag, match[3], here), _named(tag, match[3]))
+        node = Node(tag, here, here.noise or _noise(tag, match[3], here), _named(tag, match[3]), _kind(match[3]))
         here.children.append(node)
         if tag not in VOID and not match[4]:
             here = node
@@ -284,15 +291,21 @@ def scored_text(root: Node) -> str:
         best = max(articles, key=lambda n: n.chars)
     else:
         best = root
-    kept = {id(best)}
+    kept, loose = {id(best)}, None
     if best.up is not None and best.tag not in ("article", "main"):
-        bar = max(10.0, KEEP_SHARE * worth(best))
         for child in best.up.children:
-            if isinstance(child, Node) and not child.noise and child.chars:
-                density = child.links / child.chars
-                if worth(child) >= bar or child.tag in ("p", "h1", "h2", "h3", "blockquote", "pre") and density < 0.25:
-                    kept.add(id(child))
-    return "\n".join(text for owner, text, _ in found if _held(owner, kept))
+            if isinstance(child, Node) and not child.noise and child.chars and child.links < LINKED * child.chars:
+                kept.add(id(child))
+        loose = best.up  # text beside the elements
+        # Above it only elements of the same kind are parts of the same text: rows of a page, or its sections.
+        node, up = best.up, best.up.up
+        while up is not None and node.tag not in ("article", "main", "body"):
+            for child in up.children:
+                if isinstance(child, Node) and child is not node and child.tag == node.tag and (node.kind or node.tag == "section") and child.kind == node.kind:
+                    if not child.noise and child.chars and child.links < LINKED * child.chars:
+                        kept.add(id(child))
+            node, up = up, up.up
+    return "\n".join(text for owner, text, links in found if _held(owner, kept) or owner is loose and links < LINKED * len(text))
 
 
 def _elements(root: Node) -> Iterator[Node]:

@@ -58,6 +58,19 @@ def test_names_do_not_take_the_article():
     assert h.main_text(page(f"<div class=ad><p>{LONG}</p></div>")) == LONG
 
 
+def test_short_sections_beside_a_long_one_are_kept():
+    long = "".join(f"<p>{LONG} Part, the long one, {i}.</p>" for i in range(9))
+    short = f"<section><h2>Second</h2><p>{LONG} Short.</p></section><ul><li>one<li>two</ul>"
+    tail = "<table><tr><td>cell<td>7</table><div>Last.</div>beside<section><h2>Third</h2><p>Few words.</p></section>"
+    links = "<div><a href=1>first link of a list</a> <a href=2>second link</a></div>"
+    want = [f"{LONG} Part, the long one, {i}." for i in range(9)]
+    after = ["Second", f"{LONG} Short.", "one", "two", "cell", "7", "Last.", "beside", "Third", "Few words."]
+    got = h.main_text(page(f"<div id=x><section><h2>First</h2>{long}</section>{short}{tail}{links}</div>"))
+    assert got.split("\n") == ["First", *want, *after]
+    parts = "".join(f"<div class=row><div class=col><section>{x}</section></div></div>" for x in (long, f"<h2>S</h2><p>{LONG}</p>"))
+    assert h.main_text(page(f"<div id=x>{parts}<div>Company, address, phone</div></div>")).split("\n") == [*want, "S", LONG]
+
+
 def test_query_shape(spark):
     table = spark.createDataFrame([(1, "u", f"<article><p>{LONG}</p>"), (1, "u", None), (None, None, "")], "page_id bigint, url string, html string")
     assert sorted(rows(h.extract(table), "page_id", "url", "text", "n_chars"), key=str) == [(1, "u", "", 0), (1, "u", LONG, len(LONG)), (None, None, "", 0)]
