@@ -7,7 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantgap.llm import credentials, decontamination, html_text, mixing, near_dedup, quality, sharding, sql, token_counts, toxicity, warc
+from quantgap.llm import (
+    centroids,
+    credentials,
+    decontamination,
+    exact_dedup,
+    html_text,
+    mixing,
+    near_dedup,
+    periodic_runs,
+    quality,
+    sharding,
+    sql,
+    token_counts,
+    toxicity,
+    warc,
+)
+from quantgap.llm.common import words
 from quantgap.session import cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +34,7 @@ SCHEMAS = {
     "pages": "page_id bigint, url string, html string",
     "benchmark": "item_id bigint, text string",
     "labels": "doc_id bigint, quality int, toxic int",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
 }
 
 
@@ -102,3 +119,49 @@ def op10_decontamination(spark, folder):
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.size("hits") > 0).alias("contaminated"),
     )
+
+
+def planted(docs: DataFrame) -> DataFrame:
+    """``(doc_id, text)`` where every tenth document, by the CRC of its id, repeats a part of itself from some word on."""
+    mark = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    rows = docs.select("doc_id", "text", mark.alias("h")).withColumn("w", F.when(F.col("h") % 10 == 0, words(F.coalesce("text", F.lit("")))))
+    rows = rows.withColumns({"n": F.size("w"), "g": F.floor(F.col("h") / 10)})
+    rows = rows.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    rows = rows.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    place = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")
+    moved = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n").cast("long") - 1), lambda i: F.col("w")[place(i)])
+    return rows.select("doc_id", F.when(F.col("n") > 0, F.array_join(moved, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query("op11_periodic_runs", sql.periodic_query())
+def op11_periodic_runs(spark, folder):
+    found = periodic_runs.find_runs(planted(table(spark, folder, "documents")), ["doc_id"])
+    none = F.lit(None).cast("struct<start: bigint, period: bigint, length: bigint>")
+    # Runs come by start, then period, so the first of equal exponents stays.
+    more = lambda best, run: best.isNull() | (run.length * best.period > best.length * run.period)
+    best = F.aggregate("runs", none, lambda best, run: F.when(more(best, run), run).otherwise(best))
+    line = lambda run: F.concat(run.start.cast("string"), F.lit(","), run.length.cast("string"), F.lit(","), run.period.cast("string"), F.lit("\n"))
+    rows = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.array_join(F.transform("runs", line), "").alias("lines"), "collapsed")
+    return rows.select(
+        "doc_id",
+        "n_runs",
+        "best.start",
+        "best.length",
+        "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.col("lines").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+@query("op12_centroids", sql.centroid_query())
+def op12_centroids(spark, folder):
+    members, places = centroids.cluster(table(spark, folder, "embeddings"))
+    digest = F.sha2(F.array_join(F.transform("centroid", lambda x: x.cast("string")), ","), 256)
+    named = centroids.with_inertia(members).join(F.broadcast(places), "cluster")
+    return named.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", digest.alias("centroid_sha256"))
+
+
+@query("op13_exact_dedup", sql.exact_query())
+def op13_exact_dedup(spark, folder):
+    return exact_dedup.find_copies(table(spark, folder, "documents"))

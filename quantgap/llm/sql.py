@@ -187,3 +187,70 @@ firsts AS (SELECT sha, max(page_id) AS id FROM hashed GROUP BY sha)
 SELECT page_id, n AS payload_bytes, array_to_string(list_transform(range(8), lambda g: {signs}), '') AS payload_digest,
   CASE WHEN page_id = id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> id THEN id END AS refers_to
 FROM hashed JOIN firsts USING (sha)"""
+
+
+def exact_query() -> str:
+    return """
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id IS NOT DISTINCT FROM max(doc_id) OVER g AS kept, digest AS text_sha256
+FROM (SELECT doc_id, sha256(coalesce(text, '')) AS digest FROM documents) WINDOW g AS (PARTITION BY digest)"""
+
+
+def centroid_query(k: int = 8, rounds: int = 10, width: int = 64, scale: int = 1024, seed: str = "3") -> str:
+    """Lloyd's rounds one after the other, on one row per vector and component."""
+    near = lambda t: f"""
+SELECT rid, min({{'d': d, 'c': c}}) AS best FROM (
+  SELECT v.rid, m.c, sum((v.x - m.x) * (v.x - m.x))::BIGINT AS d FROM k_parts v JOIN {t} m USING (j) GROUP BY v.rid, m.c) GROUP BY rid"""
+    steps = ""
+    for r in range(rounds):
+        steps += f""",
+k_near{r} AS MATERIALIZED ({near(f"k_mean{r}")}),
+k_mean{r + 1} AS MATERIALIZED (
+  SELECT m.c, m.j, coalesce(((s.total - ((s.total % s.n) + s.n) % s.n) // s.n)::BIGINT, m.x) AS x
+  FROM k_mean{r} m LEFT JOIN (
+    SELECT best.c AS c, j, sum(x) AS total, count(*) AS n FROM k_near{r} JOIN k_parts USING (rid) GROUP BY best.c, j) s ON s.c = m.c AND s.j = m.j)"""
+    return f"""
+WITH k_rows AS (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * {scale})::BIGINT) AS q FROM embeddings
+  WHERE len(embedding) = {width} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {width}),
+k_parts AS MATERIALIZED (SELECT rid, unnest(range({width})) AS j, unnest(q) AS x FROM k_rows),
+k_seeds AS (SELECT q, row_number() OVER (ORDER BY sha256('{seed}:' || coalesce(vec_id::VARCHAR, '')), q) - 1 AS c FROM k_rows),
+k_mean0 AS MATERIALIZED (SELECT c, unnest(range({width})) AS j, unnest(q) AS x FROM k_seeds WHERE c < {k}){steps},
+k_last AS MATERIALIZED ({near(f"k_mean{rounds}")}),
+k_names AS (SELECT c, sha256(string_agg(x::VARCHAR, ',' ORDER BY j)) AS name FROM k_mean{rounds} GROUP BY c)
+SELECT vec_id, best.c::INT AS cluster, best.d AS distance, (sum(best.d) OVER (PARTITION BY best.c))::BIGINT AS cluster_inertia,
+  (sum(best.d) OVER ())::BIGINT AS inertia, name AS centroid_sha256
+FROM k_rows JOIN k_last USING (rid) JOIN k_names ON k_names.c = best.c"""
+
+
+def _crc32(body: str) -> str:
+    """CRC-32 of an ASCII expression; ``t`` is the byte table of ``CRC_TABLE``."""
+    return f"""xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode({body})), '..'), lambda h: ('0x' || h)::BIGINT)),
+    lambda c, x: xor(c // 256, t[(xor(c, x) & 255) + 1])))::BIGINT"""
+
+
+CRC_TABLE = """c_steps AS (SELECT range AS v, list_reduce(list_prepend(range, range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END) AS t FROM range(256)),
+c_table AS (SELECT list(t ORDER BY v) AS t FROM c_steps)"""
+
+
+def periodic_query() -> str:
+    """Stretches of equal words a period apart, over all pairs of equal words of a text."""
+    return f"""
+WITH {CRC_TABLE},
+p_docs AS (
+  SELECT *, len(w) AS n, h // 10 AS g FROM (
+    SELECT row_number() OVER () AS rid, doc_id, coalesce(regexp_extract_all(text, '{WORD}'), []) AS w, {_crc32("doc_id::VARCHAR")} AS h FROM documents, c_table)),
+p_start AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n ELSE n END AS a FROM p_docs),
+p_words AS MATERIALIZED (
+  SELECT rid, n, i, w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END] AS word FROM (SELECT *, unnest(range(n)) AS i FROM p_start)),
+p_same AS (
+  SELECT x.rid, y.i - x.i AS q, x.i FROM p_words x JOIN p_words y ON x.rid = y.rid AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+p_islands AS (SELECT rid, q, i, i - row_number() OVER (PARTITION BY rid, q ORDER BY i) AS island FROM p_same),
+p_long AS (SELECT rid, q, min(i) AS s, count(*) + q AS len FROM p_islands GROUP BY rid, q, island HAVING count(*) + q >= greatest(6, 4 * q)),
+p_runs AS MATERIALIZED (SELECT rid, s, len, min(q) AS q FROM p_long GROUP BY rid, s, len),
+p_gone AS (SELECT DISTINCT rid, unnest(range(s + q, s + len)) AS i FROM p_runs),
+p_kept AS (SELECT rid, string_agg(word, ' ' ORDER BY i) AS body FROM p_words ANTI JOIN p_gone USING (rid, i) GROUP BY rid),
+p_best AS (SELECT * FROM p_runs QUALIFY row_number() OVER (PARTITION BY rid ORDER BY len::DOUBLE / q DESC, s, q) = 1),
+p_lines AS (SELECT rid, count(*) AS n_runs, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS lines FROM p_runs GROUP BY rid)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, s::BIGINT AS start, len::BIGINT AS length, q::BIGINT AS period,
+  (1000 * len // q)::BIGINT AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(body, '')) AS collapsed_sha256
+FROM p_docs LEFT JOIN p_kept USING (rid) LEFT JOIN p_best USING (rid) LEFT JOIN p_lines USING (rid)"""
