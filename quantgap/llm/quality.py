@@ -57,7 +57,6 @@ def measure(df: DataFrame, text: str = "text", hash_mask: int = -1) -> DataFrame
         {
             token: words(content),
             lines: F.filter(F.split(content, "\n"), lambda line: line.rlike(WORD)),
-            "n_symbols": F.length(F.regexp_replace(content, r"[^#*$%&|<>]+", "")).cast("long"),
         }
     )
     mask = (1 << POSITION_BITS) - 1
@@ -89,16 +88,18 @@ def measure(df: DataFrame, text: str = "text", hash_mask: int = -1) -> DataFrame
     )
     starts = fresh_name(df, "_starts")
     step = step.withColumn(starts, F.when(F.col(exact).isNotNull(), by_words).otherwise(by_hash))
-    step = step.withColumns(
-        {
-            "n_words": F.size(token).cast("long"),
-            "word_chars": F.length(F.array_join(token, "")).cast("long"),
-            "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
-            "n_repeat_words": F.size(F.array_distinct(F.flatten(F.transform(starts, lambda i: F.array(i, i + 1, i + 2))))).cast("long"),
-            "n_stop_words": F.size(F.filter(token, lambda w: F.lower(w).isin(*STOP_WORDS))).cast("long"),
-            "n_lines": F.size(lines).cast("long"),
-        }
-    )
+    counts = {
+        "n_symbols": F.length(F.regexp_replace(content, r"[^#*$%&|<>]+", "")),
+        "n_words": F.size(token),
+        "word_chars": F.length(F.array_join(token, "")),
+        "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
+        "n_repeat_words": F.size(F.array_distinct(F.flatten(F.transform(starts, lambda i: F.array(i, i + 1, i + 2))))),
+        "n_stop_words": F.size(F.filter(token, lambda w: F.lower(w).isin(*STOP_WORDS))),
+        "n_lines": F.size(lines),
+    }
+    # Rows of one struct each, unfolded: a filter on a count cannot move below and repeat the expressions that make it.
+    others = [F.col(f"`{c}`") for c in df.columns if c.lower() not in counts]
+    step = step.select(*others, F.inline(F.array(F.struct(*[value.cast("long").alias(name) for name, value in counts.items()]))))
     ratio = lambda part, whole: F.when(F.col(whole) > 0, F.col(part) / F.col(whole)).otherwise(0.0)
     return step.withColumns(
         {
@@ -108,7 +109,7 @@ def measure(df: DataFrame, text: str = "text", hash_mask: int = -1) -> DataFrame
             "dup_line_ratio": ratio("n_dup_lines", "n_lines"),
             "repeat_ratio": ratio("n_repeat_words", "n_words"),
         }
-    ).drop(token, packed, twin, exact, lines, starts)
+    )
 
 
 def broken(rule: Rule) -> Column:
@@ -130,6 +131,4 @@ def judge(measured: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 def keep_good(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of ``docs`` that break no rule, with their columns as they are."""
     whole = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("text"))
-    judged = judge(measure(whole), rules).withColumn("_here", F.spark_partition_id())
-    # A filter moved below the projections would repeat all of their expressions; one on a task's own number stays above.
-    return judged.where(F.col("kept") & (F.col("_here") >= 0)).select("row.*")
+    return judge(measure(whole), rules).where("kept").select("row.*")

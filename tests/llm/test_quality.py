@@ -40,6 +40,14 @@ def test_colliding_hashes_take_the_exact_path(spark):
     assert rows(got, *COLUMNS) == [brute(t) for t in texts]
 
 
+def test_a_filter_on_any_column_ends(spark):
+    judged = quality.judge(quality.measure(docs(spark, [prose(7, 2000), prose(8, 300), None])))
+    for column, kind in judged.dtypes:
+        if kind in ("bigint", "double", "boolean"):
+            assert judged.where(F.col(column).cast("double") > -1).count() == 3
+    assert judged.where("n_words > 400 AND NOT base_failed AND stop_ratio >= 0").count() == 1
+
+
 def test_rules_and_pass_through(spark):
     good = "the end of the day is not what it was to be and we said so " * 1 + prose(5, 60)
     table = docs(spark, [good, good + " " + "# " * 60, None]).withColumn("_tokens", F.lit(1)).withColumn("n_words", F.lit(7))
