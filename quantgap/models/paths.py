@@ -8,16 +8,22 @@ replicate, come from one set of cross products.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from quantgap.models.linear import INTERCEPT, coefficient_rows, column_means, cross_products, solve
+from quantgap.models.linear import INTERCEPT, CrossProducts, coefficient_rows, column_means, cross_products, solve
 from quantgap.models.tails import chi_square_upper
-from quantgap.operators.resample import poisson_replicates, spread_work
-from quantgap.session import result_table
+from quantgap.operators.draws import draw_bits, draw_counts
+from quantgap.session import result_table, ship
+
+for module in (__name__, "quantgap.models.linear", "quantgap.models.tails"):
+    ship(module)
 
 
 @dataclass(frozen=True)
@@ -65,32 +71,81 @@ COEFFICIENT_SCHEMA = (
 )
 
 
+def coefficient_list(products: CrossProducts, model: PathModel) -> list[tuple]:
+    """Rows of ``COEFFICIENT_SCHEMA`` of the three equations."""
+    names, rows = model.path_names(), []
+    spread = np.sqrt(np.diag(products.centred))
+    for y, xs in model.equations():
+        fit = solve(products, model.columns, y, xs)
+        for row in coefficient_rows(fit):
+            term, estimate = row[0], row[1]
+            standardized = None
+            if term != INTERCEPT and estimate is not None:
+                scale = spread[model.columns.index(y)]
+                standardized = float(estimate * spread[model.columns.index(term)] / scale) if scale > 0 else None
+            rows.append((y, term, names.get((y, term)), *row[1:], standardized))
+    return rows
+
+
 def path_coefficients(df: DataFrame, model: PathModel, by: list[str] = (), weight: str | None = None, frequency: bool = False, center: dict | None = None) -> DataFrame:
     """``by…, outcome, term, path, estimate, se, stat, p, standardized`` for every group of ``by`` at once."""
-    names = model.path_names()
     rows = []
     for products in cross_products(df, model.columns, by, weight, center, frequency, measure=model.wage):
-        spread = np.sqrt(np.diag(products.centred))
-        for y, xs in model.equations():
-            fit = solve(products, model.columns, y, xs)
-            for row in coefficient_rows(fit):
-                term, estimate = row[0], row[1]
-                standardized = None
-                if term != INTERCEPT and estimate is not None:
-                    scale = spread[model.columns.index(y)]
-                    standardized = float(estimate * spread[model.columns.index(term)] / scale) if scale > 0 else None
-                rows.append((*products.key, y, term, names.get((y, term)), *row[1:], standardized))
+        rows += [(*products.key, *row) for row in coefficient_list(products, model)]
     keys = [f"`{k}` {df.schema[k].dataType.simpleString()}" for k in by]
     return result_table(df.sparkSession, ", ".join([*keys, COEFFICIENT_SCHEMA]), rows)
 
 
 def path_replicates(df: DataFrame, model: PathModel, row_key: str, by: list[str] = (), replicates: int = 100, seed: int = 42) -> DataFrame:
-    """Coefficients of every bootstrap replicate (``rep``), all from one aggregation."""
-    rows = df.select(row_key, *by, *model.columns)
-    kept = spread_work(rows, row_key, rows.count(), replicates)
-    drawn = poisson_replicates(kept, row_key, replicates, seed)
-    center = column_means(kept, model.columns)
-    return path_coefficients(drawn, model, [*by, "rep"], weight="draw", frequency=True, center=center)
+    """Coefficients of every bootstrap replicate (``rep``), all from one pass.
+
+    Rows are collapsed to distinct (pattern of codes, wage) with a count, and each of these draws its number for every
+    replicate at once (see :mod:`quantgap.operators.draws`).  A task adds up the products of its rows for all replicates
+    as one matrix product; per group and replicate these sums, one row a task, are added and solved on the executors.
+    """
+    by, columns = list(by), model.columns
+    whole = df.select(row_key, *by, *[F.col(f"`{c}`").cast("double").alias(c) for c in columns]).dropna(subset=columns)
+    center = np.array([column_means(whole, columns)[c] for c in columns])
+    counted = whole.groupBy(*by, *[F.col(f"`{c}`") for c in columns]).agg(F.count(F.lit(1)).alias("_c"), F.min(row_key).alias("_key"))
+    given = counted.select(*by, F.array(*[F.col(f"`{c}`") for c in columns]).alias("_x"), F.col("_c").cast("double"), draw_bits("_key", replicates, seed).alias("_bits"))
+    size = len(columns)
+    upper = np.triu_indices(size)
+    width = 1 + size + len(upper[0])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = np.asarray(batch.column("_x").flatten()).reshape(-1, size) - center
+            drawn = draw_counts(batch.column("_bits").to_pylist(), np.asarray(batch.column("_c")), replicates)
+            terms = np.concatenate([np.ones((len(x), 1)), x, x[:, upper[0]] * x[:, upper[1]]], axis=1)
+            keys = list(zip(*[batch.column(k).to_pylist() for k in by])) if by else [()] * len(x)
+            labels = {key: i for i, key in enumerate(dict.fromkeys(keys))}
+            slot = np.array([labels[key] for key in keys])
+            for key, i in labels.items():
+                part = drawn[slot == i].T @ terms[slot == i]
+                sums[key] = sums[key] + part if key in sums else part
+        found = [(*key, r, row.tolist()) for key, matrix in sums.items() for r, row in enumerate(matrix) if row[0] > 0]
+        columns_out = zip(*found) if found else [()] * (len(by) + 2)
+        kinds_out = [*[given_schema.field(k).type for k in by], pa.int32(), pa.list_(pa.float64())]
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns_out, kinds_out)], names=[*by, "rep", "_sums"])
+
+    def fit(table: pa.Table) -> pa.Table:
+        total = np.asarray(table["_sums"].combine_chunks().flatten()).reshape(-1, width).sum(axis=0)
+        weight, mean = total[0], total[1 : 1 + size] / total[0]
+        raw = np.zeros((size, size))
+        raw[upper] = total[1 + size :]
+        raw = raw + np.triu(raw, 1).T
+        rows = coefficient_list(CrossProducts((), weight, weight, mean + center, raw - weight * np.outer(mean, mean)), model)
+        place = table.select([*by, "rep"]).take(pa.array(np.zeros(len(rows), np.int64)))
+        kinds_out = [pa.string()] * 3 + [pa.float64()] * 5
+        names_out = [*by, "rep", "outcome", "term", "path", "estimate", "se", "stat", "p", "standardized"]
+        return pa.table([*place.columns, *[pa.array(list(c), t) for c, t in zip(zip(*rows), kinds_out)]], names=names_out)
+
+    given_schema = to_arrow_schema(given.select(*by).schema)
+    keys = "".join(f"`{k}` {df.schema[k].dataType.simpleString()}, " for k in by)
+    return given.mapInArrow(add, f"{keys}rep int, _sums array<double>").groupBy(*by, "rep").applyInArrow(fit, f"{keys}rep int, {COEFFICIENT_SCHEMA}")
 
 
 def effect_columns(model: PathModel) -> dict[str, Column]:

@@ -8,9 +8,9 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantgap.operators.distance import cell_summary
+from quantgap.operators.draws import replicate_distances, replicate_frame
 from quantgap.operators.joins import join_null_safe
-from quantgap.operators.samples import ROWS_PER_SLICE, Slicing, even_slices, plan_slices, running_total
+from quantgap.operators.samples import ROWS_PER_SLICE, Slicing, plan_slices
 from quantgap.session import cut_lineage, literal_table
 
 DRAWS_PER_HASH = 4
@@ -54,39 +54,9 @@ def poisson_replicates(df: DataFrame, row_key: str, replicates: int = 100, seed:
     return drawn.select(*df.columns, rep, poisson_draw(F.col("_digits")).alias(draw))
 
 
-def spread_work(df: DataFrame, row_key: str, rows: int, replicates: int) -> DataFrame:
-    """Divide rows by the work that multiplying them makes: a task for each million of replicated rows."""
-    return df.repartition(max(1, math.ceil(rows * replicates / ROWS_PER_SLICE)), row_key)
-
-
-def uniform(*parts) -> Column:
-    """Uniform number in [0, 1) from a hash of its parts."""
-    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 13), 16, 10).cast("long") / F.lit(float(2**52))
-
-
-def multinomial_replicates(
-    df: DataFrame,
-    cell: list[str],
-    row_key: str,
-    replicates: int = 100,
-    seed: int = 42,
-    carry: tuple | list = (),
-    slicing: Slicing | None = None,
-    rep: str = "rep",
-    draw: str = "draw",
-) -> DataFrame:
-    """Replicates that draw exactly as many rows per cell as the cell has.
-
-    Rows are numbered within their cell in the order of a hash, whose even spread makes even slices; every row
-    contributes one draw per replicate, and the drawn numbers are counted before they are joined back to the rows.
-    """
-    rows = df.select(*cell, row_key, *carry, uniform(F.lit("number"), F.col(row_key)).alias("_u"))
-    slicing = even_slices(slicing.rows if slicing else rows.count(), slicing.rows_per_slice if slicing else ROWS_PER_SLICE)
-    numbered = running_total(rows, cell, "_u", [F.col(row_key)], F.lit(1).cast("long"), "_number", slicing, "_size").drop("_u")
-    picks = spread_work(numbered, row_key, slicing.rows, replicates).withColumn(rep, F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    place = F.floor(uniform(F.lit(str(seed)), F.col(rep), F.col(row_key)) * F.col("_size")) + 1
-    counted = picks.select(*cell, rep, place.alias("_number")).groupBy(*cell, rep, "_number").agg(F.count(F.lit(1)).alias(draw))
-    return join_null_safe(counted, numbered.drop("_size"), [*cell, "_number"], "inner").drop("_number")
+def draw_slices(replicates: int) -> int:
+    """Rows of a slice whose draws in all replicates are as many numbers as a plain slice has rows."""
+    return max(1, ROWS_PER_SLICE // replicates)
 
 
 def bootstrap_wasserstein(
@@ -104,21 +74,16 @@ def bootstrap_wasserstein(
     method: str = "poisson",
     slicing: Slicing | None = None,
 ) -> DataFrame:
-    """Distance of every (cell, replicate, target); whole cells are resampled, so group sizes vary between replicates."""
-    slicing = slicing or plan_slices(df, value)
+    """Distance of every (cell, replicate, target); whole cells are resampled, so group sizes vary between replicates.
+
+    Draws are made on the histogram of each cell (:mod:`quantgap.operators.draws`); with ``method="multinomial"`` a
+    replicate has exactly as many draws as its cell has rows.
+    """
     kept = df.select(*cell, group, value, row_key).where(F.col(value).isNotNull())
-    if method == "poisson":
-        # Rows of other groups cannot enter a distance, and Poisson draws are independent between rows.
-        kept = spread_work(kept.where(F.col(group).isin(*targets, ref)), row_key, slicing.rows, replicates)
-        drawn = poisson_replicates(kept, row_key, replicates, seed)
-    elif method == "multinomial":
-        drawn = multinomial_replicates(kept, cell, row_key, replicates, seed, [group, value], slicing)
-    else:
-        raise ValueError(f"unknown method {method!r}")
-    summary = cell_summary(
-        drawn, [*cell, "rep"], group, value, ref, targets, p, weight="draw", min_obs=min_obs, slicing=slicing, frequency=True
-    )
-    return summary.select(*cell, "rep", group, "w")
+    # A task holds the draws of all replicates for a few slices, so slices are smaller than those of plain walks.
+    slicing = slicing or plan_slices(kept, value, draw_slices(replicates))
+    frame = replicate_frame(kept, cell, group, value, row_key, replicates, seed, method, slicing, [*targets, ref])
+    return replicate_distances(frame, cell, group, ref, targets, replicates, p, min_obs)
 
 
 def interval_constants(replicates: int, level: float = 0.95, least: int = 10) -> list[tuple]:
