@@ -17,10 +17,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from quantgap.models.linear import INTERCEPT, CrossProducts, coefficient_rows, column_means, cross_products, solve
+from quantgap.models.linear import INTERCEPT, CrossProducts, coefficient_rows, cross_products, solve
 from quantgap.models.tails import chi_square_upper
-from quantgap.operators.draws import draw_bits, draw_counts
-from quantgap.session import result_table, ship
+from quantgap.operators.draws import draw_bits, draw_counts, draw_tasks
+from quantgap.session import cut_lineage, result_table, ship
 
 for module in (__name__, "quantgap.models.linear", "quantgap.models.tails"):
     ship(module)
@@ -105,8 +105,11 @@ def path_replicates(df: DataFrame, model: PathModel, row_key: str, by: list[str]
     """
     by, columns = list(by), model.columns
     whole = df.select(row_key, *by, *[F.col(f"`{c}`").cast("double").alias(c) for c in columns]).dropna(subset=columns)
-    center = np.array([column_means(whole, columns)[c] for c in columns])
     counted = whole.groupBy(*by, *[F.col(f"`{c}`") for c in columns]).agg(F.count(F.lit(1)).alias("_c"), F.min(row_key).alias("_key"))
+    counted = cut_lineage(counted, "patterns")
+    known = counted.agg(F.sum("_c"), *[F.sum(F.col(f"`{c}`") * F.col("_c")) for c in columns]).first()
+    center = np.array([(total or 0.0) / max(known[0] or 0, 1) for total in known[1:]])
+    counted = counted.repartition(draw_tasks(df, known[0] or 0, replicates))
     given = counted.select(*by, F.array(*[F.col(f"`{c}`") for c in columns]).alias("_x"), F.col("_c").cast("double"), draw_bits("_key", replicates, seed).alias("_bits"))
     size = len(columns)
     upper = np.triu_indices(size)

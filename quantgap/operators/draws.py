@@ -34,6 +34,7 @@ from quantgap.session import cut_lineage, ship
 
 DRAWS_PER_HASH = 4
 TABLE_RATE = 64  # above it the inverse distribution function is expanded around the normal one
+DRAWS_PER_TASK = 50_000_000
 MARGIN = 8.0  # standard deviations between the Poisson draws of an exact replicate and its total
 
 ship(__name__)
@@ -72,14 +73,20 @@ def draw_counts(bits: list[bytes], rates: np.ndarray, replicates: int) -> np.nda
     return drawn
 
 
-def histogram(df: DataFrame, cell: list[str], group: str, value: str, row_key: str, slicing: Slicing) -> DataFrame:
+def draw_tasks(df: DataFrame, rows: int, replicates: int) -> int:
+    """Number of tasks for drawing: the work of a row is not seen in its bytes, so it is not left to their size."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows * replicates / DRAWS_PER_TASK))
+
+
+def histogram(df: DataFrame, cell: list[str], group: str, value: str, row_key: str, slicing: Slicing, tasks: int) -> DataFrame:
     """``(cell…, group, _cut, _v, _c, _key)``: distinct values, their count and smallest row key, written slice by slice."""
     keys = [*cell, group]
-    rows = df.select(*cell, F.col(group).cast("string").alias(group), F.col(value).cast("double").alias("_v"), F.col(row_key).alias("_key"))
+    # Adding zero makes one value of 0.0 and -0.0, which would fall on two sides of a boundary at zero.
+    rows = df.select(*cell, F.col(group).cast("string").alias(group), (F.col(value).cast("double") + 0.0).alias("_v"), F.col(row_key).alias("_key"))
     cutter = Bucketizer(splits=[-math.inf, *slicing.splits, math.inf], inputCol="_v", outputCol="_cut")
     rows = cutter.transform(rows.where(is_finite("_v") & F.col(group).isNotNull())).withColumn("_cut", F.col("_cut").cast("int"))
     values = rows.groupBy(*keys, "_cut", "_v").agg(F.count(F.lit(1)).alias("_c"), F.min("_key").alias("_key"))
-    return cut_lineage(values.repartition(*keys, "_cut").sortWithinPartitions(*keys, "_cut"), "histogram")
+    return cut_lineage(values.repartition(tasks, *keys, "_cut").sortWithinPartitions(*keys, "_cut"), "histogram")
 
 
 def slice_draws(hist: DataFrame, keys: list[str], replicates: int, seed: int) -> DataFrame:
@@ -144,7 +151,8 @@ def replicate_frame(
     keys = [*cell, group]
     # Draws of Poisson replicates are independent between rows; exact ones need all rows of the cell.
     kept = df.where(F.col(group).isin(*groups)) if groups and method == "poisson" else df
-    hist = histogram(kept, cell, group, value, row_key, slicing)
+    tasks = draw_tasks(df, slicing.rows, replicates)
+    hist = histogram(kept, cell, group, value, row_key, slicing, tasks)
     rated = hist.withColumn("_rate", F.col("_c").cast("double"))
     picks = None
     if method == "multinomial":
@@ -193,7 +201,7 @@ def replicate_frame(
         frame = frame.unionByName(placed_picks, allowMissingColumns=True)
     else:
         frame = frame.withColumns({"_rep": F.lit(None).cast("int"), "_offset": F.lit(None).cast("long")})
-    return frame.withColumn("_k", F.explode("_ks")).drop("_ks")
+    return frame.withColumn("_k", F.explode("_ks")).drop("_ks").repartition(tasks, *cell, "_k")
 
 
 def group_draws(table: pa.Table, replicates: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -21,7 +21,8 @@ from quantgap.functions.scalar import is_finite
 from quantgap.operators.joins import join_null_safe
 
 ROWS_PER_SLICE = 1_000_000
-GRID = 1_000  # boundaries found together with the count; a table of more slices is read once more for the finer ones
+GRID = 256  # boundaries found together with the count; a table of more slices gets finer ones inside each of these
+LIMIT = GRID * GRID  # boundaries the driver holds at most; a table of more slices has larger ones
 
 
 @dataclass(frozen=True)
@@ -34,29 +35,27 @@ class Slicing:
 
 
 def plan_slices(df: DataFrame, value: str, rows_per_slice: int = ROWS_PER_SLICE) -> Slicing:
-    """Count the sample and pick value boundaries, in one pass.
+    """Count the sample and pick value boundaries, in one pass; a second one where many slices are wanted.
 
-    Only the count and the boundaries reach the driver.  The boundaries need not be exact quantiles: they decide how
-    work is divided, never the result.  Every table takes this path; a small one is cut in two at its median.
+    Only the count and the boundaries reach the driver, ``LIMIT`` at most.  The boundaries need not be exact quantiles:
+    they decide how work is divided, never the result.  Every table takes this path; a small one is cut in two at its
+    median.  Finer boundaries are quantiles inside the coarse slices, found for all of these in parallel.
     """
-    sample = df.select(F.col(value).cast("double").alias("v")).where(is_finite("v"))
+    sample = df.select(F.col(value).cast("double").alias("_v")).where(is_finite("_v"))
 
     def quantiles(parts: int) -> Column:
-        return F.percentile_approx("v", F.array(*[F.lit(i / parts) for i in range(1, parts)]), 10 * parts)
+        return F.percentile_approx("_v", F.array(*[F.lit(i / parts) for i in range(1, parts)]), 10 * parts)
 
-    rows, found = sample.agg(F.count("v"), quantiles(GRID)).first()
-    parts = max(2, math.ceil(rows / rows_per_slice))
+    rows, found = sample.agg(F.count("_v"), quantiles(GRID)).first()
+    parts = min(max(2, math.ceil(rows / rows_per_slice)), LIMIT)
+    splits = set(found or [0.0])
     if parts > GRID:
-        found = sample.agg(quantiles(parts)).first()[0]
+        coarse = Bucketizer(splits=[-math.inf, *sorted(splits), math.inf], inputCol="_v", outputCol="_cut").transform(sample)
+        fine = coarse.groupBy("_cut").agg(quantiles(math.ceil(parts / GRID)).alias("inner")).collect()  # GRID rows
+        splits.update(v for row in fine for v in row.inner)
     elif found:
-        found = [found[math.ceil(i * GRID / parts) - 1] for i in range(1, parts)]
-    return Slicing(rows, tuple(sorted(set(found or [0.0]))), rows_per_slice)
-
-
-def even_slices(rows: int, rows_per_slice: int = ROWS_PER_SLICE) -> Slicing:
-    """Division of a column known to be uniform on [0, 1)."""
-    parts = max(2, math.ceil(rows / rows_per_slice))
-    return Slicing(rows, tuple(i / parts for i in range(1, parts)), rows_per_slice)
+        splits = {found[math.ceil(i * GRID / parts) - 1] for i in range(1, parts)}
+    return Slicing(rows, tuple(sorted(splits)), max(rows_per_slice, math.ceil(rows / LIMIT)))
 
 
 def ranked(
@@ -83,7 +82,8 @@ def ranked(
     slicing = slicing or plan_slices(df, value)
     keys = [*cell, group]
     weighted = weight is not None
-    base = df.select(*keys, *carry, F.col(value).cast("double").alias("_v"), *([F.col(weight).alias("_wt")] if weighted else []))
+    # Adding zero makes one value of 0.0 and -0.0, which would fall on two sides of a boundary at zero.
+    base = df.select(*keys, *carry, (F.col(value).cast("double") + 0.0).alias("_v"), *([F.col(weight).alias("_wt")] if weighted else []))
     base = base.where(is_finite("_v") & F.col(group).isNotNull())
     if weighted:
         base = base.where(F.col("_wt") > 0)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quantgap.operators.distance import cell_summary, quantiles, slice_distance, slice_grid, translation_dispersion, wasserstein
-from quantgap.operators.samples import Slicing, ecdf, even_slices, plan_slices, row_id
+from quantgap.operators.samples import Slicing, ecdf, plan_slices, row_id
 from tests import reference
 
 
@@ -105,8 +105,3 @@ def test_dispersion_split(df):
     parts = translation_dispersion(cell_summary(df, ["cell"], "g", "v", "ref", ["a"])).collect()
     for r in parts:
         assert r.part_translation + r.part_dispersion == pytest.approx(1)
-
-
-def test_slicing_values():
-    assert even_slices(10).splits == (0.5,)
-    assert even_slices(100, 30).splits == (0.25, 0.5, 0.75)

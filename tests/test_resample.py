@@ -1,13 +1,15 @@
+import hashlib
+import math
 from statistics import NormalDist
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quantgap.operators import draws, samples
 from quantgap.operators.resample import (
     bootstrap_wasserstein,
     interval_constants,
-    multinomial_replicates,
     percentile_interval,
     poisson_replicates,
 )
@@ -32,14 +34,82 @@ def test_replicates_spread_like_theory(spark):
     assert again.groupBy().agg(F.sum("draw")).first()[0] == drawn.groupBy().agg(F.sum("draw")).first()[0]
 
 
-@pytest.mark.parametrize("slicing", [None, Slicing(600, (5.0,), 200)])
-def test_multinomial_draws_the_cell_size(spark, slicing):
-    frame = reference.mixed_sample(600)
-    df = spark.createDataFrame(frame)
-    drawn = multinomial_replicates(df, ["cell"], "id", 6, carry=["v"], slicing=slicing).toPandas()
-    sizes = frame.groupby("cell", dropna=False).size().sort_values().tolist()
-    totals = drawn.groupby(["cell", "rep"], dropna=False).draw.sum().unstack().iloc[:, 0].sort_values().tolist()
-    assert totals == sizes and drawn.rep.nunique() == 6
+def mixed(spark, rows=900, seed=3):
+    """Two cells with ties, a heavy value, a missing value and a group outside the comparison."""
+    rng = np.random.default_rng(seed)
+    data = []
+    for i in range(rows):
+        v = 5.0 if i % 3 == 0 else float(np.round(rng.normal(i % 2, 1), 1 if i % 5 else 6))
+        data.append((i, "small" if i % 30 == 0 else "large", ["a", "b", "ref", "other"][rng.integers(4)], None if i % 101 == 0 else v))
+    return spark.createDataFrame(data, "id long, cell string, g string, v double").repartition(4)
+
+
+def replay(df, groups, replicates, seed, exact):
+    """Draws by the definition: a Poisson count per distinct value, completed by single picks where totals are exact."""
+    table = df.where("v IS NOT NULL").toPandas()
+    table = table if exact else table[table.g.isin(groups)]
+    hist = table.groupby(["cell", "g", "v"]).agg(c=("id", "size"), key=("id", "min")).reset_index().sort_values(["cell", "g", "v"])
+    size = hist.groupby("cell").c.transform("sum")
+    rate = hist.c * np.maximum(0, 1 - 8 / np.sqrt(size)) if exact else hist.c.astype(float)
+    bits = [b"".join(hashlib.md5(f"{seed}|{b}|{k}".encode()).digest() for b in range(-(-replicates // 4))) for k in hist.key]
+    drawn = draws.draw_counts(bits, rate.to_numpy(), replicates)
+    for cell, part in hist.reset_index(drop=True).groupby("cell") if exact else ():
+        ends = part.c.cumsum().to_numpy()
+        for r in range(replicates):
+            for j in range(ends[-1] - drawn[part.index, r].sum()):
+                u = int(hashlib.md5(f"fill|{seed}|{r}|{cell}|{j}".encode()).hexdigest()[:13], 16) / 2**52
+                drawn[part.index[np.searchsorted(ends, int(u * ends[-1]), side="right")], r] += 1
+    return hist.reset_index(drop=True), drawn
+
+
+@pytest.mark.parametrize("slicing", [Slicing(900, (0.0,)), Slicing(900, (-1.0, -0.5, 0.0, 0.5, 1.0, 5.0), 20)])
+@pytest.mark.parametrize("method", ["poisson", "multinomial"])
+def test_distances_of_replicates_equal_brute_force(spark, method, slicing):
+    df = mixed(spark)
+    hist, drawn = replay(df, ["a", "b", "ref"], 9, 42, method == "multinomial")
+    if method == "multinomial":
+        assert all((drawn[part.index].sum(axis=0) == part.c.sum()).all() for _, part in hist.groupby("cell"))
+    found = bootstrap_wasserstein(df, ["cell"], "g", "v", "ref", ["a", "b"], "id", 9, method=method, slicing=slicing).collect()
+    assert len(found) == 2 * 9 * 2
+    for row in found:
+        sides = []
+        for g in (row.g, "ref"):
+            mine = ((hist.cell == row.cell) & (hist.g == g)).to_numpy()
+            sides.append(np.repeat(hist.v[mine].to_numpy(), drawn[mine, row.rep]))
+        if min(map(len, sides)) < 2:
+            assert row.w is None
+        else:
+            assert row.w == pytest.approx(reference.wasserstein(*sides), rel=1e-9)
+
+
+def test_drawn_values_have_exact_totals(spark):
+    df = mixed(spark)
+    frame = draws.replicate_frame(df, ["cell"], "g", "v", "id", 7, 5, "multinomial", Slicing(900, (0.0, 1.0, 5.0), 50))
+    spelled = draws.replicate_draws(frame, ["cell"], "g", "v", 7).toPandas()
+    hist, drawn = replay(df, None, 7, 5, True)
+    assert spelled.draw.sum() == drawn.sum() and len(spelled) == (drawn > 0).sum()
+    assert spelled.groupby(["cell", "rep"]).draw.sum().unstack().nunique(axis=1).eq(1).all()
+
+
+@pytest.mark.parametrize("rate", [0.4, 1.0, 7.0, 64.0, 65.0, 5000.0])
+def test_draws_have_the_moments_of_poisson(rate):
+    bits = [b"".join(hashlib.md5(f"{b}|{k}".encode()).digest() for b in range(25)) for k in range(600)]
+    drawn = draws.draw_counts(bits, np.full(600, rate), 100)
+    assert drawn.mean() == pytest.approx(rate, abs=5 * math.sqrt(rate / 60_000))
+    assert drawn.var() == pytest.approx(rate, rel=0.04)
+    skew = ((drawn - drawn.mean()) ** 3).mean() / drawn.std() ** 3
+    assert skew == pytest.approx(1 / math.sqrt(rate), abs=0.06)
+
+
+def test_slices_in_two_levels(spark, monkeypatch):
+    monkeypatch.setattr(samples, "GRID", 4)
+    monkeypatch.setattr(samples, "LIMIT", 16)
+    df = spark.range(1000).select(F.col("id").cast("double").alias("v"))
+    two = samples.plan_slices(df, "v", 100)
+    assert 9 <= len(two.splits) <= 12 and two.rows_per_slice == 100
+    assert max(np.diff([0, *two.splits, 1000])) < 200
+    many = samples.plan_slices(df, "v", 1)
+    assert len(many.splits) <= 16 and many.rows_per_slice == 63
 
 
 def interval(values, level=0.95):
