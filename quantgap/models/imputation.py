@@ -29,7 +29,9 @@ def posterior_draws(df: DataFrame, y: str, xs: list[str], imputations: int, seed
     gram[1:, 1:] = full
     design = [0, *range(2, len(columns) + 1)]
     xtx, xty, yty = gram[np.ix_(design, design)], gram[design, 1], gram[1, 1]
-    inverse = np.linalg.inv(xtx + np.diag(np.diag(xtx)) * RIDGE)
+    # A column that is zero in all observed rows gets the coefficient zero.
+    ridge = np.where(np.diag(xtx) > 0, np.diag(xtx) * RIDGE, 1.0)
+    inverse = np.linalg.inv(xtx + np.diag(ridge))
     beta = inverse @ xty
     rss = max(yty - 2 * beta @ xty + beta @ xtx @ beta, 0.0)
     free = max(n - len(design), 1)
@@ -87,7 +89,7 @@ def predictive_mean_matching(
 def pooled_ols(df: DataFrame, y: str, xs: list[str], imp: str = "imp") -> DataFrame:
     """One least-squares fit per imputation (a single pass), pooled by Rubin's rules and sorted by p-value."""
     columns = [y, *xs]
-    fits = [solve(products, columns, y, xs) for products in cross_products(df, columns, [imp])]
+    fits = [solve(products, columns, y, xs) for products in cross_products(df, columns, [imp], measure=y)]
     m = len(fits)
     rows = []
     for i, term in enumerate(fits[0].terms):

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quantgap.models.tails import t_two_sided
@@ -43,61 +43,68 @@ def cross_products(
 ) -> list[CrossProducts]:
     """Cross products of complete rows, keyed by ``by``.
 
-    ``measure`` names the one column that is a measurement when all others are category codes: rows are then first
-    summed per pattern of codes, which leaves few rows for the many products.
+    ``measure`` names the one column that is a measurement when all others are codes: rows are then first summed per
+    pattern of codes, which leaves few rows for the many products.  Products are made in long form, a row for each pair
+    of columns that are not zero in a pattern, so that dozens of 0/1 columns stay one short plan.
 
-    Columns are shifted by their means first, so that large offsets do not eat the digits of the sums.
+    Measurements are shifted by their means first, so that large offsets do not eat the digits of the sums.  What
+    reaches the driver are ``p * (p + 1) / 2`` numbers a model, of ``MAX_MODELS`` models at most; replicates and other
+    keys without such a bound are solved on the executors (see ``paths.path_replicates``).
     """
     by = list(by)
     # Quoted, because names of contrast columns contain dots.
     complete = df.where(reduce(lambda a, b: a & b, [F.col(f"`{c}`").isNotNull() for c in columns]))
     if weight:
         complete = complete.where(F.col(weight) > 0)
-    center = center or column_means(complete, columns)
+    shifted_columns = [measure] if measure else list(columns)
+    known = center or column_means(complete, shifted_columns)
+    center = {c: known[c] if c in shifted_columns else 0.0 for c in columns}
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     shifted = complete.select(
-        *by, w.alias("_w"), *[(F.col(f"`{c}`") - F.lit(center[c])).alias(f"x{i}") for i, c in enumerate(columns)]
+        *by, w.alias("_w"), *[(F.col(f"`{c}`").cast("double") - F.lit(center[c])).alias(f"x{i}") for i, c in enumerate(columns)]
     )
     size = len(columns)
     rows = F.sum("_w") if frequency else F.count(F.lit(1)).cast("double")
     at = columns.index(measure) if measure else None
-    codes = [f"x{i}" for i in range(size) if i != at]
+    codes = [i for i in range(size) if i != at]
+    sums = [F.sum("_w").alias("_w"), rows.alias("_rows")]
     if measure:
         y = F.col(f"x{at}")
-        shifted = shifted.groupBy(*by, *codes).agg(
-            F.sum("_w").alias("_w"), rows.alias("_rows"), F.sum(F.col("_w") * y).alias("_y"), F.sum(F.col("_w") * y * y).alias("_yy")
-        )
-        rows = F.sum("_rows")
-
-    def product(i: int, j: int | None = None):
-        """Weighted sum of one column or of the product of two."""
-        others = [k for k in (i, j) if k is not None and k != at]
-        measured = (j is not None) + 1 - len(others)
-        value = F.col(("_w", "_y", "_yy")[measured])
-        for k in others:
-            value = value * F.col(f"x{k}")
-        return F.sum(value)
-
-    sums = [F.sum("_w").alias("sw"), rows.alias("n")]
-    sums += [product(i).alias(f"s{i}") for i in range(size)]
-    sums += [product(i, j).alias(f"s{i}_{j}") for i in range(size) for j in range(i, size)]
-    grouped = (shifted.groupBy(*by) if by else shifted.groupBy()).agg(*sums)
-    collected = grouped.limit(MAX_MODELS + 1).collect()
-    if len(collected) > MAX_MODELS:
+        sums += [F.sum(F.col("_w") * y).alias("_y"), F.sum(F.col("_w") * y * y).alias("_yy")]
+    patterns = shifted.groupBy(*by, *[f"x{i}" for i in codes]).agg(*sums)
+
+    def entry(i: Column, j: Column, value: Column) -> Column:
+        return F.struct(i.alias("i"), j.alias("j"), value.alias("v"))
+
+    # Place -1 is the intercept, its product with itself the weight; place -2 counts rows.
+    terms = F.array(*[F.struct(F.lit(i).alias("i"), x.alias("x")) for i, x in [(-1, F.lit(1.0)), *[(i, F.col(f"x{i}")) for i in codes]]])
+    patterns = patterns.withColumn("_terms", F.filter(terms, lambda t: t.x != 0))
+    pairs = F.flatten(F.transform("_terms", lambda a: F.transform(F.filter("_terms", lambda b: b.i >= a.i), lambda b: entry(a.i, b.i, F.col("_w") * a.x * b.x))))
+    entries = [pairs, F.array(entry(F.lit(-2), F.lit(-2), F.col("_rows")))]
+    if measure:
+        entries.append(F.transform("_terms", lambda t: entry(t.i, F.lit(at), F.col("_y") * t.x)))
+        entries.append(F.array(entry(F.lit(at), F.lit(at), F.col("_yy"))))
+    long = patterns.select(*by, F.explode(F.concat(*entries)).alias("e")).groupBy(*by, "e.i", "e.j").agg(F.sum("e.v").alias("v"))
+    limit = MAX_MODELS * (size + 1) * (size + 2)
+    collected = long.limit(limit + 1).collect()
+    if len(collected) > limit:
         raise ValueError(f"more than {MAX_MODELS} models in one fit")
+    models: dict[tuple, np.ndarray] = {}
+    counts: dict[tuple, float] = {}
+    for *key, i, j, value in collected:
+        key = tuple(key)
+        if i == -2:
+            counts[key] = value
+        else:
+            matrix = models.setdefault(key, np.zeros((size + 1, size + 1)))
+            matrix[i + 1, j + 1] = matrix[j + 1, i + 1] = value
     offset = np.array([center[c] for c in columns])
     results = []
-    for row in collected:
-        if not row["sw"]:
-            continue
-        mean = np.array([row[f"s{i}"] for i in range(size)]) / row["sw"]
-        raw = np.empty((size, size))
-        for i in range(size):
-            for j in range(i, size):
-                raw[i, j] = raw[j, i] = row[f"s{i}_{j}"]
-        results.append(
-            CrossProducts(tuple(row[k] for k in by), row["n"], row["sw"], mean + offset, raw - row["sw"] * np.outer(mean, mean))
-        )
+    for key, matrix in models.items():
+        total = matrix[0, 0]
+        if total:
+            mean = matrix[0, 1:] / total
+            results.append(CrossProducts(key, counts[key], total, mean + offset, matrix[1:, 1:] - total * np.outer(mean, mean)))
     return sorted(results, key=lambda c: tuple(str(k) for k in c.key))
 
 
@@ -167,7 +174,7 @@ def ols(df: DataFrame, y: str, xs: list[str], by: list[str] = (), weight: str |
     """Coefficient table ``by…, term, estimate, se, stat, p, r2, residual_df`` of (weighted) least squares."""
     columns = [y, *xs]
     rows = []
-    for products in cross_products(df, columns, by, weight):
+    for products in cross_products(df, columns, by, weight, measure=y):
         fit = solve(products, columns, y, xs)
         rows += [(*r, float(fit.r2), float(fit.residual_df)) for r in coefficient_rows(fit, products.key)]
     key_schema = [f"`{k}` {df.schema[k].dataType.simpleString()}" for k in by]

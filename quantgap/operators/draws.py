@@ -78,14 +78,17 @@ def draw_tasks(df: DataFrame, rows: int, replicates: int) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows * replicates / DRAWS_PER_TASK))
 
 
-def histogram(df: DataFrame, cell: list[str], group: str, value: str, row_key: str, slicing: Slicing, tasks: int) -> DataFrame:
-    """``(cell…, group, _cut, _v, _c, _key)``: distinct values, their count and smallest row key, written slice by slice."""
+def histogram(df: DataFrame, cell: list[str], group: str, value: str, row_key: str, slicing: Slicing, tasks: int, count: str | None = None) -> DataFrame:
+    """``(cell…, group, _cut, _v, _c, _key)``: distinct values, their count and smallest row key, written slice by slice.
+
+    With ``count`` the rows are such already, and several of a group may have one value.
+    """
     keys = [*cell, group]
     # Adding zero makes one value of 0.0 and -0.0, which would fall on two sides of a boundary at zero.
-    rows = df.select(*cell, F.col(group).cast("string").alias(group), (F.col(value).cast("double") + 0.0).alias("_v"), F.col(row_key).alias("_key"))
+    rows = df.select(*cell, F.col(group).cast("string").alias(group), (F.col(value).cast("double") + 0.0).alias("_v"), F.col(row_key).alias("_key"), *([F.col(count).alias("_c")] if count else []))
     cutter = Bucketizer(splits=[-math.inf, *slicing.splits, math.inf], inputCol="_v", outputCol="_cut")
     rows = cutter.transform(rows.where(is_finite("_v") & F.col(group).isNotNull())).withColumn("_cut", F.col("_cut").cast("int"))
-    values = rows.groupBy(*keys, "_cut", "_v").agg(F.count(F.lit(1)).alias("_c"), F.min("_key").alias("_key"))
+    values = rows if count else rows.groupBy(*keys, "_cut", "_v").agg(F.count(F.lit(1)).alias("_c"), F.min("_key").alias("_key"))
     return cut_lineage(values.repartition(tasks, *keys, "_cut").sortWithinPartitions(*keys, "_cut"), "histogram")
 
 
@@ -139,7 +142,7 @@ def exact_picks(sums: DataFrame, cell: list[str], group: str, seed: int) -> Data
 
 
 def replicate_frame(
-    df: DataFrame, cell: list[str], group: str, value: str, row_key: str, replicates: int, seed: int, method: str, slicing: Slicing, groups: list[str] | None = None
+    df: DataFrame, cell: list[str], group: str, value: str, row_key: str, replicates: int, seed: int, method: str, slicing: Slicing, groups: list[str] | None = None, count: str | None = None,
 ) -> DataFrame:
     """What the tasks of replicates need, by cell and stretch ``_k`` of ``_slices`` of the rank axis.
 
@@ -152,7 +155,7 @@ def replicate_frame(
     # Draws of Poisson replicates are independent between rows; exact ones need all rows of the cell.
     kept = df.where(F.col(group).isin(*groups)) if groups and method == "poisson" else df
     tasks = draw_tasks(df, slicing.rows, replicates)
-    hist = histogram(kept, cell, group, value, row_key, slicing, tasks)
+    hist = histogram(kept, cell, group, value, row_key, slicing, tasks, count)
     rated = hist.withColumn("_rate", F.col("_c").cast("double"))
     picks = None
     if method == "multinomial":

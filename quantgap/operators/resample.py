@@ -86,6 +86,23 @@ def bootstrap_wasserstein(
     return replicate_distances(frame, cell, group, ref, targets, replicates, p, min_obs)
 
 
+def bootstrap_cases(
+    df: DataFrame, cell: list[str], group: str, cases: dict[str, str], ref: str, targets: list[str], row_key: str, replicates: int = 100, seed: int = 42, p: float = 2, min_obs: int = 2
+) -> DataFrame:
+    """``cell…, cas, rep, group, w``: several values of the same rows (real and counterfactual) on the same draws.
+
+    What is drawn are the distinct combinations of values in a group; each case then walks along its own value.
+    """
+    values = list(cases.values())
+    rows = df.select(*cell, group, row_key, *values).dropna(subset=values)
+    units = rows.groupBy(*cell, group, *values).agg(F.count(F.lit(1)).alias("_count"), F.min(row_key).alias("_unit"))
+    entries = F.array(*[F.struct(F.lit(case).alias("cas"), F.col(column).cast("double").alias("_value")) for case, column in cases.items()])
+    long = units.select(*cell, group, "_count", "_unit", F.inline(entries))
+    slicing = plan_slices(long, "_value", draw_slices(replicates))
+    frame = replicate_frame(long, [*cell, "cas"], group, "_value", "_unit", replicates, seed, "poisson", slicing, [*targets, ref], "_count")
+    return replicate_distances(frame, [*cell, "cas"], group, ref, targets, replicates, p, min_obs)
+
+
 def interval_constants(replicates: int, level: float = 0.95, least: int = 10) -> list[tuple]:
     """For every number of usable replicates: order-statistic index and interpolation share of both interval ends.
 

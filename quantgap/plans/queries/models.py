@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from quantgap.functions.scalar import indicators, recode
-from quantgap.models.contrasts import interactions, polynomial, treatment
+from quantgap.models.contrasts import interactions, polynomial, polynomial_matrix, treatment
 from quantgap.models.glm import glm
 from quantgap.models.imputation import pooled_ols, predictive_mean_matching
 from quantgap.models.linear import ols
@@ -24,6 +24,7 @@ from quantgap.models.paths import (
 from quantgap.operators.cells import keep_varied_groups, reference_join
 from quantgap.operators.distance import wasserstein
 from quantgap.plans.queries.base import REF, SAMPLE_SQL, distance_sql, query, rounded, sample, table
+from quantgap.plans.queries.resampling import REPLICATES, SEED, histogram_draws_sql
 from quantgap.session import cut_lineage
 
 FINE = ["sexe", "an", "ag10", "dip", "pcs"]
@@ -83,12 +84,23 @@ def ols_trend(spark, folder):
     return rounded(ols(rows, "w", ["ag10.L", "ag10.Q"], ["sexe"]).select("sexe", "term", "estimate", "se", "r2", "residual_df"))
 
 
-FACTORS = ["sexeHomme", "ag10.L", "ag10.Q", "an.L", "an.Q"]
-FACTORS_SQL = ["homme", poly_sql("ag10", LINEAR), poly_sql("ag10", QUADRATIC), poly_sql("an", LINEAR), poly_sql("an", QUADRATIC)]
+def contrast_names(column: str, levels: int) -> list[str]:
+    return [column + (".L", ".Q", ".C", "^4", "^5")[degree] for degree in range(levels - 1)]
+
+
+def contrasts_sql(column: str, levels: int) -> list[str]:
+    return [poly_sql(column, values) for values in polynomial_matrix(levels).T.tolist()]
+
+
+CLASSES = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
+FACTORS = ["sexeHomme", *contrast_names("ag10", 3), *contrast_names("an", 3), *contrast_names("dip", 5), *["pcs" + c for c in CLASSES[1:]]]
+FACTORS_SQL = ["homme", *contrasts_sql("ag10", 3), *contrasts_sql("an", 3), *contrasts_sql("dip", 5), *[f"(pcs = '{c}')::INTEGER" for c in CLASSES[1:]]]
 
 
 def with_factors(rows):
-    return rows.withColumns({**treatment("sexe", ["Femme", "Homme"]), **polynomial("ag10", 3), **polynomial("an", 3)})
+    """Sex, age, period, diploma and occupation: treatment coding for unordered factors, polynomials for ordered ones."""
+    ordered = {**polynomial("ag10", 3), **polynomial("an", 3), **polynomial("dip", 5)}
+    return rows.withColumns({**treatment("sexe", ["Femme", "Homme"]), **ordered, **treatment("pcs", CLASSES)})
 
 
 @query(
@@ -97,7 +109,7 @@ def with_factors(rows):
     round(estimate / se, 4) AS stat FROM fit""",
 )
 def ols_factors(spark, folder):
-    """Several factors: treatment coding for sex, polynomials for the ordered bands."""
+    """All five factors of a cell."""
     fit = ols(with_factors(fine_cells(spark, folder)), "w", FACTORS)
     return fit.select("term", F.round("estimate", 6).alias("estimate"), F.round("se", 6).alias("se"), F.round("stat", 4).alias("stat"))
 
@@ -112,37 +124,40 @@ def wls_cells(spark, folder):
     return rounded(fit.select("term", "estimate", "se"))
 
 
-GAP_TERMS = ["an", "ag5", "homme", "an:homme", "ag5:homme"]
+BANDS = [*contrast_names("an", 3), *contrast_names("ag5", 6)]
+BANDS_SQL = [*contrasts_sql("an", 3), *contrasts_sql("ag5", 6)]
+GAP_TERMS = [*BANDS, "homme", *[f"{b}:homme" for b in BANDS]]
+GAPS_SQL = f"""{SAMPLE_SQL}, c AS (SELECT an, ag5, sexe, origin, avg(logsal) AS m FROM sample GROUP BY ALL),
+    gaps AS (SELECT a.an, a.ag5, (a.sexe = 'Homme')::INTEGER AS homme, a.m - b.m AS gap
+      FROM c a JOIN c b ON a.an = b.an AND a.ag5 = b.ag5 AND a.sexe = b.sexe AND b.origin = '{REF}' WHERE a.origin <> '{REF}')"""
+
+
+def mean_gaps(spark, folder):
+    """Gap of the mean to the reference origin, with the contrasts of the ordered bands."""
+    means = sample(spark, folder).groupBy("an", "ag5", "sexe", "origin").agg(F.avg("logsal").alias("logsal"))
+    gaps = reference_join(means, ["an", "ag5", "sexe"], "origin", REF, "logsal")
+    return gaps.withColumns({"homme": (F.col("sexe") == "Homme").cast("double"), **polynomial("an", 3), **polynomial("ag5", 6)})
 
 
 @query(
     "glm_interaction",
-    f"""WITH RECURSIVE {SAMPLE_SQL}, c AS (SELECT an, ag5, sexe, origin, avg(logsal) AS m FROM sample GROUP BY ALL),
-    gaps AS (SELECT a.an::DOUBLE AS an, a.ag5::DOUBLE AS ag5, (a.sexe = 'Homme')::INTEGER::DOUBLE AS homme, a.m - b.m AS gap
-      FROM c a JOIN c b ON a.an = b.an AND a.ag5 = b.ag5 AND a.sexe = b.sexe AND b.origin = '{REF}' WHERE a.origin <> '{REF}'),
-    {ols_sql("gaps", "gap", ["an", "ag5", "homme", "an * homme", "ag5 * homme"])}
+    f"""WITH RECURSIVE {GAPS_SQL}, {ols_sql("gaps", "gap", [*BANDS_SQL, "homme", *[f"({b}) * homme" for b in BANDS_SQL]])}
     SELECT {term_sql(GAP_TERMS)} AS term, round(estimate, 6) AS estimate, round(se, 6) AS se FROM fit""",
 )
 def glm_interaction(spark, folder):
-    """Gaussian model of the mean gap with interactions by sex."""
-    means = sample(spark, folder).groupBy("an", "ag5", "sexe", "origin").agg(F.avg("logsal").alias("logsal"))
-    gaps = reference_join(means, ["an", "ag5", "sexe"], "origin", REF, "logsal")
-    rows = gaps.withColumn("homme", (F.col("sexe") == "Homme").cast("double")).withColumns(interactions(["an", "ag5"], ["homme"]))
+    """Gaussian model of the mean gap on period and age bands, all with interactions by sex."""
+    rows = mean_gaps(spark, folder).withColumns(interactions(BANDS, ["homme"]))
     return rounded(glm(rows, "diff_logsal", GAP_TERMS).select("term", "estimate", "se"))
 
 
 @query(
     "glm_additive",
-    f"""WITH RECURSIVE {SAMPLE_SQL}, c AS (SELECT an, ag5, sexe, origin, avg(logsal) AS m FROM sample GROUP BY ALL),
-    gaps AS (SELECT a.an::DOUBLE AS an, a.ag5::DOUBLE AS ag5, a.m - b.m AS gap
-      FROM c a JOIN c b ON a.an = b.an AND a.ag5 = b.ag5 AND a.sexe = b.sexe AND b.origin = '{REF}' WHERE a.origin <> '{REF}'),
-    {ols_sql("gaps", "gap", ["an", "ag5"])}
-    SELECT {term_sql(["an", "ag5"])} AS term, round(estimate, 6) AS estimate, round(se, 6) AS se, round(estimate / se, 4) AS stat FROM fit""",
+    f"""WITH RECURSIVE {GAPS_SQL}, {ols_sql("gaps", "gap", BANDS_SQL)}
+    SELECT {term_sql(BANDS)} AS term, round(estimate, 6) AS estimate, round(se, 6) AS se, round(estimate / se, 4) AS stat FROM fit""",
 )
 def glm_additive(spark, folder):
-    """The same without interactions."""
-    means = sample(spark, folder).groupBy("an", "ag5", "sexe", "origin").agg(F.avg("logsal").alias("logsal"))
-    fit = glm(reference_join(means, ["an", "ag5", "sexe"], "origin", REF, "logsal"), "diff_logsal", ["an", "ag5"])
+    """The same without sex."""
+    fit = glm(mean_gaps(spark, folder), "diff_logsal", BANDS)
     return fit.select("term", F.round("estimate", 6).alias("estimate"), F.round("se", 6).alias("se"), F.round("stat", 4).alias("stat"))
 
 
@@ -166,12 +181,12 @@ def gappy_cells(spark, folder):
     cells = with_factors(fine_cells(spark, folder)).withColumn("n_min", F.col("n_min").cast("double"))
     key = F.concat_ws("|", *FINE)
     few = F.col("n_min") < 18
-    return cells.withColumn("cell", key).withColumn("w", F.when(~few | (F.length(key) % 2 == 0), F.col("w")))
+    return cells.withColumn("cell", key).withColumn("w", F.when(~few | ((F.col("an") + F.col("ag10") + F.col("dip")) % 2 == 0), F.col("w")))
 
 
 @query(
     "logit_missing",
-    f"""WITH RECURSIVE {FINE_SQL}, d AS (SELECT n_min::DOUBLE AS x, (w IS NOT NULL AND (n_min >= 18 OR length(concat_ws('|', sexe, an, ag10, dip, pcs)) % 2 = 0))::INTEGER::DOUBLE AS y FROM cells),
+    f"""WITH RECURSIVE {FINE_SQL}, d AS (SELECT n_min::DOUBLE AS x, (w IS NOT NULL AND (n_min >= 18 OR (an + ag10 + dip) % 2 = 0))::INTEGER::DOUBLE AS y FROM cells),
     {newton_sql("n_min")}""",
 )
 def logit_missing(spark, folder):
@@ -222,49 +237,54 @@ def pmm_pooled(spark, folder):
     return rounded(pooled_ols(filled, "w", FACTORS))
 
 
-ORIGINS = {"Cadre": "o_machinery", "Ouvrier": "o_building"}
-MODEL = PathModel(ORIGINS, ("homme", "an"), "dip", "occ", "logsal")
-BY_SEX = PathModel(ORIGINS, ("an", "ag10"), "dip", "occ", "logsal")
+ORIGINS = {"Cadre": "o_machinery", "Ouvrier": "o_building", "Employé": "o_furniture", "Pinter": "o_household"}  # AUTOMOBILE is the base
+COHORTS, PERIODS_IN = [1950, 1960, 1970, 1980], [2, 3]  # the first level of each is the base
+DUMMIES = [*[f"gen{g}" for g in COHORTS], *[f"an{a}" for a in PERIODS_IN]]
+MODEL = PathModel(ORIGINS, ("homme", *DUMMIES), "dip", "occ", "logsal")
+BY_SEX = PathModel(ORIGINS, tuple(DUMMIES), "dip", "occ", "logsal")
+BY_COHORT = PathModel(ORIGINS, ("homme", "an"), "dip", "occ", "logsal")  # a cohort is seen in two or three periods
 
 
 def chained(spark, folder):
     """Level scores for diploma and occupation (two lowest classes merged), 0/1 columns for origin and sex."""
     rows = sample(spark, folder)
     occupation = recode("pcs", {1: ["AFRICA", "AMERICA"], 2: ["ASIA"], 3: ["EUROPE"], 4: ["MIDDLE EAST"]})
-    rows = rows.withColumn("occ", occupation).withColumns(indicators("origin", ["MACHINERY", REF]))
+    rows = rows.withColumn("occ", occupation).withColumns(indicators("origin", [name[2:].upper() for name in ORIGINS.values()], "o_{level}"))
+    rows = rows.withColumns({**treatment("gen", [1940, *COHORTS]), **treatment("an", [1, *PERIODS_IN])})
     return rows.withColumns(
         {
-            "o_machinery": F.col("is_MACHINERY"),
-            "o_building": F.col(f"is_{REF}"),
+            **{name: F.col("o_" + name[2:].upper()) for name in ORIGINS.values()},
             "homme": (F.col("sexe") == "Homme").cast("int"),
         }
     ).dropna(subset=["dip", "occ", "logsal"])
 
 
+DUMMIES_SQL = ", ".join([*[f"(gen = {g})::INTEGER AS gen{g}" for g in COHORTS], *[f"(an = {a})::INTEGER AS an{a}" for a in PERIODS_IN]])
 CHAIN_SQL = f"""{SAMPLE_SQL}, chain AS (SELECT *, CASE WHEN pcs IN ('AFRICA', 'AMERICA') THEN 1 WHEN pcs = 'ASIA' THEN 2 WHEN pcs = 'EUROPE' THEN 3 ELSE 4 END AS occ,
-    (origin = 'MACHINERY')::INTEGER AS o_machinery, (origin = '{REF}')::INTEGER AS o_building, (sexe = 'Homme')::INTEGER AS homme FROM sample)"""
+    {", ".join(f"(origin = '{name[2:].upper()}')::INTEGER AS {name}" for name in ORIGINS.values())}, {DUMMIES_SQL}, (sexe = 'Homme')::INTEGER AS homme FROM sample)"""
 
 
-def chain_fits(controls: list[str], by: str | None = None) -> str:
-    xs = ["o_machinery", "o_building", *controls]
+def chain_fits(controls: list[str], by: str | None = None, source: str = "chain", weight: str = "1", name: str = "") -> str:
+    """CTEs of the three equations, told apart by ``name``."""
+    xs = [*ORIGINS.values(), *controls]
     return ", ".join(
         [
-            ols_sql("chain", "dip", xs, by=by, suffix="1"),
-            ols_sql("chain", "occ", [*xs, "dip"], by=by, suffix="2"),
-            ols_sql("chain", "logsal", [*xs, "dip", "occ"], by=by, suffix="3"),
+            ols_sql(source, "dip", xs, weight, by, f"{name}1"),
+            ols_sql(source, "occ", [*xs, "dip"], weight, by, f"{name}2"),
+            ols_sql(source, "logsal", [*xs, "dip", "occ"], weight, by, f"{name}3"),
         ]
     )
 
 
-def chain_rows(controls: list[str]) -> str:
-    xs = ["o_machinery", "o_building", *controls]
-    parts = [("dip", xs, "1"), ("occ", [*xs, "dip"], "2"), ("logsal", [*xs, "dip", "occ"], "3")]
+def chain_rows(controls: list[str], name: str = "") -> str:
+    xs = [*ORIGINS.values(), *controls]
+    parts = [("dip", xs, f"{name}1"), ("occ", [*xs, "dip"], f"{name}2"), ("logsal", [*xs, "dip", "occ"], f"{name}3")]
     return " UNION ALL ".join(f"SELECT grp, '{y}' AS outcome, {term_sql(names)} AS term, estimate, se FROM fit{s}" for y, names, s in parts)
 
 
 @query(
     "path_scores",
-    f"""WITH RECURSIVE {CHAIN_SQL}, {chain_fits(["homme", "an"])}, rows AS ({chain_rows(["homme", "an"])})
+    f"""WITH RECURSIVE {CHAIN_SQL}, {chain_fits(["homme", *DUMMIES])}, rows AS ({chain_rows(["homme", *DUMMIES])})
     SELECT outcome, term, round(estimate, 6) AS estimate, round(se, 6) AS se FROM rows""",
 )
 def path_scores(spark, folder):
@@ -274,7 +294,7 @@ def path_scores(spark, folder):
 
 @query(
     "path_by_group",
-    f"""WITH RECURSIVE {CHAIN_SQL}, {chain_fits(["an", "ag10"], "sexe")}, rows AS ({chain_rows(["an", "ag10"])})
+    f"""WITH RECURSIVE {CHAIN_SQL}, {chain_fits(DUMMIES, "sexe")}, rows AS ({chain_rows(DUMMIES)})
     SELECT grp AS sexe, outcome, term, round(estimate, 6) AS estimate, round(se, 6) AS se FROM rows""",
 )
 def path_by_group(spark, folder):
@@ -283,18 +303,24 @@ def path_by_group(spark, folder):
     return rounded(fit.select("sexe", "outcome", "term", "estimate", "se"))
 
 
+def filtered_sql(sexe: str, name: str) -> str:
+    """CTEs of the model on the rows of one sex."""
+    return f"chain{name} AS (SELECT * FROM chain WHERE sexe = '{sexe}'), {chain_fits(DUMMIES, source='chain' + name, name=name)}, rows{name} AS ({chain_rows(DUMMIES, name)})"
+
+
 @query(
     "path_filtered_group",
-    f"""WITH RECURSIVE {CHAIN_SQL.replace("FROM sample)", "FROM sample WHERE sexe = 'Femme')")}, {chain_fits(["an", "ag10"])}, rows AS ({chain_rows(["an", "ag10"])})
-    SELECT outcome, term, round(estimate, 6) AS estimate, round(se, 6) AS se FROM rows""",
+    f"""WITH RECURSIVE {CHAIN_SQL}, {filtered_sql("Femme", "f")}, {filtered_sql("Homme", "h")}
+    SELECT sexe, outcome, term, round(estimate, 6) AS estimate, round(se, 6) AS se
+    FROM (SELECT 'Femme' AS sexe, * FROM rowsf UNION ALL SELECT 'Homme', * FROM rowsh)""",
 )
 def path_filtered_group(spark, folder):
-    """The model on women only."""
-    women = chained(spark, folder).where(F.col("sexe") == "Femme")
-    return rounded(path_coefficients(women, BY_SEX).select("outcome", "term", "estimate", "se"))
-
-
-COHORTS = PathModel(ORIGINS, ("homme", "an"), "dip", "occ", "logsal")
+    """The model fitted on women only and on men only."""
+    fits = [
+        path_coefficients(chained(spark, folder).where(F.col("sexe") == sexe), BY_SEX).select(F.lit(sexe).alias("sexe"), "outcome", "term", "estimate", "se")
+        for sexe in ("Femme", "Homme")
+    ]
+    return rounded(fits[0].union(fits[1]))
 
 
 @query(
@@ -306,7 +332,7 @@ COHORTS = PathModel(ORIGINS, ("homme", "an"), "dip", "occ", "logsal")
 def path_by_cohort(spark, folder):
     """By cohort, for cohorts seen in more than one period."""
     rows = keep_varied_groups(chained(spark, folder), "gen", "an")
-    return rounded(path_coefficients(rows, COHORTS, ["gen"]).select("gen", "outcome", "term", "estimate", "se"))
+    return rounded(path_coefficients(rows, BY_COHORT, ["gen"]).select("gen", "outcome", "term", "estimate", "se"))
 
 
 def path_values_sql(source: str) -> str:
@@ -338,7 +364,7 @@ EFFECTS_SQL = " UNION ALL ".join(f"SELECT grp, '{name}' AS effect, {sql} AS valu
 
 @query(
     "path_effects",
-    f"""WITH RECURSIVE {CHAIN_SQL}, {chain_fits(["homme", "an"])}, rows AS ({chain_rows(["homme", "an"])}), {path_values_sql("rows")}
+    f"""WITH RECURSIVE {CHAIN_SQL}, {chain_fits(["homme", *DUMMIES])}, rows AS ({chain_rows(["homme", *DUMMIES])}), {path_values_sql("rows")}
     SELECT effect, round(value, 6) AS value FROM ({EFFECTS_SQL})""",
 )
 def path_effect_table(spark, folder):
@@ -348,7 +374,7 @@ def path_effect_table(spark, folder):
 
 @query(
     "path_differences",
-    f"""WITH RECURSIVE {CHAIN_SQL}, {chain_fits(["an", "ag10"], "sexe")}, rows AS ({chain_rows(["an", "ag10"])}), {path_values_sql("rows")}, e AS ({EFFECTS_SQL})
+    f"""WITH RECURSIVE {CHAIN_SQL}, {chain_fits(DUMMIES, "sexe")}, rows AS ({chain_rows(DUMMIES)}), {path_values_sql("rows")}, e AS ({EFFECTS_SQL})
     SELECT effect, round(max(CASE WHEN grp = 'Homme' THEN value END), 6) + 0.0 AS first, round(max(CASE WHEN grp = 'Femme' THEN value END), 6) + 0.0 AS second,
       round(max(CASE WHEN grp = 'Femme' THEN value END) - max(CASE WHEN grp = 'Homme' THEN value END), 6) + 0.0 AS diff FROM e GROUP BY effect""",
 )
@@ -358,12 +384,14 @@ def path_differences(spark, folder):
     return rounded(group_differences(effects, "sexe", "Homme", "Femme"))
 
 
+STANDARD_SQL = f"""sds AS (SELECT unnest({list(MODEL.columns)}) AS name, unnest([{", ".join(f"stddev_samp({c})" for c in MODEL.columns)}]) AS sd FROM chain),
+    scaled AS (SELECT grp, outcome, term, estimate * x.sd / y.sd AS estimate FROM rows JOIN sds x ON term = x.name JOIN sds y ON outcome = y.name)"""
+
+
 @query(
     "standardised_paths",
-    f"""WITH RECURSIVE {CHAIN_SQL}, {chain_fits(["homme", "an"])}, rows AS ({chain_rows(["homme", "an"])}),
-    sds AS (SELECT unnest(['o_machinery', 'o_building', 'homme', 'an', 'dip', 'occ', 'logsal']) AS name,
-      unnest([stddev_samp(o_machinery), stddev_samp(o_building), stddev_samp(homme), stddev_samp(an), stddev_samp(dip), stddev_samp(occ), stddev_samp(logsal)]) AS sd FROM chain)
-    SELECT outcome, term, round(estimate * x.sd / y.sd, 6) AS standardized FROM rows JOIN sds x ON term = x.name JOIN sds y ON outcome = y.name""",
+    f"""WITH RECURSIVE {CHAIN_SQL}, {chain_fits(["homme", *DUMMIES])}, rows AS ({chain_rows(["homme", *DUMMIES])}),
+    {STANDARD_SQL} SELECT outcome, term, round(estimate, 6) AS standardized FROM scaled""",
 )
 def standardised_paths(spark, folder):
     """Coefficients in standard deviations."""
@@ -373,20 +401,21 @@ def standardised_paths(spark, folder):
 
 @query(
     "effect_decomposition",
-    f"""WITH RECURSIVE {CHAIN_SQL}, {chain_fits(["homme", "an"])}, rows AS ({chain_rows(["homme", "an"])}), {path_values_sql("rows")}, e AS ({EFFECTS_SQL})
+    f"""WITH RECURSIVE {CHAIN_SQL}, {chain_fits(["homme", *DUMMIES])}, rows AS ({chain_rows(["homme", *DUMMIES])}), {STANDARD_SQL}, {path_values_sql("scaled")}, e AS ({EFFECTS_SQL})
     SELECT CASE regexp_extract(effect, '^(.*)_[^_]*$', 1) WHEN 'd' THEN 'Direct' WHEN 'via_diploma' THEN 'Via diplôme' WHEN 'via_occupation' THEN 'Via PCS' WHEN 'via_both' THEN 'Via dip→PCS' END AS path,
       regexp_extract(effect, '_([^_]*)$', 1) AS origin, round(value, 6) AS effect FROM e
     WHERE effect LIKE 'd_%' OR effect LIKE 'via_%'""",
 )
 def decomposition(spark, folder):
-    """Effect of origin by way, long form."""
-    return rounded(effect_decomposition(path_coefficients(chained(spark, folder), MODEL), MODEL, value="estimate"))
+    """Standardised effect of origin by way, long form."""
+    return rounded(effect_decomposition(path_coefficients(chained(spark, folder), MODEL), MODEL))
 
 
 def tested(spark, folder):
     rows = chained(spark, folder)
     point = path_effects(path_coefficients(rows, BY_SEX, ["sexe"]), BY_SEX, ["sexe"])
-    replicates = path_replicates(rows, BY_SEX, "id", ["sexe"])
+    # The tests pass over the replicates several times.
+    replicates = cut_lineage(path_replicates(rows, BY_SEX, "id", ["sexe"], REPLICATES, SEED), "replicates")
     repeated = path_effects(replicates, BY_SEX, ["sexe", "rep"])
     return (
         group_differences(point, "sexe", "Homme", "Femme"),
@@ -394,14 +423,57 @@ def tested(spark, folder):
     )
 
 
-@query("wald_equal")
+UNITS = ["sexe", "origin", "gen", "an", "occ", *ORIGINS.values(), *DUMMIES]
+REPEATED_SQL = histogram_draws_sql("chain", UNITS, "dip", "logsal")
+
+
+def sex_gap(effects: str, by: str) -> str:
+    pick = "max(CASE WHEN split_part(grp, '|', 1) = '{}' THEN value END)"
+    return f"SELECT {by}effect, {pick.format('Femme')} - {pick.format('Homme')} AS diff FROM {effects} GROUP BY ALL"
+
+
+TESTED_SQL = f"""{CHAIN_SQL}, {chain_fits(DUMMIES, "sexe")}, rows AS ({chain_rows(DUMMIES)}), {path_values_sql("rows")}, e AS ({EFFECTS_SQL}),
+    point AS ({sex_gap("e", "")}), {REPEATED_SQL},
+    {chain_fits(DUMMIES, "sexe || '|' || rep", "drawn", "draw", "r")}, rowsr AS ({chain_rows(DUMMIES, "r")}), {path_values_sql("rowsr").replace("wide AS", "wider AS")},
+    er AS ({EFFECTS_SQL.replace("FROM wide", "FROM wider")}), repeated AS ({sex_gap("er", "split_part(grp, '|', 2) AS rep, ")})"""
+
+
+def tail_sql(chisq: str, df: str) -> str:
+    """Upper tail of chi-square by Simpson's rule over its square root."""
+    at, density = f"(sqrt({chisq}) + i / 200.0)", f"2 * pow(s, {df} - 1) * exp(-s * s / 2) / (pow(2, {df} / 2.0) * gamma({df} / 2.0))"
+    return f"list_sum(list_transform(range(8001), lambda i: CASE WHEN i IN (0, 8000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * {density.replace('s *', at + ' *').replace('* s ', '* ' + at + ' ').replace('(s,', '(' + at + ',')})) / 600.0"
+
+
+@query(
+    "wald_equal",
+    f"""WITH RECURSIVE {TESTED_SQL}, spread AS (SELECT effect, stddev_samp(diff) AS se FROM repeated GROUP BY effect),
+    tests AS (SELECT effect, diff, se, pow(diff / se, 2) AS chisq FROM point JOIN spread USING (effect))
+    SELECT effect, round(diff, 6) + 0.0 AS diff, round(se, 6) AS se, round(chisq, 6) AS chisq, round({tail_sql("chisq", "1")}, 6) AS p FROM tests""",
+)
 def wald_equal(spark, folder):
     """Equality between the sexes, path by path and for the total effects."""
     return rounded(wald_each(*tested(spark, folder)))
 
 
-@query("wald_joint")
+PATHS = BY_SEX.paths()
+
+
+@query(
+    "wald_joint",
+    f"""WITH RECURSIVE {TESTED_SQL},
+    names AS (SELECT unnest({PATHS}) AS effect, unnest(range({len(PATHS)})) AS pos),
+    moved AS (SELECT pos, rep, diff - avg(diff) OVER (PARTITION BY pos) AS d FROM repeated JOIN names USING (effect)),
+    border AS (SELECT a.pos AS i, b.pos AS j, sum(a.d * b.d) / ({REPLICATES} - 1) AS v FROM moved a JOIN moved b USING (rep) GROUP BY ALL
+      UNION ALL SELECT pos, {len(PATHS)}, diff FROM point JOIN names USING (effect) UNION ALL SELECT {len(PATHS)}, pos, diff FROM point JOIN names USING (effect)
+      UNION ALL SELECT {len(PATHS)}, {len(PATHS)}, 0.0),
+    swept AS (SELECT 0 AS k, i, j, v FROM border UNION ALL
+      SELECT k + 1, i, j, CASE WHEN i = k AND j = k THEN -1 / d WHEN i = k OR j = k THEN v / d ELSE v - ik * kj / d END FROM (
+        SELECT *, max(CASE WHEN j = k THEN v END) OVER (PARTITION BY i) AS ik, max(CASE WHEN i = k THEN v END) OVER (PARTITION BY j) AS kj,
+               max(CASE WHEN i = k AND j = k THEN v END) OVER () AS d FROM swept WHERE k < {len(PATHS)})),
+    stat AS (SELECT -v AS chisq FROM swept WHERE k = {len(PATHS)} AND i = {len(PATHS)} AND j = {len(PATHS)})
+    SELECT round(chisq, 4) AS chisq, {len(PATHS)}::INTEGER AS df, round({tail_sql("chisq", str(len(PATHS)))}, 6) AS p FROM stat""",
+)
 def wald_all(spark, folder):
-    """All nine paths equal at once."""
+    """All paths equal at once."""
     differences, repeated = tested(spark, folder)
-    return rounded(wald_joint(differences, repeated, BY_SEX.paths()))
+    return wald_joint(differences, repeated, PATHS).select(F.round("chisq", 4).alias("chisq"), "df", (F.round("p", 6) + F.lit(0.0)).alias("p"))

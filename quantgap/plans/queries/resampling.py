@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quantgap.operators.distance import wasserstein
 from quantgap.operators.draws import MARGIN, TABLE_RATE, replicate_draws, replicate_frame
 from quantgap.operators.resample import (
+    bootstrap_cases,
     bootstrap_wasserstein,
     draw_slices,
     interval_constants,
@@ -16,7 +17,9 @@ from quantgap.operators.resample import (
     with_interval,
 )
 from quantgap.operators.samples import plan_slices
-from quantgap.plans.queries.base import CELL, REF, SAMPLE_SQL, TARGETS, distance_sql, query, rounded, sample, sql_list
+from quantgap.operators.transport import counterfactual
+from quantgap.plans.queries.base import CELL, REF, SAMPLE_SQL, TARGETS, distance_sql, mapping_sql, query, rounded, sample, sql_list
+from quantgap.plans.queries.distances import DIPLOMA_CELL, MAP_KEEP
 from quantgap.plans.report import chart_tiles
 
 CELLS = ", ".join(CELL)
@@ -33,19 +36,20 @@ def draws_sql(source: str, replicates: int = REPLICATES) -> str:
     drawn AS (SELECT * FROM (SELECT *, {count} AS draw FROM hashed) WHERE draw > 0)"""
 
 
-def histogram_draws_sql(source: str, cell: list[str], group: str, value: str, groups: list[str], replicates: int = REPLICATES, exact: bool = False, suffix: str = "") -> str:
+def histogram_draws_sql(source: str, cell: list[str], group: str, value: str, groups: list[str] | None = None, replicates: int = REPLICATES, exact: bool = False, suffix: str = "") -> str:
     """CTE ``drawn(cell…, group, value, rep, draw)``: draws of the values of each cell's histogram; CTE names take the suffix."""
     keys, x = ", ".join(cell), suffix
     hashed = "('0x' || substr(md5(concat_ws('|', '%d', rep // 4, id)), (1 + 8 * (rep %% 4))::INTEGER, 8))::BIGINT" % SEED
     same = lambda a, b: " AND ".join(f"{a}.{c} IS NOT DISTINCT FROM {b}.{c}" for c in cell) or "true"
-    some = "" if exact else f"AND {group} IN ({sql_list(groups)})"
+    some = "" if exact or groups is None else f"AND {group} IN ({sql_list(groups)})"
+    present = " AND ".join(f"{v} IS NOT NULL" for v in value.split(", "))
     rate = f"c * greatest(0.0::DOUBLE, 1 - {MARGIN}::DOUBLE / sqrt(size::DOUBLE))" if exact else "c::DOUBLE"
     expanded = "floor(rate + sqrt(rate) * z + (z * z - 1) / 6 + (z - pow(z, 3)) / (72 * sqrt(rate)) + 0.5)"
     normal = f"sqrt(-2 * ln(((u >> 16) + 0.5) / 65536)) * cos(2 * pi() * (u & 65535) / 65536)"
     parts = f"""reps{x} AS (SELECT unnest(range({replicates}))::INTEGER AS rep),
-    values0{x} AS (SELECT {keys}, {group}, {value}, count(*) AS c, min(id) AS id FROM {source} WHERE {value} IS NOT NULL AND {group} IS NOT NULL {some} GROUP BY ALL),
-    sized{x} AS (SELECT *, sum(c) OVER (PARTITION BY {keys}) AS size FROM values0{x}),
-    rated{x} AS MATERIALIZED (SELECT *, {rate} AS rate FROM sized{x}),
+    values0{x} AS (SELECT {keys}, {group}, {value}, count(*) AS c, min(id) AS id FROM {source} WHERE {present} AND {group} IS NOT NULL {some} GROUP BY ALL),
+    celled{x} AS (SELECT *, sum(c) OVER (PARTITION BY {keys}) AS size FROM values0{x}),
+    rated{x} AS MATERIALIZED (SELECT *, {rate} AS rate FROM celled{x}),
     terms{x} AS (SELECT rate, unnest(range(floor(rate + 12 * sqrt(rate))::BIGINT + 12)) AS k FROM (SELECT DISTINCT rate FROM rated{x} WHERE rate > 0 AND rate <= {TABLE_RATE})),
     sums{x} AS (SELECT rate, k, floor(sum(exp(-rate + k * ln(rate) - lgamma(k + 1.0))) OVER (PARTITION BY rate ORDER BY k) * 4294967296)::BIGINT AS cut FROM terms{x}),
     cuts{x} AS (SELECT rate, list(cut ORDER BY k) AS cuts FROM sums{x} WHERE cut < 4294967295 GROUP BY rate),
@@ -156,6 +160,24 @@ def bootstrap_multinomial_w2(spark, folder):
     )
 
 
+MAPPED_SQL = f"{SAMPLE_SQL}, {mapping_sql('sample', DIPLOMA_CELL, 'origin', 'logsal', 'MACHINERY', MAP_KEEP)}"
+PAIRS_SQL = f"""{MAPPED_SQL}, {histogram_draws_sql("mapped", CELL, "origin", "logsal, mapped", [*TARGETS, REF])},
+    cases AS (SELECT {CELLS}, origin, rep, draw, 'real' AS cas, logsal AS v FROM drawn UNION ALL SELECT {CELLS}, origin, rep, draw, 'counterfactual', mapped FROM drawn),
+    {distance_sql("cases", [*CELL, "cas", "rep"], "origin", "v", REF, TARGETS, weight="draw", least=2, frequency=True)}"""
+
+
+@query(
+    "bootstrap_ci_counterfactual",
+    f"""WITH {PAIRS_SQL}, {INTERVAL_SQL.replace(CELLS, CELLS + ", cas")}
+    SELECT {CELLS}, cas, target AS origin, reps, round(lo, 6) AS lo, round(hi, 6) AS hi FROM intervals""",
+)
+def bootstrap_ci_counterfactual(spark, folder):
+    """Intervals of the distances before and after the mapping inside diploma cells, on the same replicates."""
+    moved = counterfactual(sample(spark, folder), DIPLOMA_CELL, "origin", "logsal", "MACHINERY", carry=["id"])
+    replicates = bootstrap_cases(moved, CELL, "origin", {"real": "logsal", "counterfactual": "counterfactual"}, REF, TARGETS, "id", REPLICATES, SEED)
+    return rounded(percentile_interval(replicates, [*CELL, "cas", "origin"], total=REPLICATES))
+
+
 POINT_SQL = distance_sql("sample", CELL, "origin", "logsal", REF, TARGETS, suffix="_p")
 TILE_SQL = f"{BOOT_SQL}, {INTERVAL_SQL}, {POINT_SQL}"
 
