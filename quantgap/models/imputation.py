@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quantgap.models.linear import cross_products, solve
 from quantgap.models.tails import t_two_sided
 from quantgap.operators.samples import Slicing, running_total
-from quantgap.session import literal_table, result_table
+from quantgap.session import cut_lineage, literal_table, result_table
 
 RIDGE = 1e-5
 
@@ -68,7 +68,8 @@ def predictive_mean_matching(
     donated = df.where(observed).select(F.lit(0).alias(imp), row_key, F.col(y).alias("_y"), score.alias("_s"), F.lit(1).alias("_o"))
     missing = df.where(~observed).crossJoin(F.broadcast(drawn))  # one row per imputation
     asked = missing.select(imp, row_key, F.col(y).alias("_y"), drawn_score.alias("_s"), F.lit(0).alias("_o"))
-    placed = donated.unionByName(asked).where(F.col("_s").isNotNull())
+    # Scores are read by the slicing, the ranks and both sides of the donor join; donors by every pass over the result.
+    placed = cut_lineage(donated.unionByName(asked).where(F.col("_s").isNotNull()), "scores")
     placed = running_total(placed, [], "_s", [F.col("_o").desc(), F.col(row_key), F.col(imp)], F.col("_o").cast("long"), "_at", slicing)
     pool = placed.where("_o = 1").select("_at", F.col("_s").alias("_ds"), F.col("_y").alias("_dy"))
     asking = placed.where("_o = 0").select(
@@ -80,6 +81,7 @@ def predictive_mean_matching(
     ranked = ranked.where(F.col("_rank") <= donors).withColumn("_found", F.count(F.lit(1)).over(by_row))
     digits = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(imp), F.col(row_key))), 1, 8), 16, 10).cast("long")
     chosen = ranked.where(F.col("_rank") == digits % F.col("_found") + 1).select(imp, row_key, F.col("_dy").alias("_filled"))
+    chosen = cut_lineage(chosen, "donors")
     completed = df.crossJoin(F.broadcast(drawn.select(imp))).join(chosen, [imp, row_key], "left")
     return completed.withColumn(y, F.coalesce(F.col(y), F.col("_filled"))).select(
         imp, *[F.col(f"`{c}`") for c in df.columns]
