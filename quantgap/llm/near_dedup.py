@@ -3,15 +3,17 @@
 A text's set are its distinct five-word shingles.  Two small collections of ``BANDS`` keys, three minhashes each, are
 taken of every set; a table key combines one of the first with one of the second.  ``2 * 3 * BANDS`` minhashes thus
 serve ``BANDS * BANDS`` tables of six minhashes.  At the similarity asked for, 0.75, one band agrees with probability
-0.75 ** 3, and a pair meets in no table with probability below ``2 * (1 - 0.42) ** BANDS``, 2e-6 for 24 bands.
+0.75 ** 3, and a pair meets in no table with probability below ``2 * (1 - 0.42) ** BANDS``, 4e-6 for 24 bands.
 
 Texts with equal sets form one class before anything else.  Table keys are only formed from band keys that another class
 shares, so a unique text costs two short arrays.  In larger buckets the support of a class is counted, the shingles that
 any other such class has too: a link needs three quarters of both sets' union to be common, so a class without that much
 support for the sizes it meets has no link there and leaves the bucket.  The best supported class of a bucket is its
 pivot; every class is compared with the pivot it shares most tables with, and classes that this joins need no further
-comparison among each other.  What is left are buckets that span several components: their pairs across components are
-compared, and a bucket with many such pairs is first divided by fresh bands.  All links are confirmed on full sets.
+comparison among each other.  What is left are buckets that span several components.  Pairs across components meet
+either by first band alone or by table, whichever needs fewer comparisons for that band, and a pair is made only where
+the first band, and the first second band, agree that it shares; so each pair is made once, and none is lost.  A bucket's
+largest component only answers, it is not compared with itself.  All links are confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -31,9 +33,9 @@ from quantgap.session import cut_lineage
 SHINGLE = 5
 BAND = 3
 BANDS = 24
-FINE_LEVELS = 2  # sets of fresh bands that divide crowded buckets
-CROWDED = 64  # pairs across components per row of a bucket, beyond which it is divided
 SHARE = 75  # per cent
+ROW_COST = 64  # comparisons that cost as much as moving one more row to a bucket
+HEAVY = 256  # comparisons with one class, from which on it is copied and they are spread
 LARGER = 16  # rows of a bucket from which on support is counted
 MASK = (1 << 64) - 1
 BLOCK = 8192
@@ -110,23 +112,22 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", also
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``(set_key, hashes, fine)`` of the classes in ``wanted (set_key, doc_id)``: whole sets, and fresh bands by level."""
+    """``(set_key, hashes)``: whole sets of the classes in ``wanted (set_key, doc_id)``."""
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_hashes(value.as_py()) for value in batch.column(1)]
-            fine = [np.concatenate([_bands(s, 3 + level) for level in range(FINE_LEVELS)]) for s in sets]
-            columns = [batch.column(0), pa.array([_set_key(s) for s in sets], pa.binary()), _lists(sets), _lists(fine)]
-            yield pa.RecordBatch.from_arrays(columns, names=["set_key", "own_key", "hashes", "fine"])
+            columns = [batch.column(0), pa.array([_set_key(s) for s in sets], pa.binary()), _lists(sets)]
+            yield pa.RecordBatch.from_arrays(columns, names=["set_key", "own_key", "hashes"])
 
     rows = docs.join(wanted, "doc_id").select("set_key", "text")
-    rows = rows.mapInArrow(expand, "set_key binary, own_key binary, hashes array<bigint>, fine array<bigint>")
+    rows = rows.mapInArrow(expand, "set_key binary, own_key binary, hashes array<bigint>")
     # A doc_id may stand for several texts; only the one with the class's set counts.
     return rows.where(F.col("set_key") == F.col("own_key")).drop("own_key").dropDuplicates(["set_key"])
 
 
 def table_rows(classes: DataFrame) -> DataFrame:
-    """``(key, set_key, n)`` for the tables in which a class can have a mate.
+    """``(key, va, vb, set_key, n)`` for the tables in which a class can have a mate.
 
     Band keys that no other class has are left out before the two collections are combined.
     """
@@ -141,7 +142,7 @@ def table_rows(classes: DataFrame) -> DataFrame:
     )
     return kept.select("set_key", "n", "b", F.explode("a").alias("va")).select(
         "set_key", "n", "va", F.explode("b").alias("vb")
-    ).select(F.xxhash64("va", "vb").alias("key"), "set_key", "n")
+    ).select(F.xxhash64("va", "vb").alias("key"), "va", "vb", "set_key", "n")
 
 
 def compatible(s: str | Column, m: str | Column, n: str | Column) -> Column:
@@ -162,10 +163,17 @@ def support(sets: DataFrame, chosen: DataFrame) -> DataFrame:
 
 
 def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs ``(x, y)`` with the sizes of their full sets and of what they have in common: ``nx, ny, both``."""
+    """The pairs ``(x, y)`` with the sizes of their full sets and of what they have in common: ``nx, ny, both``.
+
+    A class that very many others are compared with is copied and its pairs are spread over the copies.
+    """
+    load = pairs.groupBy("y").agg(F.ceil(F.count("*") / HEAVY).cast("int").alias("copies"))
+    spread = pairs.join(load.where("copies > 1"), "y", "left")
+    spread = spread.select("x", "y", F.pmod(F.xxhash64("x"), F.coalesce("copies", F.lit(1))).cast("int").alias("salt"))
     left = sets.select(F.col("set_key").alias("x"), F.col("hashes").alias("hx"))
-    right = sets.select(F.col("set_key").alias("y"), F.col("hashes").alias("hy"))
-    joined = pairs.join(left, "x").join(right, "y")
+    right = sets.select(F.col("set_key").alias("y"), F.col("hashes").alias("hy")).join(load, "y")
+    right = right.select("y", "hy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"))
+    joined = spread.join(left, "x").join(right, ["y", "salt"])
     return joined.select("x", "y", F.size("hx").alias("nx"), F.size("hy").alias("ny"), F.size(F.array_intersect("hx", "hy")).alias("both"))
 
 
@@ -195,22 +203,51 @@ def components(links: DataFrame) -> DataFrame:
         edges = cut_lineage(small, "edges")
 
 
-def _across(rows: DataFrame) -> DataFrame:
-    """Bucket keys that span several components, with the pairs across them: ``(key, crowd)``, crowd in pairs per row."""
-    by_root = rows.groupBy("key", "root").agg(F.count("*").alias("c"))
-    sums = by_root.groupBy("key").agg(F.sum("c").alias("rows"), F.sum(F.col("c") * F.col("c")).alias("inside"), F.count("*").alias("roots"))
-    return sums.where("roots > 1").select("key", ((F.col("rows") * F.col("rows") - F.col("inside")) / 2 / F.col("rows")).alias("crowd"))
+def _across(rows: DataFrame, bucket: str) -> DataFrame:
+    """Buckets that span several components: ``(bucket, main, rows, cost)``, main the largest component in the bucket.
 
-
-def _pairs(rows: DataFrame) -> DataFrame:
-    left = rows.select("key", F.col("set_key").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"), F.col("s").alias("sx"), F.col("c").alias("cx"), F.col("i").alias("ix"))
-    right = rows.select("key", F.col("set_key").alias("y"), F.col("root").alias("ry"), F.col("n").alias("ny"), F.col("s").alias("sy"), F.col("c").alias("cy"), F.col("i").alias("iy"))
+    The cost counts the comparisons of rows outside the main component with all rows, and the rows.
+    """
+    by_root = rows.groupBy(bucket, "root").agg(F.count("*").alias("c"))
+    sums = by_root.groupBy(bucket).agg(F.sum("c").alias("rows"), F.max(F.struct("c", "root")).alias("top"), F.count("*").alias("roots"))
+    cost = (F.col("rows") - F.col("top.c")) * F.col("rows") + ROW_COST * F.col("rows")
+    return sums.where("roots > 1").select(bucket, F.col("top.root").alias("main"), cost.alias("cost"))
+
+
+def _pairs(rows: DataFrame, bucket: str, once: Column) -> DataFrame:
+    """Pairs across components in the buckets of ``rows``, where ``once`` holds."""
+    facts = {"set_key": "", "root": "r", "n": "n", "s": "s", "c": "c", "i": "i", "a": "a", "b": "b", "inside": "in"}
+    side = lambda end: [F.col(name).alias(short + end) for name, short in facts.items()]
+    left = rows.where("NOT inside").select(bucket, "va", "vb", *side("x"))
+    right = rows.select(bucket, *side("y"))
     # Two classes measured against one pivot share no more than what either shares with it, and with others outside it.
     through = F.least("ix", "iy") + F.least(F.col("sx") - F.col("ix"), F.col("sy") - F.col("iy"))
     most = F.when(F.col("cx") == F.col("cy"), F.least("sx", "sy", through)).otherwise(F.least("sx", "sy"))
     possible = compatible(most, F.col("nx"), F.col("ny"))
-    met = left.join(right, "key").where((F.col("x") < F.col("y")) & (F.col("rx") != F.col("ry")) & possible)
-    return met.select("x", "y").distinct()
+    apart = (F.col("rx") != F.col("ry")) & (F.col("iny") | (F.col("x") < F.col("y")))
+    met = left.join(right, bucket).where(apart & possible & once)
+    return met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+
+
+def across_components(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs ``(x, y)`` of ``rows (key, va, vb, set_key, n, s, c, i, root)`` that share a table but no component, each once.
+
+    Two classes that share a table agree in some first band and some second one; the first of each that they agree in is
+    the place where the pair is made.
+    """
+    tables = cut_lineage(_across(rows, "key"), "spans")
+    alive = cut_lineage(rows.join(tables.select("key", F.col("main").alias("table_main"), "cost"), "key"), "alive")
+    single = alive.dropDuplicates(["va", "set_key"])
+    bands = _across(single, "va").withColumnRenamed("cost", "band_cost")
+    by_table = alive.dropDuplicates(["key"]).groupBy("va").agg(F.sum("cost").alias("table_cost"))
+    plan = cut_lineage(bands.join(by_table, "va").select("va", "main", (F.col("table_cost") < F.col("band_cost")).alias("tabled")), "plan")
+    arrays = alive.select("set_key").distinct().join(classes.select("set_key", "a", "b"), "set_key")
+    chosen = lambda part, main: part.withColumn("inside", F.col("root") == F.col(main)).join(arrays, "set_key")
+    first_a = F.get(F.array_intersect("ax", "ay"), F.lit(0)) == F.col("va")
+    wide = chosen(single.join(plan.where("NOT tabled").select("va", "main"), "va"), "main")
+    narrow = chosen(alive.join(plan.where("tabled").select("va"), "va", "left_semi"), "table_main")
+    first_b = F.get(F.array_intersect("bx", "by"), F.lit(0)) == F.col("vb")
+    return _pairs(wide.withColumn("band", F.col("va")), "band", first_a & F.arrays_overlap("bx", "by")).union(_pairs(narrow, "key", first_a & first_b))
 
 
 def link_classes(classes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -223,7 +260,7 @@ def link_classes(classes: DataFrame, docs: DataFrame) -> DataFrame:
     backed = cut_lineage(support(sets, buckets.where(F.col("rows") > LARGER).select("set_key").distinct()), "support")
     known = buckets.join(backed, "set_key", "left").select(
         # Mates in a smaller bucket need not have been counted, so support speaks for the larger ones only.
-        "key", "set_key", "n", "least", F.when(F.col("rows") > LARGER, F.coalesce("s", "n")).otherwise(F.col("n")).alias("s")
+        "key", "va", "vb", "set_key", "n", "least", F.when(F.col("rows") > LARGER, F.coalesce("s", "n")).otherwise(F.col("n")).alias("s")
     )
     # The smallest mate a class can have here has the bucket's least size, or three quarters of its own.
     mate = F.greatest(F.col("least"), F.col("n") * SHARE / 100)
@@ -239,22 +276,9 @@ def link_classes(classes: DataFrame, docs: DataFrame) -> DataFrame:
     seen = star.join(backed.select(F.col("set_key").alias("y")), "y").select(F.col("x").alias("set_key"), F.col("y").alias("c"), F.col("both").alias("i"))
     centres = seen.select(F.col("c").alias("set_key")).distinct().join(star.select(F.col("x").alias("set_key")), "set_key", "left_anti")
     seen = cut_lineage(seen.union(centres.select("set_key", F.col("set_key").alias("c"), F.lit(None).cast("int").alias("i"))), "seen")
-    placed = buckets.join(seen, "set_key", "left").select("key", "set_key", "n", "s", "c", F.coalesce("i", "n").alias("i"))
-    rows = with_root(placed, components(first))
-    found = []
-    for level in range(FINE_LEVELS + 1):
-        rows = cut_lineage(rows, "rows")
-        spans = _across(rows)
-        calm = spans if level == FINE_LEVELS else spans.where(F.col("crowd") <= CROWDED)
-        found.append(_pairs(rows.join(calm.select("key"), "key")))
-        if level < FINE_LEVELS:
-            crowded = rows.join(spans.where(F.col("crowd") > CROWDED).select("key"), "key")
-            fine = sets.select("set_key", F.explode(F.slice("fine", level * BANDS + 1, BANDS)).alias("band"))
-            rows = crowded.join(fine, "set_key").select(F.xxhash64("key", "band").alias("key"), "set_key", "n", "s", "c", "i", "root")
-    pairs = found[0]
-    for more in found[1:]:
-        pairs = pairs.union(more)
-    second = linked(measured(cut_lineage(pairs.distinct(), "pairs"), sets))
+    placed = buckets.join(seen, "set_key", "left").select("key", "va", "vb", "set_key", "n", "s", "c", F.coalesce("i", "n").alias("i"))
+    pairs = across_components(cut_lineage(with_root(placed, components(first)), "rows"), classes)
+    second = linked(measured(cut_lineage(pairs, "pairs"), sets))
     return components(first.union(second))
 
 

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quantgap.llm import near_dedup as n
@@ -53,13 +54,27 @@ def test_components_equal_brute_force(spark):
     assert sorted(rows(got, "doc_id", "n_shingles", "component_id", "kept")) == brute(pairs)
 
 
-def test_crowded_buckets_are_divided(spark, monkeypatch):
-    monkeypatch.setattr(n, "CROWDED", 1)
+@pytest.mark.parametrize("row_cost, heavy", [(0, 2), (10**9, 1)])
+def test_pairs_by_band_or_by_table(spark, monkeypatch, row_cost, heavy):
+    monkeypatch.setattr(n, "ROW_COST", row_cost)
+    monkeypatch.setattr(n, "HEAVY", heavy)
     pairs = list(enumerate(corpus(), 1))
     got = n.near_duplicates(docs(spark, [t for _, t in pairs]))
     assert sorted(rows(got, "doc_id", "n_shingles", "component_id", "kept")) == brute(pairs)
 
 
+def test_each_pair_across_components_is_made_once(spark):
+    """All pairs that share a first and a second band and no component, and no pair twice."""
+    rng = random.Random(6)
+    classes = [(bytes([k]), [10 * b + rng.randrange(3) for b in range(5)], [1000 + 10 * b + rng.randrange(3) for b in range(5)], k % 9 if k % 2 else 0) for k in range(60)]
+    table = spark.createDataFrame(classes, "set_key binary, a array<bigint>, b array<bigint>, root int")
+    given = table.select("set_key", "root", "b", F.explode("a").alias("va")).select("set_key", "root", "va", F.explode("b").alias("vb"))
+    given = given.select(F.xxhash64("va", "vb").alias("key"), "va", "vb", "set_key", F.lit(10).alias("n"), F.lit(10).alias("s"), F.lit(None).cast("binary").alias("c"), F.lit(10).alias("i"), "root")
+    expected = sorted((x[0], y[0]) for x in classes for y in classes if x[0] < y[0] and x[3] != y[3] and set(x[1]) & set(y[1]) and set(x[2]) & set(y[2]))
+    got = [(bytes(x), bytes(y)) for x, y in rows(n.across_components(given, table), "x", "y")]
+    assert sorted(got) == expected and len(expected) > 500
+
+
 def test_chains_and_stars(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, k) for k in range(101, 140)] + [(7, 7)], "x bigint, y bigint")
     assert sorted(rows(n.components(links), "node", "root")) == [(i, 0) for i in range(61)] + [(k, 100) for k in range(100, 140)]
