@@ -23,13 +23,18 @@ CAP = 3
 LEVELS = 64  # base rates are rounded to multiples of 1/64, so a source has at most CAP * LEVELS of them
 STEPS = 80
 BINS = 4096
-LARGE = 64  # a document is large if it holds more than 1/64 of its source's words
+LONG, PREFERRED = 200, 2.0  # words from which on the registered mixes prefer a document, and how much
 
 
 def n_words(text: str) -> Column:
     return F.coalesce(F.expr(f"regexp_count({text}, '{WORD}')".replace("\\", "\\\\")), F.lit(0)).cast("long")
 
 
+def length_base(size: Column) -> Column:
+    """Base rate of the registered mixes: a document of ``LONG`` words or more counts ``PREFERRED`` times a shorter one."""
+    return F.when(size >= LONG, PREFERRED).otherwise(1.0)
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """``(source, source_size, target)`` from ``(source, size)`` rows.
 
@@ -80,8 +85,8 @@ def plan(sizes: DataFrame, seed: int = 11, weights: tuple[int, ...] = WEIGHTS, c
     """What the documents of each source are taken by: ``(source, source_size, target, tilt, open, cut)``.
 
     ``sizes`` holds ``(doc_id, source, size, base)``.  A document takes ``floor(rate)`` copies and one more if its
-    draw's key is at most ``cut``.  Large documents draw alone (key at most 1); the others share what is then left of
-    the target, in order of their keys, the last one only if it brings the source nearer to its target.
+    draw's key is at most ``cut``.  The documents of a source share what the whole copies leave of its target in the
+    order of their keys, the last one only if it brings the source nearer to its target.
     """
     targets = cut_lineage(source_targets(sizes, weights, cap), "targets")
     levels = sizes.groupBy("source", "base").agg(F.sum("size").cast("double").alias("size"))
@@ -90,20 +95,17 @@ def plan(sizes: DataFrame, seed: int = 11, weights: tuple[int, ...] = WEIGHTS, c
     sources = cut_lineage(targets.join(tilts, targets.source.eqNullSafe(tilts.source)).select(targets["*"], "tilt"), "tilts")
     count = sources.count()
     drawn = with_rates(sizes, sources, count, seed, cap)
-    part = drawn.groupBy("source").agg(
-        F.sum(F.col("size") * F.col("whole")).alias("sure"),
-        F.sum(F.when(F.col("large") & (F.col("key") <= 1), F.col("size")).otherwise(0)).alias("lone"),
-    )
-    rest = sources.join(part, sources.source.eqNullSafe(part.source)).select(sources["*"], (F.col("target") - F.col("sure") - F.col("lone")).alias("rest"))
+    part = drawn.groupBy("source").agg(F.sum(F.col("size") * F.col("whole")).alias("sure"))
+    rest = sources.join(part, sources.source.eqNullSafe(part.source)).select(sources["*"], (F.col("target") - F.col("sure")).alias("rest"))
     rest = cut_lineage(rest, "rest")
-    small = drawn.where(~F.col("large") & (F.col("frac") > 0)).withColumn("bin", F.floor(F.col("key") / (1 + F.col("key")) * BINS))
-    bins = small.groupBy("source", "bin").agg(F.sum("size").alias("in_bin"))
+    parted = drawn.where((F.col("frac") > 0) & (F.col("size") > 0)).withColumn("bin", F.floor(F.col("key") / (1 + F.col("key")) * BINS))
+    bins = parted.groupBy("source", "bin").agg(F.sum("size").alias("in_bin"))
     upto = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     bins = bins.withColumn("until", F.sum("in_bin").over(upto)).withColumn("before", F.col("until") - F.col("in_bin"))
     met = bins.join(rest, bins.source.eqNullSafe(rest.source)).where(F.col("before") <= F.col("rest"))
     edge = met.groupBy(rest.source.alias("source")).agg(F.max(F.struct("bin", "before", "rest")).alias("e"))
     edge = small_side(cut_lineage(edge.select(F.col("source").alias("edge_source"), "e.*"), "edge").withColumnRenamed("bin", "edge_bin"), count, 64)
-    inner = small.join(edge, small.source.eqNullSafe(edge.edge_source) & (small.bin == F.col("edge_bin")))
+    inner = parted.join(edge, parted.source.eqNullSafe(edge.edge_source) & (parted.bin == F.col("edge_bin")))
     # Equal keys (repeated rows) are taken together.
     running = Window.partitionBy("source").orderBy("key").rangeBetween(Window.unboundedPreceding, 0)
     inner = inner.withColumn("sum", F.sum("size").over(running) + F.col("before")).withColumn("alike", F.sum("size").over(Window.partitionBy("source", "key")))
@@ -128,7 +130,7 @@ def with_rates(sizes: DataFrame, sources: DataFrame, count: int, seed: int = 11,
     joined = sizes.join(side, sizes.source.eqNullSafe(side._source), "left").drop("_source")
     # Rounding hides the last bits of the multiplier, so that a rate meant to be whole is whole.
     joined = joined.withColumn("rate", F.round(F.least(F.lit(float(cap)), F.col("base") * F.exp("tilt")), 9))
-    joined = joined.withColumns({"whole": F.floor("rate"), "large": F.col("size") * LARGE > F.col("source_size"), "u": _draw("doc_id", "size", seed)})
+    joined = joined.withColumns({"whole": F.floor("rate"), "u": _draw("doc_id", "size", seed)})
     joined = joined.withColumn("frac", F.col("rate") - F.col("whole"))
     key = (F.col("u") / (1 - F.col("u"))) / (F.col("frac") / (1 - F.col("frac")))
     return joined.withColumn("key", F.when(F.col("frac") > 0, key))
@@ -145,8 +147,7 @@ def mix(docs: DataFrame, size: Column, seed: int = 11, base: Column | None = Non
     narrow = cut_lineage(sized.select("doc_id", "source", "size", "base"), "sizes")
     sources = cut_lineage(plan(narrow, seed, weights, cap), "plan")
     rated = with_rates(sized, sources, sources.count(), seed, cap)
-    more = F.when(F.col("large"), F.col("key") <= 1).otherwise(F.col("key") <= F.col("cut"))
-    copies = F.when(F.col("size") > 0, F.col("whole") + F.when(more, 1).otherwise(0)).otherwise(0).cast("int")
+    copies = F.when(F.col("size") > 0, F.col("whole") + F.when(F.col("key") <= F.col("cut"), 1).otherwise(0)).otherwise(0).cast("int")
     rated = rated.withColumn("copies", copies).withColumn("taken", F.col("size") * F.col("copies"))
     return rated.select("row.*", "size", "source_size", "target", "rate", "copies", "taken")
 

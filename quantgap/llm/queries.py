@@ -77,7 +77,7 @@ def op3_near_duplicates(spark, folder):
 def op4_mixing(spark, folder):
     docs = table(spark, folder, "documents")
     counted = cut_lineage(docs.select("doc_id", "source", mixing.n_words("text").alias("n_words")), "counted")  # one pass over the texts
-    mixed = mixing.mix(counted, F.col("n_words"))
+    mixed = mixing.mix(counted, F.col("n_words"), base=mixing.length_base(F.col("n_words")))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "rate")
 
 

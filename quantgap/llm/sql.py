@@ -116,20 +116,27 @@ m_levels AS (
 m_targets AS (
   SELECT source, source_size, CASE WHEN filled / weight > lvl THEN
     least(filled, weight * (SELECT lvl FROM m_levels WHERE filled / weight > lvl ORDER BY filled / weight LIMIT 1)) ELSE filled END AS target FROM m_levels),
+m_split AS (
+  SELECT source, sum(CASE WHEN size >= {mixing.LONG} THEN size ELSE 0 END)::DOUBLE AS high, sum(CASE WHEN size >= {mixing.LONG} THEN 0 ELSE size END)::DOUBLE AS low
+  FROM m_docs GROUP BY source),
+m_tilts AS (
+  SELECT t.*, CASE WHEN {mixing.PREFERRED} * target <= {cap} * (low + {mixing.PREFERRED} * high) THEN target / (low + {mixing.PREFERRED} * high)
+    WHEN low > 0 THEN (target - {cap} * high) / low ELSE {cap} END AS tilt
+  FROM m_targets t JOIN m_split s ON t.source IS NOT DISTINCT FROM s.source),
 m_rates AS (
   SELECT d.*, t.source_size, t.target, row_number() OVER () AS rid,
-    CASE WHEN t.target > 0 THEN round(least({cap}::DOUBLE, t.target / t.source_size), 9) ELSE 0::DOUBLE END AS rate, {unit} AS u
-  FROM m_docs d JOIN m_targets t ON d.source IS NOT DISTINCT FROM t.source),
-m_parts AS (SELECT *, floor(rate)::BIGINT AS whole, rate - floor(rate) AS frac, size * {mixing.LARGE} > source_size AS large FROM m_rates),
+    CASE WHEN t.target > 0 THEN round(least({cap}::DOUBLE, CASE WHEN size >= {mixing.LONG} THEN {mixing.PREFERRED} ELSE 1 END * tilt), 9) ELSE 0::DOUBLE END AS rate, {unit} AS u
+  FROM m_docs d JOIN m_tilts t ON d.source IS NOT DISTINCT FROM t.source),
+m_parts AS (SELECT *, floor(rate)::BIGINT AS whole, rate - floor(rate) AS frac FROM m_rates),
 m_keys AS (SELECT *, CASE WHEN frac > 0 THEN (u / (1 - u)) / (frac / (1 - frac)) END AS key FROM m_parts),
-m_rest AS (SELECT source, any_value(target) - sum(size * whole) - sum(CASE WHEN large AND key <= 1 THEN size ELSE 0 END) AS rest FROM m_keys GROUP BY source),
+m_rest AS (SELECT source, any_value(target) - sum(size * whole) AS rest FROM m_keys GROUP BY source),
 m_order AS (
   SELECT rid, sum(size) OVER (PARTITION BY source ORDER BY key RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
-    - sum(size) OVER (PARTITION BY source, key) / 2 AS middle FROM m_keys WHERE NOT large AND frac > 0),
+    - sum(size) OVER (PARTITION BY source, key) / 2 AS middle FROM m_keys WHERE frac > 0 AND size > 0),
 m_copies AS (
-  SELECT k.*, CASE WHEN size = 0 THEN 0 ELSE whole + CASE WHEN (large AND key <= 1) OR (NOT large AND o.middle <= r.rest) THEN 1 ELSE 0 END END AS copies
+  SELECT k.*, CASE WHEN size = 0 THEN 0 ELSE whole + CASE WHEN o.middle <= r.rest THEN 1 ELSE 0 END END AS copies
   FROM m_keys k JOIN m_rest r ON k.source IS NOT DISTINCT FROM r.source LEFT JOIN m_order o USING (rid))
-SELECT * EXCLUDE (rid, u, key, whole, frac, large), (size * copies)::BIGINT AS taken FROM m_copies"""
+SELECT * EXCLUDE (rid, u, key, whole, frac), (size * copies)::BIGINT AS taken FROM m_copies"""
 
 
 def mixing_query() -> str:

@@ -42,6 +42,21 @@ def test_targets_copies_and_reruns(spark):
     assert mixing.repeat_copies(got, ["doc_id"]).count() == got.agg(F.sum("copies")).first()[0]
 
 
+def test_few_unequal_documents_meet_their_target(spark):
+    """Sources of 5 to 60 documents, one of them much longer than the others, end within half a document of the target."""
+    texts, sources = [], []
+    for k in range(12):
+        for i in range(5 + 5 * k):
+            texts.append(prose(k * 100 + i, 1000 if i == 0 else 3 + (i * 53 + k) % 400))
+            sources.append(f"s{k:02d}")
+    table = docs(spark, texts, sources=sources)
+    size = mixing.n_words("text")
+    for base in (None, mixing.length_base(size)):
+        got = mixing.mix(table, size, base=base).groupBy("source").agg(F.sum("taken").alias("t"), F.max("size").alias("m"), F.first("target").alias("g"))
+        for r in got.collect():
+            assert abs(r.t - r.g) <= r.m / 2 + 1e-6
+
+
 def test_base_rates_tilt_within_a_source(spark):
     table = docs(spark, [prose(i, 100) for i in range(300)], sources=["a"] * 100 + ["b"] * 200)
     base = F.when(F.col("doc_id") % 2 == 0, 2.0).otherwise(0.5)
