@@ -35,7 +35,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many copies of each document as its source's target asks for."""
     rows = docs.select(F.struct(*docs.columns).alias("whole_row"), "doc_id", "source", mixing.n_words("text").alias("n_words"))
-    return mixing.repeat_copies(mixing.mix(rows, F.col("n_words")), ["whole_row.*"])
+    return mixing.repeat_copies(mixing.mix(rows, F.col("n_words"), base=mixing.length_base(F.col("n_words"))), ["whole_row.*"])
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
