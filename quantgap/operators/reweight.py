@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quantgap.functions.scalar import if_else, known_in
 from quantgap.operators.joins import join_null_safe
 
-PREFIX_DIGITS = 3
+ROWS_PER_PREFIX = 65_536
 
 
 def composition_weights(df: DataFrame, cohort: str, origin: str, base, name: str = "w_origin") -> DataFrame:
@@ -25,23 +25,25 @@ def stratified_sample(
 ) -> DataFrame:
     """Exactly ``quota(stratum size)`` rows of each stratum, without replacement, the first in the order of a hash.
 
-    ``quota`` is an expression over ``_size``, the stratum columns and ``constants``, columns with one value per stratum.  Hash prefixes are counted first: whole prefixes
-    below the quota are kept as they are, and only the rows of the one prefix in which the quota falls are ranked.  A
-    stratum holding most of the table therefore never meets in one task.
+    ``quota`` is an expression over ``_size``, the stratum columns and ``constants``, columns with one value per stratum.
+    Rows are counted by hash prefixes, of as many digits as leave about ``ROWS_PER_PREFIX`` rows of the stratum to one;
+    prefixes beyond the quota fall out in the join, and rows are ranked inside their prefix only.  A stratum holding most
+    of the table therefore never meets in one task.
     """
+    sizes = df.groupBy(*strata).agg(F.count(F.lit(1)).alias("_size"), *[F.max(c).alias(f"_{c}") for c in constants])
+    digits = F.greatest(F.lit(1.0), F.ceil(F.log(16.0, F.col("_size") / F.lit(float(ROWS_PER_PREFIX))))).cast("int")
+    sizes = sizes.withColumn("_digits", digits)
     digest = F.md5(F.concat_ws("-", F.lit(str(seed)), F.col(row_key)))
-    hashed = df.withColumn("_hash", digest).withColumn("_prefix", F.substring("_hash", 1, PREFIX_DIGITS))
-    whole = W.partitionBy(*strata)
-    up_to = whole.orderBy("_prefix").rowsBetween(W.unboundedPreceding, 0)
-    sizes = hashed.groupBy(*strata, "_prefix").agg(F.count(F.lit(1)).alias("count"), *[F.max(c).alias(c) for c in constants])
-    plan = sizes.withColumn("_size", F.sum("count").over(whole)).withColumn("_upto", F.sum("count").over(up_to))
-    plan = plan.withColumn("_quota", quota).withColumn("_left", F.col("_quota") - (F.col("_upto") - F.col("count")))
-    plan = plan.where("_left > 0").select(*strata, "_prefix", "_left", (F.col("_left") >= F.col("count")).alias("_whole"))
+    hashed = join_null_safe(df, sizes.select(*strata, "_digits"), strata, "inner").withColumn("_hash", digest)
+    hashed = hashed.withColumn("_prefix", F.col("_hash").substr(F.lit(1), F.col("_digits"))).drop("_digits")
+    up_to = W.partitionBy(*strata).orderBy("_prefix").rowsBetween(W.unboundedPreceding, 0)
+    counts = hashed.groupBy(*strata, "_prefix").agg(F.count(F.lit(1)).alias("count"))
+    plan = join_null_safe(counts, sizes.withColumnsRenamed({f"_{c}": c for c in constants}), strata, "inner")
+    plan = plan.withColumn("_left", quota - (F.sum("count").over(up_to) - F.col("count")))
+    plan = plan.where("_left > 0").select(*strata, "_prefix", "_left")
     chosen = join_null_safe(hashed, plan, [*strata, "_prefix"], "inner")
-    complete = chosen.where("_whole")
     rank = F.row_number().over(W.partitionBy(*strata, "_prefix").orderBy("_hash", row_key))
-    partial = chosen.where("NOT _whole").withColumn("_rank", rank).where(F.col("_rank") <= F.col("_left")).drop("_rank")
-    return complete.unionByName(partial).select(*df.columns)
+    return chosen.withColumn("_rank", rank).where(F.col("_rank") <= F.col("_left")).select(*df.columns)
 
 
 def missing_rate(df: DataFrame, by: list[str], value: str, name: str = "n_inconnu") -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quantgap.operators import draws, samples
+from quantgap.operators import draws, reweight, samples
 from quantgap.operators.resample import (
     bootstrap_wasserstein,
     interval_constants,
@@ -154,7 +154,9 @@ def test_bootstrap_surrounds_the_estimate(spark, method):
     assert r.reps == 40 and r.lo < 1.05 < r.hi and r.hi - r.lo < 0.6
 
 
-def test_stratified_sample_is_exact(spark):
+@pytest.mark.parametrize("rows_per_prefix", [65_536, 5])
+def test_stratified_sample_is_exact(spark, monkeypatch, rows_per_prefix):
+    monkeypatch.setattr(reweight, "ROWS_PER_PREFIX", rows_per_prefix)
     rows = [(i, "big" if i % 10 else "small", 0.25 if i % 10 else 0.5) for i in range(5000)]
     df = spark.createDataFrame(rows, "id long, s string, rate double")
     out = stratified_by_rate(df, ["s"], "rate", "id").toPandas()
