@@ -3,7 +3,8 @@
 Paragraphs pass points for length and commas to the elements above them, less the further up; an element's points are
 discounted by the share of its text that is link text.  The best element and those siblings that are not mostly links are
 kept, whatever their length.  Menus, page headers and footers, side bars, notices, adverts, forms, scripts, styles and reader comments are
-taken out before and never score.  Each page is worked on in its own row; nothing is shuffled.
+taken out before and never score.  Each page is worked on in its own row, in time and memory linear in its length whatever
+its tags; nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -42,9 +43,28 @@ NOISE_NAME = re.compile(
 )
 # Names of adverts and reader comments, which may be the larger part of a page.
 SURE_NAME = re.compile(PLACE + r"(?:ads?|advert(?:s|isements?)?|adsense|comments?|disqus(?:[_-]thread)?|repl(?:y|ies)|respond)" + KIND, re.I)
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(/?)(?:>|\Z)", re.S)
+# Other names speak by their parts, "fb-comments" or "sideNav", unless a part tells a state of the page, as "no-sidebar" does.
+STATE_PARTS = set("has no not with without is non open opened closed enabled disabled active free blocker layout template theme".split())
+TEXT_PARTS = set("content article post entry story body main page text".split())
+SURE_PARTS = set(
+    "ad ads adv advert adverts advertisement advertisements advertising adsense adsbygoogle adslot adunit dfp gpt doubleclick taboola outbrain "
+    "comment comments commentlist commenting commentform disqus dsq livefyre spotim replies respond".split()
+)
+NOISE_PARTS = set(
+    "nav navbar subnav sidenav topnav navigation breadcrumb breadcrumbs sidebar rail cookie cookies gdpr consent newsletter masthead pagination pager "
+    "popup modal toolbar topbar addthis sharethis sponsored promo promos skyscraper interstitial".split()
+)
+NOISE_PAIRS = set(
+    "top-bar side-bar side-column left-column right-column left-col right-col left-rail right-rail side-panel share-bar share-buttons social-share "
+    "social-links sign-up sign-in log-in".split()
+)
+# Words that name sections of articles too: as a class they name reader comments, as an id they do not.
+CLASS_NAMES = set("discussion discussions responses response-list thread".split())
+SIGNED_PARTS = set("author byline avatar username commenter nickname".split())
+DATED_PARTS = set("date time timestamp datetime ago published".split())
+PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(/?)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
-CLASS = re.compile(r"\bclass\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 SPACE = re.compile(r"\s+")
 
 POINTS_LENGTH = 100  # one point for so many characters, three at most
@@ -55,58 +75,96 @@ ship(__name__)
 
 
 class Node:
-    __slots__ = ("tag", "up", "children", "noise", "named", "kind", "score", "chars", "links")
+    __slots__ = ("tag", "up", "children", "noise", "named", "kind", "traits", "score", "chars", "links", "weight", "sure", "any", "within", "main", "inside")
 
-    def __init__(self, tag: str, up: "Node | None", noise: bool = False, named: int = 0, kind: str = ""):
-        self.tag, self.up, self.noise, self.named, self.kind = tag, up, noise, named, kind
+    def __init__(self, tag: str, up: "Node | None", noise: bool = False, named: int = 0, kind: str = "", traits: int = 0):
+        self.tag, self.up, self.noise, self.named, self.kind, self.traits = tag, up, noise, named, kind, traits
         self.children: list = []
-        self.score, self.chars, self.links = 0.0, 0, 0
-
-
-def _noise(tag: str, attributes: str, up: Node) -> bool:
-    if tag in DROP or (tag == "header" and not _within(up, "article", "main")):
-        return True
-    if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        self.score, self.chars, self.links, self.weight = 0.0, 0, 0, 0.0
+        self.sure = self.any = self.within = self.inside = False
+        self.main = 0
+
+
+def judge_name(name: str, is_class: bool = True) -> int:
+    """1 if a class or id names noise, 2 if it names adverts or reader comments, else 0."""
+    if SURE_NAME.fullmatch(name):
+        return 2
+    if NOISE_NAME.fullmatch(name):
+        return 1
+    if is_class and name.lower() in CLASS_NAMES:
+        return 1
+    parts = [part.lower() for part in PART.findall(name)]
+    found = set(parts)
+    if found & STATE_PARTS or ":" in name:
+        return 0
+    if found & SURE_PARTS:
+        return 1 if found & TEXT_PARTS else 2
+    return 1 if found & NOISE_PARTS or any(f"{a}-{b}" in NOISE_PAIRS for a, b in zip(parts, parts[1:])) else 0
+
+
+def _read(tag: str, attributes: str, in_main: bool) -> tuple[bool, int, str, int]:
+    """``(is noise, what the names say, classes as written, 1 for an author's name + 2 for a date)`` of an element."""
+    noise = tag in DROP or (tag == "header" and not in_main)
+    traits = 2 if tag == "time" else 0
+    if not attributes:
+        return noise, 0, "", traits
+    named, kind = 0, ""
+    whole = tag in ("html", "body", "article", "main")
     for match in ATTRIBUTE.finditer(attributes):
         name, value = match[1].lower(), match[2] or match[3] or match[4] or ""
-        if name == "role" and value.lower() in NOISE_ROLE or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
-        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
-
-
-def _named(tag: str, attributes: str) -> int:
-    """1 if a class or id names noise, 2 if it names adverts or reader comments."""
-    found = 0
-    if attributes and tag not in ("html", "body", "article", "main"):
-        for match in ATTRIBUTE.finditer(attributes):
-            if match[1].lower() in ("class", "id"):
-                for name in (match[2] or match[3] or match[4] or "").split():
-                    found = max(found, 2 if SURE_NAME.fullmatch(name) else 1 if NOISE_NAME.fullmatch(name) else 0)
-    return found
-
-
-def _kind(attributes: str) -> str:
-    """The classes of an element, as written."""
-    match = CLASS.search(attributes) if attributes else None
-    return (match[1] or match[2] or match[3] or "") if match else ""
-
-
-def _within(node: Node | None, *tags: str) -> bool:
-    while node is not None:
-        if node.tag in tags:
-            return True
-        node = node.up
-    return False
+        if name in ("class", "id"):
+            if name == "class" and not kind:
+                kind = value
+            for word in value.split():
+                if not whole:
+                    named = max(named, judge_name(word, name == "class"))
+                parts = {part.lower() for part in PART.findall(word)}
+                traits |= (1 if parts & SIGNED_PARTS else 0) | (2 if parts & DATED_PARTS else 0)
+        elif whole:
+            continue
+        elif name == "role" and value.lower() in NOISE_ROLE or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
+            noise = True
+        elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+            noise = True
+    return noise, named, kind, traits
+
+
+class Open:
+    """The open elements, and for each tag the depths at which it is open: what a tag closes is known without a walk."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.depths = [root], {}
+        self.scopes, self.table_scopes = [0], [0]  # depths of elements that paragraphs, or cells, do not reach beyond
+
+    def last(self, tag: str) -> int:
+        depths = self.depths.get(tag)
+        return depths[-1] if depths else 0
+
+    def push(self, node: Node) -> None:
+        depth = len(self.nodes)
+        self.nodes.append(node)
+        self.depths.setdefault(node.tag, []).append(depth)
+        if node.tag in SCOPE:
+            self.scopes.append(depth)
+            if node.tag not in ("td", "th"):
+                self.table_scopes.append(depth)
+
+    def close(self, depth: int) -> None:
+        """Close the element at ``depth`` and all inside."""
+        while len(self.nodes) > depth:
+            self.depths[self.nodes.pop().tag].pop()
+        for scopes in (self.scopes, self.table_scopes):
+            while scopes[-1] >= depth:
+                scopes.pop()
 
 
 def parse(page: str) -> Node:
     """Tree of elements and strings; missing and stray end tags are forgiven, a cut page ends all that is open."""
-    root = here = Node("#root", None)
+    root = Node("#root", None)
+    opened = Open(root)
     at, end = 0, len(page)
     while at < end:
+        here = opened.nodes[-1]
         match = TOKEN.search(page, at)
         if match is None:
             here.children.append(page[at:])
@@ -118,11 +176,9 @@ def parse(page: str) -> Node:
             continue
         tag = match[2].lower()
         if match[1]:  # an end tag closes down to its element, if that is open
-            node = here
-            while node is not root and node.tag != tag:
-                node = node.up
-            if node is not root:
-                here = node.up
+            depth = opened.last(tag)
+            if depth:
+                opened.close(depth)
             elif tag == "p":
                 here.children.append(Node("p", here))
             continue
@@ -131,20 +187,20 @@ def parse(page: str) -> Node:
             at = close.end() if close else end
             continue
         if tag in BLOCK or tag in CLOSES:  # a block ends an open paragraph, an item the item before it
-            ends, node = CLOSES.get(tag, set()), here
-            while node is not root and node.tag not in SCOPE - ends:
-                if node.tag == "p" or node.tag in ends:
-                    here = node.up
-                    if node.tag != "p":
-                        break
-                node = node.up
-            else:
-                if node.tag in ends:
-                    here = node.up
-        node = Node(tag, here, here.noise or _noise(tag, match[3], here), _named(tag, match[3]), _kind(match[3]))
+            ends = CLOSES.get(tag, ())
+            scope = (opened.table_scopes if "td" in ends else opened.scopes)[-1]
+            reached = max((d for d in map(opened.last, ends) if d > scope), default=scope)
+            # Paragraphs inside the item that ends go with it.
+            close = reached if reached > scope else opened.last("p")
+            if close > scope:
+                opened.close(close)
+            here = opened.nodes[-1]
+        in_main = bool(opened.last("article") or opened.last("main"))
+        noise, named, kind, traits = _read(tag, match[3], in_main)
+        node = Node(tag, here, here.noise or noise, named, kind, traits)
         here.children.append(node)
         if tag not in VOID and not match[4]:
-            here = node
+            opened.push(node)
     return root
 
 
@@ -196,49 +252,62 @@ def points(owner: Node, text: str) -> float:
     return 1 + text.count(",") + min(len(text) / POINTS_LENGTH, 3)
 
 
+def threads(order: list[Node]) -> list[list[Node]]:
+    """Groups of two or more neighbours of one tag and class that each carry an author's name and a date: comments, or a list of posts."""
+    traits = {id(node): node.traits for node in order}
+    for node in reversed(order):
+        if node.up is not None and id(node.up) in traits:
+            traits[id(node.up)] |= traits[id(node)]
+    groups = []
+    for node in order:
+        alike: dict[tuple[str, str], list[Node]] = {}
+        for child in node.children:
+            if isinstance(child, Node) and not child.noise and child.tag in BLOCK and traits.get(id(child)) == 3:
+                alike.setdefault((child.tag, child.kind), []).append(child)
+        groups.extend(group for group in alike.values() if len(group) > 1)
+    return groups
+
+
 def take_out(root: Node, least: int) -> float:
-    """Mark what names of ``least`` or above take out; returns the unlinked text that names of 1 and 0 hold.
+    """Mark what names of ``least`` or above, or its build as a thread, take out; returns the unlinked text of the rest.
 
     A name of 1 does not count for an element that holds most of the page's points, a main element, or an article if
-    there is none outside.
+    there is none outside; nor does a thread whose posts hold a third of the points together.
     """
-    named = [n for n in _elements(root) if n.named >= least and not n.noise]
-    if not named:
-        return 0.0
+    order = [node for node in _elements(root) if not node.noise]  # from the top down
     total = unlinked = 0.0
-    held: dict[int, float] = {}
-    marks: dict[int, set[str]] = {}
     free = False  # an article or main element with points outside
+    for node in order:
+        up = node.up
+        node.sure = node.named > 1 or up is not None and up.sure
+        node.any = node.named > 0 or up is not None and up.any
+        node.within = node.tag in ("article", "main") or up is not None and up.within
+        node.weight, node.main, node.chars = 0.0, 0, 0
     for owner, text, links in blocks(root):
-        worth, names, article = points(owner, text), [], set()
-        node: Node | None = owner
-        while node is not None:
-            if node.tag in ("article", "main"):
-                article.add(node.tag)
-            if node.named:
-                names.append(node)
-                if article:
-                    marks.setdefault(id(node), set()).update(article)
-            node = node.up
-        if all(n.named < 2 for n in names):
+        worth = points(owner, text)
+        owner.chars += len(text)
+        if not owner.sure:
             unlinked += len(text) - links
             total += worth
-            for n in names:
-                held[id(n)] = held.get(id(n), 0.0) + worth
-        if not names and worth and article:
-            free = True
-    for n in named:
-        inside = marks.get(id(n), ())
-        if n.named == 1 and (held.get(id(n), 0.0) * 2 > total or "main" in inside or "article" in inside and not free):
-            continue
-        n.noise = True
-    stack = [root]
-    while stack:
-        node = stack.pop()
-        for child in node.children:
-            if isinstance(child, Node):
-                child.noise = child.noise or node.noise
-                stack.append(child)
+            owner.weight += worth
+        free = free or bool(worth and owner.within and not owner.any)
+    for node in reversed(order):
+        if node.chars and node.tag in ("article", "main"):
+            node.main |= 1 if node.tag == "article" else 2
+        if node.up is not None:
+            node.up.weight += node.weight
+            node.up.main |= node.main
+            node.up.chars += node.chars
+    for node in order:
+        if node.named >= least and not (node.named == 1 and (node.weight * 2 > total or node.main & 2 or node.main & 1 and not free)):
+            node.noise = True
+    for group in threads(order) if least == 1 else ():
+        if sum(node.weight for node in group) * 3 < total and not any(node.main & 2 for node in group):
+            for node in group:
+                node.noise = True
+    for node in order:
+        node.chars = 0
+        node.noise = node.noise or node.up is not None and node.up.noise
     return unlinked
 
 
@@ -269,17 +338,19 @@ def scored_text(root: Node) -> str:
     for owner, text, links in found:
         value = points(owner, text)
         node, depth = owner if owner.tag in ("div", "section", "article", "main", "body", "td") else owner.up, 0
-        above = owner
-        while above is not None:
-            above.chars += len(text)
-            above.links += links
-            above = above.up
+        owner.chars += len(text)
+        owner.links += links
         while value and node is not None and node.tag != "#root" and depth < 5:
             node.score += value / (1 if depth == 0 else 2 if depth == 1 else 3 * depth)
             scored[id(node)] = node
             node, depth = node.up, depth + 1
+    order = list(_elements(root))
+    for node in reversed(order):
+        if node.up is not None:
+            node.up.chars += node.chars
+            node.up.links += node.links
     worth = lambda n: n.score * (1 - n.links / max(n.chars, 1))
-    articles = [n for n in {id(o): o for o in _elements(root)}.values() if n.tag in ("article", "main") and n.chars and not n.noise]
+    articles = [n for n in order if n.tag in ("article", "main") and n.chars and not n.noise]
     if scored:
         best = max(scored.values(), key=worth)
         # An element that a page marks as its article holds the best one, or is it.
@@ -305,10 +376,13 @@ def scored_text(root: Node) -> str:
                     if not child.noise and child.chars and child.links < LINKED * child.chars:
                         kept.add(id(child))
             node, up = up, up.up
-    return "\n".join(text for owner, text, links in found if _held(owner, kept) or owner is loose and links < LINKED * len(text))
+    for node in order:
+        node.inside = id(node) in kept or node.up is not None and node.up.inside
+    return "\n".join(text for owner, text, links in found if owner.inside or owner is loose and links < LINKED * len(text))
 
 
 def _elements(root: Node) -> Iterator[Node]:
+    """All elements, each after the one that holds it."""
     stack = [root]
     while stack:
         node = stack.pop()
@@ -316,16 +390,11 @@ def _elements(root: Node) -> Iterator[Node]:
         stack.extend(c for c in node.children if isinstance(c, Node))
 
 
-def _held(node: Node | None, kept: set[int]) -> bool:
-    while node is not None:
-        if id(node) in kept:
-            return True
-        node = node.up
-    return False
-
-
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", markup: str = "html") -> DataFrame:
-    """``(page_id, url, text, n_chars)`` per row of ``pages``; null and empty pages give empty texts, repeats stay."""
+    """``(page_id, url, text, n_chars)`` per row of ``pages``; null and empty pages give empty texts, repeats stay.
+
+    Very long pages are read whole, one at a time.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,3 +1,8 @@
+import random
+import time
+
+import pytest
+
 from quantgap.llm import html_text as h
 from tests.llm.helpers import rows
 
@@ -71,6 +76,60 @@ def test_short_sections_beside_a_long_one_are_kept():
     assert h.main_text(page(f"<div id=x>{parts}<div>Company, address, phone</div></div>")).split("\n") == [*want, "S", LONG]
 
 
+NOISE = """commentlist comment-thread comments-title comment-respond fb-comments dsq-thread livefyre discussion responses adsbygoogle
+    google-ad dfp-ad banner-ad taboola cookie-law-info side-nav navbar-nav top-bar left-column rail sideNav AdSlot""".split()
+
+
+@pytest.mark.parametrize("name", NOISE)
+def test_noise_by_parts_of_names(name):
+    article = f"<h1>Title</h1><p>{LONG}</p><p>{LONG} More, of, it.</p>"
+    for noise in ("ZZZ", f"ZZZ, {LONG}"):
+        inner = f"<div class='{name}'><p>{noise}</p></div>"
+        for body in (f"<div class=text>{article}</div>{inner}", f"<div class=text>{article}{inner}</div>", f"<article>{article}</article>{inner}"):
+            assert h.main_text(page(body)).split("\n") == ["Title", LONG, LONG + " More, of, it."]
+
+
+def test_parts_of_names_that_say_nothing():
+    for name in ["no-comments", "post-with-sidebar", "is-ad-free", "leads", "header-admin", "readable", "thread-count", "commented", "navy-blue", "railway"]:
+        assert h.judge_name(name) == 0, name
+    assert h.judge_name("discussion", is_class=False) == 0  # a section of a paper
+    body = f"<div><h2>Results</h2><p>{LONG}</p><section id=discussion><h2>Discussion</h2><p>{LONG} Two.</p></section></div>"
+    assert h.main_text(page(body)).split("\n") == ["Results", LONG, "Discussion", LONG + " Two."]
+
+
+def test_signed_and_dated_neighbours_are_a_thread():
+    article = f"<div class=text><h1>Title</h1>{f'<p>{LONG}</p>' * 12}</div>"
+    posts = "".join(f"<div class=row><b class=username>u{i}</b> <time>today</time><p>{LONG} I say {i}.</p></div>" for i in range(3))
+    assert h.main_text(page(article + posts)).split("\n") == ["Title"] + [LONG] * 12
+    assert h.main_text(page(posts)).count("I say") == 3  # a page of posts is a text of posts
+
+
+def test_generated_pages_give_their_article():
+    rng = random.Random(5)
+    phrase = lambda k: f"Sentence {k}, with so many words, as a paragraph of an article has {rng.randint(1, 10**9)}."
+    for _ in range(150):
+        want, body = [], []
+        for _ in range(rng.randint(4, 15)):
+            kind = rng.choice(["p", "p", "p", "h2", "li", "blockquote"])
+            text = phrase(rng.randint(0, 99))
+            want.append(text.replace("paragraph", "par & graph"))
+            marked = want[-1].replace("&", "&amp;").replace("many", rng.choice(["many", "<b>many</b>", "<span>many</span>"])).replace(" as ", rng.choice([" as ", "\n  as\t"]))
+            body.append(f"<ul><li>{marked}</ul>" if kind == "li" else f"<{kind}>{marked}</{kind}>")
+        noise = lambda: rng.choice(["", f"<div class={rng.choice(NOISE)}><p>ZZZ {phrase(7)}</p></div>", "<script>ZZZ</script>", "<nav><a href=/>ZZZ</a></nav>", f"<aside>ZZZ {phrase(1)}</aside>"])
+        inside = "".join(block + (noise() if rng.random() < 0.2 else "") for block in body)
+        holder = rng.choice(["<article>{}</article>", "<div class=text>{}</div>", "<main><div>{}</div></main>", "<div id=content class='no-sidebar'>{}</div>"])
+        got = h.main_text(page(noise() + holder.format(inside) + noise() + noise()))
+        assert got.split("\n") == want
+
+
+def test_long_pages_of_stray_tags_are_linear():
+    for piece in ("<div>x", "<div>x</b></i>", "<header>x", "<li>a<p>b", "<h1>b", "<a '", "<span>y"):
+        long = "<p>a<div>" + piece * 30_000
+        began = time.monotonic()
+        h.main_text(long)
+        assert time.monotonic() - began < 20, piece  # quadratic work would take minutes
+
+
 def test_query_shape(spark):
     table = spark.createDataFrame([(1, "u", f"<article><p>{LONG}</p>"), (1, "u", None), (None, None, "")], "page_id bigint, url string, html string")
     assert sorted(rows(h.extract(table), "page_id", "url", "text", "n_chars"), key=str) == [(1, "u", "", 0), (1, "u", LONG, len(LONG)), (None, None, "", 0)]
