@@ -154,8 +154,9 @@ def _feistel(value: str, total: str, seed: int) -> str:
 
 
 def sharding_rows(keyed: str, keys: list[str], shards: int, seed: int = 7) -> str:
-    """Shard and slot of each row of ``keyed``, ordered by the md5 of the first key and then the keys."""
-    order = ", ".join([f"md5(coalesce({keys[0]}::VARCHAR, ''))", *[f"{k} NULLS LAST" for k in keys]])
+    """Shard and slot of each row of ``keyed``, ordered by the md5 of the first key, that of the others, and then the keys."""
+    text = [f"coalesce({k}::VARCHAR, '')" for k in keys]
+    order = ", ".join([f"md5({text[0]})", f"md5(concat_ws('|', {', '.join(text[1:] or [repr('')])}))", *[f"{k} NULLS LAST" for k in keys]])
     return f"""
 WITH RECURSIVE s_rows AS (SELECT *, row_number() OVER (ORDER BY {order}) - 1 AS n, count(*) OVER () AS total FROM {keyed}),
 s_sides AS (SELECT *, greatest(1, ceil(sqrt(total::DOUBLE))::BIGINT) AS a FROM s_rows),
