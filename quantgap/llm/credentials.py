@@ -2,8 +2,8 @@
 
 Sure findings stand alone: assignments to a password-like name, access identifiers of a known form, long hexadecimal runs.
 Weak parts (account names, unlabelled long keys, service addresses) mean little alone and are reported only where
-complementary parts meet: the intervals of identifiers, secrets and endpoints, widened by ``REACH``, are joined inside a
-scope, a block of lines without an empty line.  The join sweeps sorted intervals within a row; nothing is shuffled.
+complementary parts meet: the intervals of identifiers, secrets and endpoints are joined with those of the scopes, the
+sections of a text, however far apart they are in one.  The join sweeps sorted intervals within a row; nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -35,8 +35,8 @@ WEAK = {
 }
 ROLE = {"assign": "secret", "access": "identifier", "hex": "secret", "identifier": "identifier", "key": "secret", "endpoint": "endpoint"}
 COMPLEMENTS = {"identifier": ("secret",), "secret": ("identifier", "endpoint"), "endpoint": ("secret",)}
-REACH = 400
-SCOPE = re.compile(r"\n[^\S\n]*\n")
+# A section begins at a heading of an INI or Markdown text, a rule of signs, a form feed or an armoured block; a text without is one scope.
+SCOPE = re.compile(r"^(?:\[[^\]\n]+\][^\S\n]*$|\#{1,6}\x20[^\n]*$|(?:-{3,}|={3,}|\*{3,}|_{3,})[^\S\n]*$|-----BEGIN\b)|\x0c", re.M)
 
 ship(__name__)
 
@@ -74,26 +74,9 @@ def linked_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int,
     if not weak:
         return base, base
     breaks = [m.start() for m in SCOPE.finditer(text)]
-    # Per scope and role the sorted starts and the ends; an interval meets another if it begins before the other's
-    # widened end and ends after its widened start.
-    places: dict[tuple[int, str], list[tuple[int, int]]] = {}
-    for start, kind, end in sorted(base + weak):
-        places.setdefault((bisect_right(breaks, start), ROLE[KINDS[kind]]), []).append((start, end))
-    tops = {}
-    for at, parts in places.items():
-        most, tops[at] = 0, []
-        for _, end in parts:
-            most = max(most, end)
-            tops[at].append(most)
-    kept = []
-    for start, kind, end in weak:
-        scope = bisect_right(breaks, start)
-        for role in COMPLEMENTS[ROLE[KINDS[kind]]]:
-            parts = places.get((scope, role), [])
-            k = bisect_right(parts, (end + REACH, 0))
-            if k and tops[scope, role][k - 1] >= start - REACH:
-                kept.append((start, kind, end))
-                break
+    scope = lambda start: bisect_right(breaks, start)
+    held = {(scope(start), ROLE[KINDS[kind]]) for start, kind, _ in base + weak}
+    kept = [(start, kind, end) for start, kind, end in weak if any((scope(start), role) in held for role in COMPLEMENTS[ROLE[KINDS[kind]]])]
     return base, sorted(base + kept)
 
 
