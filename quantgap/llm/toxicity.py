@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 from quantgap.llm.common import ship
 
 SAMPLE = 20_000  # labelled rows that a model is fitted on at most, the first in the order of a hash of their ids
-LEXICON = 2_000  # learned insults at most, the clearest first
 DENSITY = 100.0  # the weight per word counts as that of so many words
 FALSE_SHARE = 0.1  # share of words that may be in the lexicon by chance
 RIDGE = 0.05
@@ -37,6 +36,8 @@ NEGATIONS = "not no never don't isn't aren't wasn't nobody neither nor nicht kei
 REPORTS = "said says say told tells wrote writes quoted called claims claimed allegedly sagte sagt schrieb behauptet dit disait écrit dijo dice escribió".split()
 THREATS = "kill hurt destroy beat murder shoot stab burn töten schlagen umbringen tuer frapper détruire brûler matar golpear destruir quemar".split()
 
+# Endings that leave a threat what it is, in the languages of the lists.
+ENDINGS = ("", "s", "es", "ed", "d", "ing", "t", "te", "ten", "st", "en", "e", "é", "ée", "és", "er", "ez", "ons", "ent", "ai", "era", "ado", "ando", "iendo", "aré", "eré", "iré", "ó", "o", "a", "as", "an")
 PARTS = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[.!?;:\n]|[\"«»“”]|,")
 ENDS = set(".!?;:\n")
 QUOTES = set("\"«»“”")
@@ -66,17 +67,34 @@ class Model:
     weights: list[float]  # of the outputs, of their density, and last the constant
 
 
+def inflected(verb: str) -> set[str]:
+    """Regular forms of a verb: its stem with each ending, a final consonant doubled or not."""
+    stem = verb
+    for ending in ("en", "er", "ar", "ir", "re", "e"):
+        if verb.endswith(ending) and len(verb) - len(ending) >= 4:
+            stem = verb[: -len(ending)]
+            break
+    stems = {verb, stem} | ({stem + stem[-1]} if stem[-1] in "bdgmnprt" else set())
+    return {verb} | {s + ending for s in stems for ending in ENDINGS if len(s + ending) >= len(verb) - 1}
+
+
 def transducer(insults: dict[str, float]) -> dict[str, tuple[str, float]]:
     """Word to symbol and weight; a learned insult takes precedence over the fixed lists."""
-    table = {w: (symbol, 1.0) for symbol, group in (("H", THREATS), ("R", REPORTS), ("N", NEGATIONS), ("T", TARGETS)) for w in group}
+    table = {w: ("H", 1.0) for verb in THREATS for w in inflected(verb)}
+    table |= {w: (symbol, 1.0) for symbol, group in (("H", THREATS), ("R", REPORTS), ("N", NEGATIONS), ("T", TARGETS)) for w in group}
     return table | {w: ("I", weight) for w, weight in insults.items()} | {q: ("R", 1.0) for q in QUOTES} | {",": (",", 0.0)}
 
 
+def lowered(text: str) -> str:
+    """Lower case with one kind of apostrophe."""
+    return text.lower().replace("\u2019", "'").replace("\u02bc", "'")
+
+
 def outputs(text: str, table: dict[str, tuple[str, float]]) -> list[float]:
     """What the composed transducers put on each output, and on all of them per word: logarithms of one plus the weights."""
     total = dict.fromkeys(OUTPUTS, 0.0)
     state, words = "start", 0
-    for part in PARTS.findall(text.lower()):
+    for part in PARTS.findall(lowered(text)):
         if part in ENDS:
             state = "start"
             continue
@@ -108,13 +126,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Da
     return docs.join(F.broadcast(known), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))  # at most ``limit`` rows
 
 
-def learn_insults(rows: DataFrame, size: int = LEXICON) -> dict[str, float]:
+def learn_insults(rows: DataFrame) -> dict[str, float]:
     """Words whose share among toxic texts exceeds the general one beyond chance, with their log-odds less one error."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text, toxic in zip(*batch.columns):
-                order = [w for w in PARTS.findall((text.as_py() or "").lower()) if w[0].isalpha()]
+                order = [w for w in PARTS.findall(lowered(text.as_py() or "")) if w[0].isalpha()]
                 found = sorted(set(order) | {w[:k] + "*" for w in set(order) for k in STEMS if len(w) > k})
                 if found:
                     columns = [pa.array(found), pa.array([toxic.as_py()] * len(found), pa.int32()), pa.array([sketch(order)] * len(found), pa.int64())]
@@ -136,7 +154,8 @@ def learn_insults(rows: DataFrame, size: int = LEXICON) -> dict[str, float]:
     odds = F.log((F.col("p") + 0.5) / (toxic - F.col("p") + 0.5)) - F.log((F.col("q") + 0.5) / (clean - F.col("q") + 0.5))
     doubt = F.sqrt(1 / (F.col("p") + 0.5) + 1 / (F.col("q") + 0.5))
     leading = by_word.where(share > base).select("word", gain.alias("gain"), (odds - doubt).alias("weight")).where("weight > 0")
-    leading = leading.orderBy(F.desc("gain"), "word").limit(size).collect()
+    # Words that fall short of the loosest bound of the rule below cannot enter; the others are few beside the sample.
+    leading = leading.where(F.col("gain") >= -math.log(FALSE_SHARE)).orderBy(F.desc("gain"), "word").collect()
     # Benjamini and Hochberg: with exp(-gain) as chance of a word, take words while the expected share of false ones stays low.
     last = max((i for i, r in enumerate(leading, 1) if -r["gain"] <= math.log(i * FALSE_SHARE / tried)), default=0)
     by_word.unpersist()

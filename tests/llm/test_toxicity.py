@@ -1,5 +1,8 @@
+import math
 import random
+import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from quantgap.llm import toxicity as t
@@ -41,6 +44,39 @@ def test_context_decides():
     assert on("not this. rotter") == {"plain"} and on("never kill") == {"void_threat"} and on("nice words") == set()
 
 
+def test_threats_in_their_forms():
+    table = t.transducer({})
+    on = lambda text: {o for o, v in zip(t.OUTPUTS, t.outputs(text, table)) if v}
+    for text in ("I\u2019m killing you", "he stabbed", "we burned", "she destroys", "sie schlagt", "ils frappent", "destroying", "murdered", "beating"):
+        assert on(text) & {"threat", "aimed_threat"}, text
+    assert on("he don\u2019t kill") == {"void_threat"}
+    for text in ("mate and mates", "skill", "murmur", "the stable", "burnish", "hurtle"):
+        assert not on(text), text
+
+
+def composed(text, insults):
+    """The grammar from its definition, clauses without commas: what stood before in the clause decides."""
+    total = dict.fromkeys(t.OUTPUTS, 0.0)
+    threats = {w for verb in t.THREATS for w in t.inflected(verb)}
+    for clause in re.split(r"[.!?;:\n]", text):
+        seen = []
+        for word in clause.split():
+            if word in insults or word in threats:
+                kind = "reported" if set(seen) & set(t.REPORTS) else "negated" if set(seen) & set(t.NEGATIONS) else "aimed" if set(seen) & set(t.TARGETS) else "plain"
+                total[kind if word in insults else {"plain": "threat", "aimed": "aimed_threat"}.get(kind, "void_threat")] += insults.get(word, 1.0)
+            seen.append(word)
+    return total
+
+
+def test_composition_equals_its_definition():
+    rng, insults = random.Random(3), {"rotter": 2.0, "lout": 0.5}
+    choice = ["you", "not", "never", "said", "rotter", "lout", "kill", "killing", "stabbed", "word", "other", ".", ";"]
+    for _ in range(500):
+        text = " ".join(rng.choice(choice) for _ in range(rng.randint(0, 30)))
+        got = [math.expm1(v) for v in t.outputs(text, t.transducer(insults))[:-1]]
+        assert got == pytest.approx(list(composed(text, insults).values())), text
+
+
 def test_odd_rows_and_missing_labels(spark):
     table = docs(spark, [None, "", "fine", "fine", "rotter " * 20_000], [1, 2, 3, 3, None])
     none = spark.createDataFrame([(3, 1, None), (None, 0, 1)], "doc_id bigint, quality int, toxic int")
