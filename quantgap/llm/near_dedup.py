@@ -10,7 +10,9 @@ shares, so a unique text costs two short arrays.  In larger buckets the support
 any other such class has too: a link needs three quarters of both sets' union to be common, so a class without that much
 support for the sizes it meets has no link there and leaves the bucket.  The best supported class of a bucket is its
 pivot; every class is compared with the pivot it shares most tables with, and classes that this joins need no further
-comparison among each other.  What is left are buckets that span several components: their pairs across components are
+comparison among each other.  Classes measured against one pivot have at most the smaller of their common shingles with it
+in common inside it; where that is too little they must share shingles that the pivot lacks, and these are few: they meet
+by the rarest of those.  What is left are buckets that span several components: their other pairs across components are
 compared, and a bucket with many such pairs is first divided by fresh bands.  All links are confirmed on full sets.
 """
 
@@ -35,6 +37,7 @@ FINE_LEVELS = 2  # sets of fresh bands that divide crowded buckets
 CROWDED = 64  # pairs across components per row of a bucket, beyond which it is divided
 SHARE = 75  # per cent
 LARGER = 16  # rows of a bucket from which on support is counted
+HEAVY = 256  # comparisons with one class, from which on it is copied and they are spread over the copies
 MASK = (1 << 64) - 1
 BLOCK = 8192
 
@@ -161,12 +164,20 @@ def support(sets: DataFrame, chosen: DataFrame) -> DataFrame:
     return chosen.withColumn("who", F.xxhash64("set_key")).join(counted, "who", "left").select("set_key", F.coalesce("s", F.lit(0)).alias("s"))
 
 
-def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs ``(x, y)`` with the sizes of their full sets and of what they have in common: ``nx, ny, both``."""
+def measured(pairs: DataFrame, sets: DataFrame, *more: Column) -> DataFrame:
+    """The pairs ``(x, y)`` with the sizes of their full sets and of what they have in common: ``nx, ny, both``.
+
+    ``more`` are further columns made of the sets ``hx`` and ``hy``.  A class that very many others are compared with is
+    copied and its pairs are spread over the copies.
+    """
+    load = pairs.groupBy("y").agg(F.ceil(F.count("*") / HEAVY).cast("int").alias("copies"))
+    spread = pairs.join(load.where("copies > 1"), "y", "left")
+    spread = spread.select("x", "y", F.pmod(F.xxhash64("x"), F.coalesce("copies", F.lit(1))).cast("int").alias("salt"))
     left = sets.select(F.col("set_key").alias("x"), F.col("hashes").alias("hx"))
-    right = sets.select(F.col("set_key").alias("y"), F.col("hashes").alias("hy"))
-    joined = pairs.join(left, "x").join(right, "y")
-    return joined.select("x", "y", F.size("hx").alias("nx"), F.size("hy").alias("ny"), F.size(F.array_intersect("hx", "hy")).alias("both"))
+    right = sets.select(F.col("set_key").alias("y"), F.col("hashes").alias("hy")).join(load, "y")
+    right = right.select("y", "hy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"))
+    joined = spread.join(left, "x").join(right, ["y", "salt"])
+    return joined.select("x", "y", F.size("hx").alias("nx"), F.size("hy").alias("ny"), F.size(F.array_intersect("hx", "hy")).alias("both"), *more)
 
 
 def linked(pairs: DataFrame) -> DataFrame:
@@ -205,14 +216,48 @@ def _across(rows: DataFrame) -> DataFrame:
 def _pairs(rows: DataFrame) -> DataFrame:
     left = rows.select("key", F.col("set_key").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"), F.col("s").alias("sx"), F.col("c").alias("cx"), F.col("i").alias("ix"))
     right = rows.select("key", F.col("set_key").alias("y"), F.col("root").alias("ry"), F.col("n").alias("ny"), F.col("s").alias("sy"), F.col("c").alias("cy"), F.col("i").alias("iy"))
-    # Two classes measured against one pivot share no more than what either shares with it, and with others outside it.
-    through = F.least("ix", "iy") + F.least(F.col("sx") - F.col("ix"), F.col("sy") - F.col("iy"))
-    most = F.when(F.col("cx") == F.col("cy"), F.least("sx", "sy", through)).otherwise(F.least("sx", "sy"))
+    # Two classes measured against one pivot that need shingles outside it are found by ``beside_pivot``.
+    most = F.when(F.col("cx") == F.col("cy"), F.least("sx", "sy", "ix", "iy")).otherwise(F.least("sx", "sy"))
     possible = compatible(most, F.col("nx"), F.col("ny"))
     met = left.join(right, "key").where((F.col("x") < F.col("y")) & (F.col("rx") != F.col("ry")) & possible)
     return met.select("x", "y").distinct()
 
 
+def beside_pivot(members: DataFrame) -> DataFrame:
+    """Pairs ``(x, y)`` of ``members (set_key, n, c, i, out, root)`` that only shingles beside their pivot can link.
+
+    ``c`` is the pivot, ``i`` the shingles shared with it, ``out`` those it lacks.  Two members of one pivot share at most
+    the smaller ``i`` inside it; a pair that needs ``k`` more has ``k`` in common of what both have beside it.  With these
+    in one order, rarest first, a member that needs ``k`` with its smallest possible mate meets that mate in all but its
+    last ``k - 1``, and from the first that agrees there are ``k`` left on either side.  Only members outside a pivot's
+    largest component ask; it answers.
+    """
+    by_root = members.groupBy("c", "root").agg(F.count("*").alias("m"), F.min("n").alias("least"))
+    clusters = by_root.groupBy("c").agg(F.max(F.struct("m", "root"))["root"].alias("main"), F.min("least").alias("least"), F.count("*").alias("roots"))
+    mate = F.greatest(F.expr(f"({SHARE} * n + 99) div 100"), F.col("least"))
+    rows = members.join(clusters.where("roots > 1").drop("roots"), "c").withColumn("need", F.greatest(F.lit(1), _least_common(F.col("n"), mate) - F.col("i")))
+    rows = rows.where(F.size("out") >= F.col("need"))
+    spread = rows.select("set_key", "c", F.explode("out").alias("h"))
+    often = spread.groupBy("c", "h").agg(F.count("*").alias("df")).where("df > 1")
+    listed = spread.join(often, ["c", "h"]).groupBy("set_key").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("list"))
+    rows = rows.drop("out").join(listed, "set_key").withColumn("r", F.size("list")).where(F.col("r") >= F.col("need"))
+    prefix = F.expr("slice(list, 1, cast(r - need + 1 as int))")
+    rows = rows.select("c", "set_key", "n", "i", "r", "root", (F.col("root") == F.col("main")).alias("inside"), F.posexplode(prefix).alias("at", "e"))
+    rows = cut_lineage(rows.select("c", F.col("e.h").alias("h"), "set_key", "n", "i", "root", "inside", (F.col("r") - F.col("at")).alias("rest")), "beside")
+    side = lambda end: [F.col(name).alias(name + end) for name in ("set_key", "n", "i", "root", "inside", "rest")]
+    joined = rows.where("NOT inside").select("c", "h", *side("x")).join(rows.select("c", "h", *side("y")), ["c", "h"])
+    sized = 100 * F.least("nx", "ny") >= SHARE * F.greatest("nx", "ny")
+    need = _least_common(F.col("nx"), F.col("ny")) - F.least("ix", "iy")
+    once = F.col("insidey") | (F.col("set_keyx") < F.col("set_keyy"))
+    met = joined.where(once & (F.col("rootx") != F.col("rooty")) & sized & (need >= 1) & (F.least("restx", "resty") >= need))
+    return met.select(F.least("set_keyx", "set_keyy").alias("x"), F.greatest("set_keyx", "set_keyy").alias("y")).distinct()
+
+
+def _least_common(m: Column, n: Column) -> Column:
+    """The fewest common shingles that link sets of ``m`` and ``n``."""
+    return F.ceil(SHARE * (m + n) / (100 + SHARE))
+
+
 def link_classes(classes: DataFrame, docs: DataFrame) -> DataFrame:
     """Components of linked classes, ``(node, root)``; ``classes`` holds ``(set_key, rep, n, a, b)``."""
     tables = cut_lineage(table_rows(classes), "tables")
@@ -232,16 +277,20 @@ def link_classes(classes: DataFrame, docs: DataFrame) -> DataFrame:
     star = buckets.join(pivots.where("rows > 1").select("key", "pivot"), "key").where(F.col("set_key") != F.col("pivot"))
     star = star.groupBy("set_key", "pivot").agg(F.count("*").alias("tables"))
     star = star.groupBy("set_key").agg(F.max(F.struct("tables", "pivot")).alias("best"))
-    star = star.select(F.col("set_key").alias("x"), F.col("best.pivot").alias("y"))
-    star = cut_lineage(measured(star, sets), "star")
+    star = cut_lineage(star.select(F.col("set_key").alias("x"), F.col("best.pivot").alias("y")), "chosen")
+    star = cut_lineage(measured(star, sets, F.array_except("hx", "hy").alias("out")), "star")
     first = linked(star)
     # Pivots whose shingles were counted bound what the classes measured against them can share; they themselves lie at it.
-    seen = star.join(backed.select(F.col("set_key").alias("y")), "y").select(F.col("x").alias("set_key"), F.col("y").alias("c"), F.col("both").alias("i"))
+    members = star.join(backed.select(F.col("set_key").alias("y")), "y").select(
+        F.col("x").alias("set_key"), F.col("nx").alias("n"), F.col("y").alias("c"), F.col("both").alias("i"), "out"
+    )
+    seen = members.select("set_key", "c", "i")
     centres = seen.select(F.col("c").alias("set_key")).distinct().join(star.select(F.col("x").alias("set_key")), "set_key", "left_anti")
     seen = cut_lineage(seen.union(centres.select("set_key", F.col("set_key").alias("c"), F.lit(None).cast("int").alias("i"))), "seen")
     placed = buckets.join(seen, "set_key", "left").select("key", "set_key", "n", "s", "c", F.coalesce("i", "n").alias("i"))
-    rows = with_root(placed, components(first))
-    found = []
+    roots = components(first)
+    rows = with_root(placed, roots)
+    found = [beside_pivot(cut_lineage(with_root(members, roots), "members"))]
     for level in range(FINE_LEVELS + 1):
         rows = cut_lineage(rows, "rows")
         spans = _across(rows)

@@ -98,3 +98,33 @@ def test_unlike_texts_under_one_id_stay(spark):
     either = [sorted([(1, near), *[(5, t) for t in lone], (7, t), (8, None), (8, " "), (None, near)], key=str) for t in (own, own + " tail")]
     assert got in either
     assert sorted(rows(n.keep_one(table.repartition(7)), "doc_id", "text"), key=str) == got
+
+
+def test_pairs_beside_a_pivot_lose_no_link(spark):
+    """Members of two pivots with edits of their own, edits shared by few, and parts the pivot lacks itself."""
+    rng = random.Random(11)
+    members, sets = [], {}
+    for c in range(2):
+        core = list(range(c * 10_000, c * 10_000 + 100))
+        pivot = set(core[: 100 - 3 * c])
+        families = [[rng.randrange(10**6, 2 * 10**6) for _ in range(rng.randrange(4, 14))] for _ in range(25)]
+        for k in range(160):
+            family = families[rng.randrange(25)]
+            hashes = set(core) - set(rng.sample(core, rng.randrange(0, 12))) - set(core[: len(family)]) | set(family)
+            hashes |= {rng.randrange(10**9, 10**10) for _ in range(rng.randrange(0, 5))}
+            key = f"{c}-{k}".encode()
+            sets[key] = hashes
+            linked = 100 * len(hashes & pivot) >= 75 * len(hashes | pivot)
+            members.append((bytearray(key), len(hashes), f"p{c}", len(hashes & pivot), sorted(hashes - pivot), b"top" if linked else key))
+    table = spark.createDataFrame(members, "set_key binary, n bigint, c string, i int, out array<bigint>, root binary")
+    got = {(bytes(x), bytes(y)) for x, y in rows(n.beside_pivot(table), "x", "y")}
+    known = {bytes(m[0]): (m[2], m[3], bytes(m[5])) for m in members}
+    expected = set()
+    for x in sets:
+        for y in sets:
+            (cx, ix, rx), (cy, iy, ry) = known[x], known[y]
+            common = len(sets[x] & sets[y])
+            if x < y and cx == cy and rx != ry and 100 * common >= 75 * len(sets[x] | sets[y]) and 175 * min(ix, iy) < 75 * (len(sets[x]) + len(sets[y])):
+                expected.add((x, y))
+    assert len(expected) > 50 and expected <= got and len(got) < 160 * 159 / 2
+    assert n.beside_pivot(table.limit(0)).count() == 0
