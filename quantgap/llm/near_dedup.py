@@ -170,12 +170,14 @@ def measured(pairs: DataFrame, sets: DataFrame, *more: Column) -> DataFrame:
     ``more`` are further columns made of the sets ``hx`` and ``hy``.  A class that very many others are compared with is
     copied and its pairs are spread over the copies.
     """
-    load = pairs.groupBy("y").agg(F.ceil(F.count("*") / HEAVY).cast("int").alias("copies"))
-    spread = pairs.join(load.where("copies > 1"), "y", "left")
+    load = pairs.groupBy("y").agg(F.ceil(F.count("*") / HEAVY).cast("int").alias("copies")).where("copies > 1")
+    load = cut_lineage(load, "load")
+    load = small_side(load, load.count(), 64)
+    spread = pairs.join(load, "y", "left")
     spread = spread.select("x", "y", F.pmod(F.xxhash64("x"), F.coalesce("copies", F.lit(1))).cast("int").alias("salt"))
     left = sets.select(F.col("set_key").alias("x"), F.col("hashes").alias("hx"))
-    right = sets.select(F.col("set_key").alias("y"), F.col("hashes").alias("hy")).join(load, "y")
-    right = right.select("y", "hy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"))
+    right = sets.select(F.col("set_key").alias("y"), F.col("hashes").alias("hy")).join(load, "y", "left")
+    right = right.select("y", "hy", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1)).alias("salt"))
     joined = spread.join(left, "x").join(right, ["y", "salt"])
     return joined.select("x", "y", F.size("hx").alias("nx"), F.size("hy").alias("ny"), F.size(F.array_intersect("hx", "hy")).alias("both"), *more)
 
@@ -207,10 +209,17 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _across(rows: DataFrame) -> DataFrame:
-    """Bucket keys that span several components, with the pairs across them: ``(key, crowd)``, crowd in pairs per row."""
-    by_root = rows.groupBy("key", "root").agg(F.count("*").alias("c"))
-    sums = by_root.groupBy("key").agg(F.sum("c").alias("rows"), F.sum(F.col("c") * F.col("c")).alias("inside"), F.count("*").alias("roots"))
-    return sums.where("roots > 1").select("key", ((F.col("rows") * F.col("rows") - F.col("inside")) / 2 / F.col("rows")).alias("crowd"))
+    """Bucket keys with pairs across components that ``_pairs`` can make: ``(key, crowd)``, crowd in such pairs per row.
+
+    Of two classes with one pivot both must be ``able``, share enough with it for the least mate they can have.
+    """
+    square = lambda name: F.sum(F.col(name) * F.col(name))
+    parts = rows.groupBy("key", F.coalesce("c", "set_key").alias("g"), "root").agg(F.count("*").alias("m"), F.count_if("able").alias("a"))
+    by_pivot = parts.groupBy("key", "g").agg(F.sum("m").alias("m"), F.sum("a").alias("a"), (square("m") - square("a")).alias("inside"))
+    by_pivot = by_pivot.groupBy("key").agg(F.sum("m").alias("rows"), (square("m") - square("a") - F.sum("inside")).alias("unable"))
+    by_root = parts.groupBy("key", "root").agg(F.sum("m").alias("m")).groupBy("key").agg(square("m").alias("inside"), F.count("*").alias("roots"))
+    pairs = (F.col("rows") * F.col("rows") - F.col("inside") - F.col("unable")) / 2
+    return by_root.where("roots > 1").join(by_pivot, "key").where(pairs > 0).select("key", (pairs / F.col("rows")).alias("crowd"))
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
@@ -272,7 +281,7 @@ def link_classes(classes: DataFrame, docs: DataFrame) -> DataFrame:
     )
     # The smallest mate a class can have here has the bucket's least size, or three quarters of its own.
     mate = F.greatest(F.col("least"), F.col("n") * SHARE / 100)
-    buckets = cut_lineage(known.where(compatible("s", F.col("n"), mate)).drop("least"), "buckets")
+    buckets = cut_lineage(known.where(compatible("s", F.col("n"), mate)), "buckets")
     pivots = buckets.groupBy("key").agg(F.count("*").alias("rows"), F.max(F.struct(F.col("s") / F.col("n"), "set_key"))["set_key"].alias("pivot"))
     star = buckets.join(pivots.where("rows > 1").select("key", "pivot"), "key").where(F.col("set_key") != F.col("pivot"))
     star = star.groupBy("set_key", "pivot").agg(F.count("*").alias("tables"))
@@ -287,7 +296,8 @@ def link_classes(classes: DataFrame, docs: DataFrame) -> DataFrame:
     seen = members.select("set_key", "c", "i")
     centres = seen.select(F.col("c").alias("set_key")).distinct().join(star.select(F.col("x").alias("set_key")), "set_key", "left_anti")
     seen = cut_lineage(seen.union(centres.select("set_key", F.col("set_key").alias("c"), F.lit(None).cast("int").alias("i"))), "seen")
-    placed = buckets.join(seen, "set_key", "left").select("key", "set_key", "n", "s", "c", F.coalesce("i", "n").alias("i"))
+    placed = buckets.join(seen, "set_key", "left").select("key", "set_key", "n", "s", "c", F.coalesce("i", "n").alias("i"), "least")
+    placed = placed.withColumn("able", compatible("i", F.col("n"), mate)).drop("least")
     roots = components(first)
     rows = with_root(placed, roots)
     found = [beside_pivot(cut_lineage(with_root(members, roots), "members"))]
@@ -299,7 +309,7 @@ def link_classes(classes: DataFrame, docs: DataFrame) -> DataFrame:
         if level < FINE_LEVELS:
             crowded = rows.join(spans.where(F.col("crowd") > CROWDED).select("key"), "key")
             fine = sets.select("set_key", F.explode(F.slice("fine", level * BANDS + 1, BANDS)).alias("band"))
-            rows = crowded.join(fine, "set_key").select(F.xxhash64("key", "band").alias("key"), "set_key", "n", "s", "c", "i", "root")
+            rows = crowded.join(fine, "set_key").select(F.xxhash64("key", "band").alias("key"), "set_key", "n", "s", "c", "i", "able", "root")
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.union(more)
