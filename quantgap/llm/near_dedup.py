@@ -208,6 +208,15 @@ def components(links: DataFrame) -> DataFrame:
         edges = cut_lineage(small, "edges")
 
 
+def _spanning(rows: DataFrame) -> DataFrame:
+    """The rows of the buckets that span several components."""
+    rows = cut_lineage(rows, "rows")
+    root = F.xxhash64("root")  # numbers are aggregated without a sort
+    keys = rows.groupBy("key").agg(F.min(root).alias("a"), F.max(root).alias("b")).where("a <> b").select("key")
+    keys = cut_lineage(keys, "spans")
+    return cut_lineage(rows.join(small_side(keys, keys.count(), 64), "key"), "spanning")
+
+
 def _across(rows: DataFrame) -> DataFrame:
     """Bucket keys with pairs across components that ``_pairs`` can make: ``(key, crowd)``, crowd in such pairs per row.
 
@@ -300,12 +309,12 @@ def link_classes(classes: DataFrame, docs: DataFrame) -> DataFrame:
     placed = placed.withColumn("able", compatible("i", F.col("n"), mate)).drop("least")
     roots = components(first)
     rows = with_root(placed, roots)
-    found = [beside_pivot(cut_lineage(with_root(members, roots), "members"))]
+    found = [cut_lineage(beside_pivot(cut_lineage(with_root(members, roots), "members")), "met")]
     for level in range(FINE_LEVELS + 1):
-        rows = cut_lineage(rows, "rows")
-        spans = _across(rows)
+        rows = _spanning(rows)
+        spans = cut_lineage(_across(rows), "across")
         calm = spans if level == FINE_LEVELS else spans.where(F.col("crowd") <= CROWDED)
-        found.append(_pairs(rows.join(calm.select("key"), "key")))
+        found.append(cut_lineage(_pairs(rows.join(calm.select("key"), "key")), "met"))
         if level < FINE_LEVELS:
             crowded = rows.join(spans.where(F.col("crowd") > CROWDED).select("key"), "key")
             fine = sets.select("set_key", F.explode(F.slice("fine", level * BANDS + 1, BANDS)).alias("band"))

@@ -128,3 +128,17 @@ def test_pairs_beside_a_pivot_lose_no_link(spark):
                 expected.add((x, y))
     assert len(expected) > 50 and expected <= got and len(got) < 160 * 159 / 2
     assert n.beside_pivot(table.limit(0)).count() == 0
+
+
+def test_only_buckets_that_span_components_reach_the_pair_stage(spark, monkeypatch):
+    seen = []
+
+    def spy(rows, real=n._across):
+        seen.append(rows.groupBy("key").agg(F.count_distinct("root").alias("roots")).agg(F.count("*"), F.min("roots")).first())
+        return real(rows)
+
+    monkeypatch.setattr(n, "_across", spy)
+    pairs = list(enumerate(corpus(), 1))
+    got = n.near_duplicates(docs(spark, [t for _, t in pairs]))
+    assert sorted(rows(got, "doc_id", "n_shingles", "component_id", "kept")) == brute(pairs)
+    assert seen[0][0] > 0 and all(keys == 0 or roots > 1 for keys, roots in seen)
