@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 
 from quantgap.models.contrasts import polynomial_matrix
+from quantgap.models.glm import glm
 from quantgap.models.imputation import pooled_ols, predictive_mean_matching
 from quantgap.models.linear import ols
 from quantgap.models.paths import PathModel, group_differences, path_coefficients, path_effects, wald_each, wald_joint
@@ -47,6 +48,28 @@ def test_weighted_least_squares(spark):
     assert fit["twice"].estimate is None and fit["a"].residual_df == 197
 
 
+def newton(x, y, steps=25):
+    design, beta = np.column_stack([np.ones(len(x)), x]), np.zeros(x.shape[1] + 1)
+    for _ in range(steps):
+        mu = 1 / (1 + np.exp(-design @ beta))
+        inverse = np.linalg.inv(design.T @ (design * (mu * (1 - mu))[:, None]))
+        beta = beta + inverse @ (design.T @ (y - mu))
+    return beta, np.sqrt(np.diag(inverse))
+
+
+@pytest.mark.parametrize("observed", [lambda x: np.ones(len(x)), lambda x: x >= 18])
+def test_logistic_fit_without_a_maximum(spark, observed):
+    """A response that never varies, or is parted by the regressor, ends after the steps; a dependent regressor is dropped."""
+    x = np.random.default_rng(1).integers(15, 60, 450).astype(float)
+    y = observed(x).astype(float)
+    beta, se = newton((x - x.mean())[:, None], y)
+    df = spark.createDataFrame(pd.DataFrame({"n.min": x, "twice": 2 * x, "y": y}))
+    fit = {r.term: r for r in glm(df, "y", ["n.min", "twice"], "binomial").collect()}
+    assert fit["n.min"].estimate == pytest.approx(beta[1], rel=1e-3, abs=1e-9) and fit["n.min"].se == pytest.approx(se[1], rel=1e-3)
+    assert fit["(Intercept)"].estimate == pytest.approx(beta[0] - x.mean() * beta[1], rel=1e-3)
+    assert fit["twice"].estimate is None and fit["twice"].se is None
+
+
 @pytest.mark.parametrize("slicing", [None, Slicing(180, (0.0, 2.0), 50)])
 def test_matching_takes_near_donors(spark, slicing):
     rng = np.random.default_rng(1)
