@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from quantgap.llm import decontamination as d
@@ -74,3 +75,20 @@ def test_large_test_sets_are_not_broadcast(spark, monkeypatch):
     monkeypatch.setattr("quantgap.llm.common.BROADCAST_BYTES", 0)
     got = d.find_hits(table(spark, TEXTS), bench(spark)).select("doc_id", "n_words", d.hit_words())
     assert sorted(rows(got, "*")) == [(i, *brute(t, ITEMS)[:2]) for i, t in enumerate(TEXTS, 1)]
+
+
+@pytest.mark.parametrize("limit", [64 << 20, 0])
+def test_sorts_and_shuffles_do_not_hold_the_words_of_a_text(spark, monkeypatch, limit):
+    monkeypatch.setattr("quantgap.llm.common.BROADCAST_BYTES", limit)
+    plan = d.find_hits(table(spark, TEXTS), bench(spark))._jdf.queryExecution().executedPlan().toString().split("\n")
+    holds = [below for line, below in zip(plan, plan[1:]) if re.search(r"Exchange hash|Aggregate\(", line)]
+    assert holds and not [line[:200] for line in holds if re.search(r"Project .*[\[ ]w#\d+[,\]]", line)]
+
+
+def test_a_bit_a_gram_loses_none(spark, monkeypatch):
+    monkeypatch.setattr("quantgap.llm.common.BROADCAST_BYTES", 0)
+    monkeypatch.setattr(d, "BROADCAST_BITS", 4096)
+    items = [(i, prose(100 + i, 40)) for i in range(300)]
+    texts = [f"{prose(500 + i, 30)} {' '.join(items[i][1].split()[i % 20 :])} {prose(900 + i, 9)}" for i in range(0, 300, 7)]
+    got = d.find_hits(table(spark, texts), bench(spark, items)).select("doc_id", "n_words", d.hit_words(), F.size("items"))
+    assert sorted(rows(got, "*")) == [(i, *brute(t, items)[:3]) for i, t in enumerate(texts, 1)]
