@@ -176,3 +176,22 @@ def test_composition_weights(spark):
     rows = [(1940, "a")] * 3 + [(1940, "b")] + [(1950, "a")] + [(1950, "b")]
     out = composition_weights(spark.createDataFrame(rows, "g int, o string"), "g", "o", 1940).collect()
     assert {(r.g, r.o): r.w_origin for r in out} == pytest.approx({(1940, "a"): 1, (1940, "b"): 1, (1950, "a"): 1.5, (1950, "b"): 0.5})
+
+
+def test_small_groups_do_not_lie_in_the_slices_of_a_large_table(spark):
+    """Cuts are united per group as far as its rows fit one slice; large groups keep theirs, and results stay."""
+    rng = np.random.default_rng(5)
+    cells = [(f"c{i}", g, float(v)) for i in range(12) for g in ("ref", "a") for v in rng.normal(i, 1, 20)]
+    cells += [("large", g, float(v)) for g in ("ref", "a") for v in rng.normal(5, 4, 1500)] + [(None, "a", 1.0), (None, "ref", 1.0)] * 2
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(cells)], "id long, cell string, g string, v double")
+    cuts = tuple(float(v) for v in np.quantile([v for _, _, v in cells], np.linspace(0, 1, 121)[1:-1]))
+    slicing = Slicing(len(cells), cuts, 25)
+    hist = draws.histogram(df, ["cell"], "g", "v", "id", slicing, 4)
+    slices = {r.cell: r.n for r in hist.groupBy("cell").agg(F.countDistinct("g", "_cut").alias("n")).collect()}
+    assert all(n == 2 for cell, n in slices.items() if cell != "large") and slices["large"] > 100
+    assert hist.groupBy("cell", "g", "_cut").count().agg(F.max("count")).first()[0] <= 2 * slicing.rows_per_slice
+    plain, fine = (
+        {(r.cell, r.rep): r.w for r in bootstrap_wasserstein(df, ["cell"], "g", "v", "ref", ["a"], "id", 7, slicing=s).collect()}
+        for s in (Slicing(len(cells), (0.0,), 10_000), slicing)
+    )
+    assert plain.keys() == fine.keys() and all(fine[k] == (None if w is None else pytest.approx(w)) for k, w in plain.items())
