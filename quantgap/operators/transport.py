@@ -25,6 +25,7 @@ def counterfactual(
     weight: str | None = None,
     slicing: Slicing | None = None,
     name: str = "counterfactual",
+    unit: str | None = None,
 ) -> DataFrame:
     """Value of each row after mapping its group onto the reference group of the cell.
 
@@ -35,8 +36,10 @@ def counterfactual(
     Output: ``cell…, group, value, counterfactual, freq`` with one row per distinct value and ``freq`` rows behind it, which
     is all that a measurement in a coarser cell needs.  ``split`` names categories that divide these rows further (the
     sex, where sexes are compared afterwards).  With ``carry`` the mapping is attached to the single rows and these
-    columns of theirs are kept.
+    columns of theirs are kept; with ``unit`` the smallest row key behind a distinct value is, which needs no single rows.
     """
+    if unit and (carry or weight):
+        raise ValueError("unit goes with distinct unweighted values")
     slicing = slicing or plan_slices(df, value)
     keys = [*cell, group]
     if split and weight:
@@ -47,8 +50,8 @@ def counterfactual(
         mapped = join_null_safe(counts, mapping.drop("freq"), [*keys, value], "inner")
         mapped = mapped.select(*keys, *split, value, name, "freq")
     else:
-        rows = ranked(df, cell, group, value, weight, split, slicing)
-        mapped = map_to_reference(rows, cell, group, value, ref, list(split), weight is not None, slicing, name)
+        rows = ranked(df, cell, group, value, weight, split, slicing, unit=unit)
+        mapped = map_to_reference(rows, cell, group, value, ref, list(split), weight is not None, slicing, name, unit)
     if not carry:
         return mapped
     mapping = mapped.select(*keys, *split, F.col(value).alias("_v"), name, F.col("freq").alias("_w"))
@@ -57,7 +60,7 @@ def counterfactual(
 
 
 def map_to_reference(
-    rows: DataFrame, cell: list[str], group: str, value: str, ref: str, split: list[str], weighted: bool, slicing: Slicing, name: str
+    rows: DataFrame, cell: list[str], group: str, value: str, ref: str, split: list[str], weighted: bool, slicing: Slicing, name: str, unit: str | None = None
 ) -> DataFrame:
     """Mapping of ranked rows in one ordered walk along the rank axis of each cell.
 
@@ -87,6 +90,7 @@ def map_to_reference(
         *cell,
         group,
         *split,
+        *(["_unit"] if unit else []),
         "_v",
         "_c",
         "_slices",
@@ -118,6 +122,7 @@ def map_to_reference(
         own.alias(value),
         F.when(F.col("_asks") == 1, F.coalesce(mapped, own)).otherwise(own).alias(name),
         F.col("_c").alias("freq"),
+        *([F.col("_unit").alias(unit)] if unit else []),
     )
 
 

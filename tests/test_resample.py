@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quantgap.operators import draws, reweight, samples
 from quantgap.operators.resample import (
+    bootstrap_cases,
     bootstrap_wasserstein,
     interval_constants,
     percentile_interval,
@@ -15,6 +16,7 @@ from quantgap.operators.resample import (
 )
 from quantgap.operators.reweight import balance_nonresponse, composition_weights, stratified_by_rate
 from quantgap.operators.samples import Slicing
+from quantgap.operators.transport import counterfactual
 from tests import reference
 
 
@@ -195,3 +197,25 @@ def test_small_groups_do_not_lie_in_the_slices_of_a_large_table(spark):
         for s in (Slicing(len(cells), (0.0,), 10_000), slicing)
     )
     assert plain.keys() == fine.keys() and all(fine[k] == (None if w is None else pytest.approx(w)) for k, w in plain.items())
+
+
+def test_hashes_of_draws_are_made_in_the_task(spark):
+    df = mixed(spark)
+    frame = draws.replicate_frame(df, ["cell"], "g", "v", "id", 7, 5, "poisson", Slicing(900, (0.0, 1.0, 5.0), 50))
+    assert "binary" not in dict(frame.dtypes).values()
+    keys = spark.createDataFrame([(1,), (None,), (-(10**12),)], "id long")
+    found = keys.select(F.col("id").cast("string"), draws.draw_bits("id", 7, 5)).collect()
+    assert [bytes(b) for _, b in found] == draws.hash_bits([k for k, _ in found], 7, 5)
+
+
+def test_cases_of_distinct_values_equal_those_of_rows(spark):
+    df = mixed(spark).unionByName(mixed(spark)).withColumn("part", F.col("id") % 3)
+    single, distinct = (counterfactual(df, ["cell", "part"], "g", "v", "ref", **kept) for kept in ({"carry": ["id"]}, {"unit": "id"}))
+    assert distinct.count() < single.count() / 2
+    cases = {"real": "v", "moved": "counterfactual"}
+    want, got = (
+        sorted(bootstrap_cases(moved, ["cell"], "g", cases, "ref", ["a", "b"], "id", 5, count=count).collect(), key=str)
+        for moved, count in ((single, None), (distinct, "freq"))
+    )
+    assert len(want) == 2 * 2 * 5 * 2
+    assert all(a[:4] == b[:4] and (a.w == b.w or a.w == pytest.approx(b.w, rel=1e-9)) for a, b in zip(want, got))
